@@ -50,13 +50,6 @@ def rsi_from_means(avg_gain: Column | str, avg_loss: Column | str) -> Column:
              .otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + g / l)))
 
 
-def rsi(price: Column | str, w: WindowSpec, n: int = 14) -> Column:
-    """Simple-mean RSI over ``n`` rows of price differences (not Wilder smoothing)."""
-    delta = _c(price) - F.lag(_c(price)).over(w)
-    frame = w.rowsBetween(-(n - 1), 0)
-    return rsi_from_means(F.avg(clip_gain(delta)).over(frame), F.avg(clip_loss(delta)).over(frame))
-
-
 def rsi_state(r: Column | str) -> Column:
     r = _c(r)
     return (F.when(r > 70, F.lit("Overbought"))

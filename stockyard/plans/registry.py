@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stockyard.plans import analysis as A
 from stockyard.plans import views
 from stockyard.sources.star import DerivedStar
 
@@ -32,3 +33,79 @@ def star(spark: SparkSession, sf_dir: str) -> DerivedStar:
 @register("price_movement_view")
 def price_movement_view(spark, sf_dir):
     return views.price_movement(star(spark, sf_dir))
+
+
+@register("price_summary_view")
+def price_summary_view(spark, sf_dir):
+    return views.price_summary(star(spark, sf_dir))
+
+
+@register("price_summary_monthly")
+def price_summary_monthly(spark, sf_dir):
+    return views.price_summary_monthly(star(spark, sf_dir))
+
+
+@register("index_performance_view")
+def index_performance_view(spark, sf_dir):
+    return views.index_performance(star(spark, sf_dir))
+
+
+@register("quarterly_ratios_view")
+def quarterly_ratios_view(spark, sf_dir):
+    return views.quarterly_ratios(star(spark, sf_dir))
+
+
+# ---- analysis API ----------------------------------------------------------
+@register("price_summary_api")
+def price_summary_api(spark, sf_dir):
+    return A.price_summary_report(star(spark, sf_dir)).drop("StockKey")
+
+
+@register("volume_peak_month")
+def volume_peak_month(spark, sf_dir):
+    return A.volume_peak(A.price_summary_report(star(spark, sf_dir), monthly=True))
+
+
+@register("cumulative_growth")
+def cumulative_growth(spark, sf_dir):
+    return A.cumulative_growth(A.price_summary_report(star(spark, sf_dir), monthly=True))
+
+
+@register("quarterly_ratios_pivot")
+def quarterly_ratios_pivot(spark, sf_dir):
+    return A.quarterly_ratio_table(star(spark, sf_dir))
+
+
+@register("ratio_types_by_name")
+def ratio_types_by_name(spark, sf_dir):
+    return A.ratio_types_by_name(A.quarterly_ratio_rows(star(spark, sf_dir)))
+
+
+@register("movement_stats")
+def movement_stats(spark, sf_dir):
+    return A.movement_stats(A.movement_rows(star(spark, sf_dir)))
+
+
+@register("movement_indicators")
+def movement_indicators(spark, sf_dir):
+    return A.with_indicators(A.movement_rows(star(spark, sf_dir)), digits=4).drop("StockKey")
+
+
+@register("rsi_state")
+def rsi_state(spark, sf_dir):
+    return A.latest_rsi_state(A.with_indicators(A.movement_rows(star(spark, sf_dir)), digits=4))
+
+
+@register("index_top_n")
+def index_top_n(spark, sf_dir):
+    return A.index_report(star(spark, sf_dir), top_n=5, period="month")
+
+
+@register("index_performance_all")
+def index_performance_all(spark, sf_dir):
+    return A.index_period_performance(star(spark, sf_dir), period="month")
+
+
+@register("industry_performance")
+def industry_performance(spark, sf_dir):
+    return A.industry_performance(A.index_report(star(spark, sf_dir), top_n=5, period="month"))
