@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.functions.dates import date_parts
+from stockyard.functions.rounding import rnd
 from stockyard.functions.names import (
     COMPANY_RENAME, DEFINITION_DROP, DEFINITION_RENAME, RATIO_NAMES,
     canonical_ratio_name, strip_trailing_paren,
@@ -27,7 +28,7 @@ def build_dim_time(quotes: DataFrame, time_col: str = "time",
 def build_dim_company(company: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """L2: renamed company feed with StockRating rounded to 2, keys from L6."""
     c = rename_columns(company, COMPANY_RENAME)
-    c = c.withColumn("StockRating", F.round(F.col("StockRating").cast("double"), 2)
+    c = c.withColumn("StockRating", rnd(F.col("StockRating").cast("double"), 2)
                      .cast("decimal(5,2)"))
     cols = ["StockSymbol", "CompanyName", "ShortName", "Industry", "CompanyType", "StockRating"]
     keyed = allocate_keys(c.select(*cols), existing, natural="StockSymbol", key="StockKey")

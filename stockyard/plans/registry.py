@@ -109,3 +109,210 @@ def index_performance_all(spark, sf_dir):
 @register("industry_performance")
 def industry_performance(spark, sf_dir):
     return A.industry_performance(A.index_report(star(spark, sf_dir), top_n=5, period="month"))
+
+
+# ---- dimensions, facts, keys -----------------------------------------------
+# Load batches for the incremental-load queries: the price fact up to
+# OLD_UNTIL is "already loaded"; a restated feed from NEW_FROM overlaps it.
+OLD_UNTIL = 19990630
+NEW_FROM = 19990601
+PRICE_KEYS = ["TimeKey", "StockKey"]
+
+
+def merged_company_feed(s: DerivedStar):
+    from stockyard.functions.names import OVERVIEW_DROP, PROFILE_DROP
+    from stockyard.operators.conform import drop_columns
+    overview, profile = s.company_feeds()
+    return drop_columns(profile, PROFILE_DROP).join(drop_columns(overview, OVERVIEW_DROP), "symbol")
+
+
+@register("dim_time")
+def dim_time(spark, sf_dir):
+    from stockyard.operators.dims import build_dim_time
+    return build_dim_time(star(spark, sf_dir).staging_quotes())
+
+
+@register("company_merge")
+def company_merge(spark, sf_dir):
+    return merged_company_feed(star(spark, sf_dir))
+
+
+@register("dim_company")
+def dim_company(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from stockyard.operators.dims import build_dim_company
+    d = build_dim_company(merged_company_feed(star(spark, sf_dir)))
+    return d.withColumn("StockRating", F.col("StockRating").cast("double"))
+
+
+@register("dim_ratio_usage")
+def dim_ratio_usage(spark, sf_dir):
+    from pyspark.sql import functions as F
+    s = star(spark, sf_dir)
+    used = s.fact_ratio.groupBy("RatioKey").agg(F.count("*").alias("FactRows"))
+    return (s.dim_ratio.join(used, "RatioKey", "left")
+            .withColumn("FactRows", F.coalesce("FactRows", F.lit(0)).cast("bigint")))
+
+
+@register("fact_price")
+def fact_price(spark, sf_dir):
+    from stockyard.operators.facts import prepare_fact_price, resolve_price_keys
+    s = star(spark, sf_dir)
+    staged = prepare_fact_price(s.staging_quotes(), s.dim_time)
+    return resolve_price_keys(staged, s.dim_company, company_small=s.company_small)
+
+
+@register("fact_ratio_long")
+def fact_ratio_long(spark, sf_dir):
+    return star(spark, sf_dir).fact_ratio
+
+
+@register("fill_sentinel")
+def fill_sentinel(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from stockyard.functions.names import RATIO_COLUMN_RENAME, RATIO_SENTINEL
+    from stockyard.functions.rounding import r4
+    from stockyard.operators.conform import fill_sentinel as fill, rename_columns
+    w = rename_columns(star(spark, sf_dir).ratio_wide(), RATIO_COLUMN_RENAME)
+    vals = [c for c in w.columns if c not in ("StockSymbol", "Năm", "Kỳ")]
+    w = fill(w, RATIO_SENTINEL, subset=vals)
+    return w.select("StockSymbol", "Năm", "Kỳ", *[r4(F.col(f"`{c}`")).alias(c) for c in vals])
+
+
+def _literal_ratio_long(s: DerivedStar):
+    from stockyard.operators.dims import build_dim_ratio
+    from stockyard.operators.facts import prepare_fact_ratios
+    return prepare_fact_ratios(s.ratio_wide(), s.dim_time), build_dim_ratio(s.definition_feed(), normalise=False)
+
+
+@register("resolve_keys")
+def resolve_keys(spark, sf_dir):
+    from stockyard.operators.facts import resolve_ratio_keys
+    s = star(spark, sf_dir)
+    long, dim = _literal_ratio_long(s)
+    return resolve_ratio_keys(long, s.dim_company, dim, normalise=False, company_small=s.company_small)
+
+
+@register("unresolved_keys")
+def unresolved_keys(spark, sf_dir):
+    from stockyard.operators.facts import unresolved_keys as report
+    s = star(spark, sf_dir)
+    long, dim = _literal_ratio_long(s)
+    return report(long, s.dim_company, dim, normalise=False, company_small=s.company_small)
+
+
+@register("allocate_keys")
+def allocate_keys(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from stockyard.operators.dims import allocate_keys as alloc
+    s = star(spark, sf_dir)
+    names = s.dim_company.select("StockSymbol", "CompanyType")
+    first_regions = s.table("region").where(F.col("r_regionkey") < 2).select(
+        F.col("r_name").alias("CompanyType"))
+    existing = alloc(names.join(F.broadcast(first_regions), "CompanyType", "left_semi")
+                          .select("StockSymbol"), None, "StockSymbol", "StockKey")
+    return alloc(names.select("StockSymbol"), existing, "StockSymbol", "StockKey")
+
+
+# ---- incremental loads -----------------------------------------------------
+def _batches(s: DerivedStar):
+    from pyspark.sql import functions as F
+    f = s.fact_price
+    old = f.where(F.col("TimeKey") <= OLD_UNTIL)
+    new = f.where(F.col("TimeKey") >= NEW_FROM).withColumn("Volume", F.col("Volume") + 1)
+    return old, new
+
+
+@register("insert_ignore")
+def insert_ignore(spark, sf_dir):
+    from stockyard.operators.load import insert_ignore as ii
+    old, new = _batches(star(spark, sf_dir))
+    return ii(old, new, PRICE_KEYS)
+
+
+@register("insert_new_first_pk")
+def insert_new_first_pk(spark, sf_dir):
+    from stockyard.operators.load import new_by_first_key
+    old, new = _batches(star(spark, sf_dir))
+    return new_by_first_key(old, new, PRICE_KEYS)
+
+
+@register("strict_conflicts")
+def strict_conflicts(spark, sf_dir):
+    from stockyard.operators.load import key_conflicts
+    old, new = _batches(star(spark, sf_dir))
+    return key_conflicts(old, new, PRICE_KEYS)
+
+
+@register("high_water_rows")
+def high_water_rows(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from stockyard.operators.load import rows_after_high_water
+    s = star(spark, sf_dir)
+    loaded = s.dim_time.where(F.col("TimeKey") <= OLD_UNTIL)
+    return rows_after_high_water(s.staging_quotes(), loaded)
+
+
+# ---- quality ---------------------------------------------------------------
+def _star_tables(s: DerivedStar):
+    from stockyard.schemas import PRIMARY_KEYS
+    frames = {"Dim_Time": s.dim_time, "Dim_Company": s.dim_company, "Dim_Ratio": s.dim_ratio,
+              "Fact_StockPrice": s.fact_price, "Fact_FinancialRatios": s.fact_ratio}
+    return {k: (v, PRIMARY_KEYS[k]) for k, v in frames.items()}
+
+
+@register("pk_duplicates")
+def pk_duplicates(spark, sf_dir):
+    from stockyard.operators.quality import pk_report
+    s = star(spark, sf_dir)
+    tables = _star_tables(s)
+    tables["lineitem"] = (s.table("lineitem"), ["l_orderkey", "l_linenumber"])
+    return pk_report(tables)
+
+
+@register("fk_orphans")
+def fk_orphans(spark, sf_dir):
+    from stockyard.operators.quality import fk_report
+    from stockyard.schemas import FOREIGN_KEYS
+    s = star(spark, sf_dir)
+    t = {k: v for k, (v, _) in _star_tables(s).items()}
+    links = [(c, t[c], cc, p, t[p], pc) for c, cc, p, pc in FOREIGN_KEYS]
+    links.append(("staging_quotes", s.staging_quotes(), "MaCK", "Dim_Company", s.dim_company,
+                  "StockSymbol"))
+    return fk_report(links)
+
+
+@register("null_keys")
+def null_keys(spark, sf_dir):
+    from stockyard.operators.quality import null_report
+    return null_report(_star_tables(star(spark, sf_dir)))
+
+
+@register("length_violations")
+def length_violations(spark, sf_dir):
+    from stockyard.operators.quality import limit_report
+    from stockyard.schemas import DECIMAL_LIMITS, VARCHAR_LIMITS
+    s = star(spark, sf_dir)
+    t = {k: v for k, (v, _) in _star_tables(s).items()}
+    parts = [limit_report(name, t[name], VARCHAR_LIMITS.get(name, {}), DECIMAL_LIMITS.get(name, {}))
+             for name in ("Dim_Company", "Dim_Ratio", "Fact_StockPrice", "Fact_FinancialRatios")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("load_metrics")
+def load_metrics(spark, sf_dir):
+    from stockyard.operators.quality import load_metrics as lm
+    s = star(spark, sf_dir)
+    return (lm(s.fact_price, "Fact_StockPrice", "StockKey", "TimeKey")
+            .unionByName(lm(s.staging_quotes(), "staging_quotes", "MaCK", "time"))
+            .unionByName(lm(s.fact_ratio, "Fact_FinancialRatios", "StockKey", "TimeKey")))
+
+
+@register("profile_columns")
+def profile_columns(spark, sf_dir):
+    from stockyard.operators.quality import profile
+    li = star(spark, sf_dir).table("lineitem")
+    return profile(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])

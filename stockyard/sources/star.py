@@ -26,7 +26,6 @@ from pyspark.sql import types as T
 
 from stockyard.functions.dates import date_parts, time_key
 from stockyard.functions.rounding import r2
-from stockyard.session import broadcast_if_small
 
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -145,7 +144,8 @@ class DerivedStar:
     def fact_ratio(self) -> DataFrame:
         from stockyard.operators.facts import prepare_fact_ratios, resolve_ratio_keys
         long = prepare_fact_ratios(self.ratio_wide(), self.dim_time)
-        return resolve_ratio_keys(long, self.dim_company, self.dim_ratio)
+        return resolve_ratio_keys(long, self.dim_company, self.dim_ratio,
+                                  company_small=self.supplier_small)
 
     # ---- raw feeds --------------------------------------------------------
     def staging_quotes(self) -> DataFrame:
