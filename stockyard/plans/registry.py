@@ -316,3 +316,64 @@ def profile_columns(spark, sf_dir):
     from stockyard.operators.quality import profile
     li = star(spark, sf_dir).table("lineitem")
     return profile(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+# ---- retrieval ---------------------------------------------------------------
+def _label_queries(s: DerivedStar):
+    """One query vector per label: the label's lowest-id embedding."""
+    from pyspark.sql import functions as F
+    e = s.table("embeddings")
+    return (e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+             .withColumnRenamed("label", "query_id"))
+
+
+@register("cosine_topk")
+def cosine_topk(spark, sf_dir):
+    from stockyard.operators.retrieval import cosine_topk as topk
+    s = star(spark, sf_dir)
+    out = topk(s.table("embeddings"), _label_queries(s), k=10)
+    return out.withColumnRenamed("QueryId", "QueryLabel").withColumnRenamed("vec_id", "VecId")
+
+
+@register("lsh_topk")
+def lsh_topk(spark, sf_dir):
+    from stockyard.operators.retrieval import lsh_topk as topk
+    s = star(spark, sf_dir)
+    out = topk(s.table("embeddings"), _label_queries(s), k=10)
+    return out.withColumnRenamed("QueryId", "QueryLabel").withColumnRenamed("vec_id", "VecId")
+
+
+@register("chunk_documents")
+def chunk_documents(spark, sf_dir):
+    from stockyard.operators.retrieval import chunk_documents as chunk
+    return chunk(star(spark, sf_dir).table("documents"), size=256, overlap=32)
+
+
+@register("question_labels")
+def question_labels(spark, sf_dir):
+    from stockyard.operators.retrieval import tag_questions
+    c = star(spark, sf_dir).table("conversations")
+    return tag_questions(c, "text", keep=["conv_id", "turn", "role"])
+
+
+# ---- schema evolution --------------------------------------------------------
+@register("schema_evolve")
+def schema_evolve(spark, sf_dir):
+    """Dim_Company through its migrations: created without StockRating, the
+    column added as decimal(2,2), widened to decimal(5,2), then back-filled
+    from the company feed."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    from stockyard.functions.rounding import r2
+    from stockyard.operators.evolve import add_column, change_decimal, drop_column
+    s = star(spark, sf_dir)
+    created = drop_column(s.dim_company, "StockRating")
+    v1 = add_column(created, "StockRating", T.DecimalType(2, 2))
+    v2 = change_decimal(v1, "StockRating", 5, 2)
+    overview, _ = s.company_feeds()
+    ratings = overview.select(F.col("symbol").alias("StockSymbol"),
+                              r2("stock_rating").cast("decimal(5,2)").alias("_r"))
+    ratings = F.broadcast(ratings) if s.company_small else ratings
+    filled = (v2.join(ratings, "StockSymbol", "left")
+                .withColumn("StockRating", F.coalesce("StockRating", "_r")).drop("_r"))
+    return filled.withColumn("StockRating", F.col("StockRating").cast("double"))
