@@ -377,3 +377,54 @@ def schema_evolve(spark, sf_dir):
     filled = (v2.join(ratings, "StockSymbol", "left")
                 .withColumn("StockRating", F.coalesce("StockRating", "_r")).drop("_r"))
     return filled.withColumn("StockRating", F.col("StockRating").cast("double"))
+
+
+# ---- file ingest -------------------------------------------------------------
+RATIO_TARGET = ["CP", "Năm", "Kỳ", "ROE (%)", "P/E", "P/B", "TSCĐ / Vốn CSH"]
+
+
+@register("conform_union")
+def conform_union(spark, sf_dir):
+    """Two-row-header ratio files with differing columns -> one conformed frame."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    from stockyard.functions.rounding import r4
+    from stockyard.session import scratch_path
+    from stockyard.sources.feeds import write_ratio_feed
+    from stockyard.sources.files import read_two_row_header
+    s = star(spark, sf_dir)
+    root = scratch_path(spark, "feeds")
+    write_ratio_feed(s, f"{root}/finance_ratio_quarter")
+    types = {"CP": T.StringType(), "Năm": T.IntegerType(), "Kỳ": T.IntegerType()}
+    df = read_two_row_header(spark, f"{root}/finance_ratio_quarter", RATIO_TARGET, types)
+    return df.select("CP", "Năm", "Kỳ", *[r4(F.col(f"`{c}`")).alias(c) for c in RATIO_TARGET[3:]])
+
+
+@register("quarantine_bad_rows")
+def quarantine_bad_rows(spark, sf_dir):
+    """Quote files with unreadable prices: the bad rows go to quarantine."""
+    from stockyard.schemas import QUOTE_SCHEMA
+    from stockyard.session import scratch_path
+    from stockyard.sources.feeds import write_quote_feed
+    from stockyard.sources.files import read_with_quarantine
+    s = star(spark, sf_dir)
+    path = scratch_path(spark, "quotes")
+    write_quote_feed(s, path)
+    _, bad = read_with_quarantine(spark, path, QUOTE_SCHEMA)
+    return bad.select("time", "MaCK")
+
+
+@register("file_routing")
+def file_routing(spark, sf_dir):
+    """Files of three feed kinds in one folder, routed by name priority."""
+    from pyspark.sql import functions as F
+    from stockyard.session import scratch_path
+    from stockyard.sources.feeds import write_company_feeds, write_ratio_feed
+    from stockyard.sources.files import route_feeds
+    s = star(spark, sf_dir)
+    root = scratch_path(spark, "feeds")
+    write_ratio_feed(s, f"{root}/finance_ratio_quarter")
+    write_company_feeds(s, root)
+    routed = route_feeds(spark, root)
+    return routed.groupBy("kind").agg(F.count_distinct("file").alias("Files"),
+                                      F.count("*").alias("Lines"))
