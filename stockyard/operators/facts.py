@@ -10,14 +10,13 @@ from stockyard.functions.names import (
 )
 from stockyard.functions.rounding import r4
 from stockyard.operators.conform import fill_sentinel, rename_columns, unpivot
-from stockyard.session import fits_broadcast
 
 RATIO_IDS = ["StockSymbol", "Năm", "Kỳ"]
 
 
 def _maybe_broadcast(df: DataFrame, small: bool | None) -> DataFrame:
-    if small is None:
-        small = fits_broadcast(df)
+    """Broadcast when known small; otherwise leave the choice to the planner's
+    statistics and AQE (no forced broadcast of a table that grows with data)."""
     return F.broadcast(df) if small else df
 
 

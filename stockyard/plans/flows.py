@@ -78,13 +78,15 @@ class StoredWarehouse:
 
     @property
     def company_small(self) -> bool:
+        """Size check on the stored dimension (answered from parquet footers)."""
         return fits_broadcast(self.dim_company)
 
-    def index_filter(self) -> Column:
-        """Membership by symbol, resolved to keys through the (small) member list."""
+    def index_fact_price(self) -> DataFrame:
+        """Index members' prices: symbols resolved to keys through the member
+        list (at most len(index_symbols) keys), pushed to the fact scan."""
         keys = [r[0] for r in self.dim_company.where(F.col("StockSymbol").isin(self.index_symbols))
                 .select("StockKey").collect()]
-        return F.col("StockKey").isin(keys)
+        return self.fact_price.where(F.col("StockKey").isin(keys))
 
     # ---- writes --------------------------------------------------------------
     def append(self, table: str, rows: DataFrame, cluster_by_stock: bool = False) -> None:

@@ -2,15 +2,16 @@
 
 A *star* is any object with DataFrame attributes ``fact_price``,
 ``fact_ratio``, ``dim_time``, ``dim_company``, ``dim_ratio``, a boolean
-``company_small`` (Dim_Company passed the broadcast size check) and a method
-``index_filter()`` returning the index-membership predicate on ``StockKey``
-or ``StockSymbol``.
+``company_small`` (True: broadcast Dim_Company; False/None: no hint, the
+planner decides from statistics) and a method ``index_fact_price()`` returning
+the price fact of the index members (filtered where it reaches the scan).
 
 Join strategy: Dim_Time is one row per trading day (bounded by the calendar,
 not by data volume) and is broadcast; Dim_Ratio is bounded by the fixed ratio
 vocabulary and is broadcast; Dim_Company grows with the listed universe and is
-broadcast only after the size check, otherwise it is a shuffle join on
-StockKey, which the per-stock windows need anyway.
+broadcast only when known small (or when the planner's size estimate is under
+the broadcast threshold), otherwise it is a shuffle join on StockKey, which
+the per-stock windows need anyway.
 
 Every window is partitioned by the stock key first, so all symbols are
 computed in one plan; the fact is one row per stock-day, so a partition holds
@@ -155,7 +156,7 @@ def index_performance(star, with_key: bool = False) -> DataFrame:
     the order is the date order - and the per-stock window is computed first:
     one exchange on StockKey and one sort serve all of them.
     """
-    f = (star.fact_price.where(star.index_filter())
+    f = (star.index_fact_price()
          .join(time_dim(star, ["Date", "Year", "Quarter", "Month"]), "TimeKey")
          .join(company_dim(star, ["StockSymbol", "Industry"]), "StockKey"))
     wd = Window.partitionBy("StockKey").orderBy("Year", "Date")

@@ -18,5 +18,7 @@ class FrameStar:
     company_small: bool = True
     index_keys: list[int] | None = None
 
-    def index_filter(self) -> Column:
-        return F.lit(True) if self.index_keys is None else F.col("StockKey").isin(self.index_keys)
+    def index_fact_price(self) -> DataFrame:
+        if self.index_keys is None:
+            return self.fact_price
+        return self.fact_price.where(F.col("StockKey").isin(self.index_keys))

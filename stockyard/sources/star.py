@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from stockyard.functions.dates import date_parts, time_key
 from stockyard.functions.rounding import r2
+from stockyard.session import fits_broadcast
 
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -54,6 +55,10 @@ RATIO_DEFINITION_ROWS = [
 ]
 
 
+# (application id, sf dir) -> supplier table passed the broadcast size check
+_SMALL_SUPPLIER: dict[tuple[str, str], bool] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -78,10 +83,14 @@ class DerivedStar:
             "l_suppkey", F.to_date("l_shipdate").alias("Date"), _price().alias("p"),
             *TRADE_ORDER, "l_discount", "l_tax", "l_returnflag")
 
-    def daily_bars(self) -> DataFrame:
-        """One OHLCV row per (l_suppkey, Date)."""
+    def daily_bars(self, index_only: bool = False) -> DataFrame:
+        """One OHLCV row per (l_suppkey, Date); ``index_only`` keeps index members
+        (filtered on the raw key, so the predicate reaches the parquet scan)."""
         seq = F.struct(*TRADE_ORDER)
-        t = self.table("lineitem").select(
+        li = self.table("lineitem")
+        if index_only:
+            li = li.where(F.col("l_suppkey") < INDEX_KEY_LIMIT)
+        t = li.select(
             "l_suppkey", F.to_date("l_shipdate").alias("Date"), _price().alias("p"), *TRADE_ORDER)
         return t.groupBy("l_suppkey", "Date").agg(
             F.min_by("p", seq).alias("Open"),
@@ -91,10 +100,19 @@ class DerivedStar:
             F.sum("l_quantity").cast("bigint").alias("Volume"))
 
     # ---- lookups ----------------------------------------------------------
-    @cached_property
+    @property
     def supplier_small(self) -> bool:
-        from stockyard.session import fits_broadcast
-        return fits_broadcast(self.table("supplier"))
+        """Size check on the supplier table (it grows with the data).
+
+        ``limit(n+1).count()`` on a stored table is answered from parquet
+        footers; the answer is kept per session and path, so queries do not
+        repeat the job. Beyond the limit, joins to the company dimension are
+        shuffle joins on the stock key (which the per-stock windows need anyway).
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf_dir.rstrip("/"))
+        if key not in _SMALL_SUPPLIER:
+            _SMALL_SUPPLIER[key] = fits_broadcast(self.table("supplier"))
+        return _SMALL_SUPPLIER[key]
 
     def symbols(self) -> DataFrame:
         """(l_suppkey, StockSymbol): the supplier name is the ticker."""
@@ -103,12 +121,18 @@ class DerivedStar:
         return F.broadcast(s) if self.supplier_small else s
 
     # ---- warehouse tables -------------------------------------------------
+    def _fact(self, bars: DataFrame) -> DataFrame:
+        return bars.select(time_key("Date").alias("TimeKey"),
+                           F.col("l_suppkey").cast("int").alias("StockKey"),
+                           "Open", "High", "Low", "Close", "Volume")
+
     @cached_property
     def fact_price(self) -> DataFrame:
-        b = self.daily_bars()
-        return b.select(time_key("Date").alias("TimeKey"),
-                        F.col("l_suppkey").cast("int").alias("StockKey"),
-                        "Open", "High", "Low", "Close", "Volume")
+        return self._fact(self.daily_bars())
+
+    def index_fact_price(self) -> DataFrame:
+        """Fact rows of the index members only."""
+        return self._fact(self.daily_bars(index_only=True))
 
     @cached_property
     def dim_time(self) -> DataFrame:
@@ -131,10 +155,6 @@ class DerivedStar:
                          F.col("r_name").alias("CompanyType"),
                          r2(F.col("s_acctbal") / 1000).alias("StockRating")))
 
-    def dim_company_for_join(self) -> DataFrame:
-        """Dim_Company, broadcast only when the supplier table passed the size check."""
-        return F.broadcast(self.dim_company) if self.supplier_small else self.dim_company
-
     @cached_property
     def dim_ratio(self) -> DataFrame:
         from stockyard.operators.dims import build_dim_ratio
