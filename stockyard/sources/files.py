@@ -18,9 +18,6 @@ from stockyard.schemas import QUOTE_SCHEMA
 # Feed kinds in routing priority: a file whose name holds several goes to the first.
 FEED_KINDS = ["ratio", "overview", "profile"]
 
-# Widest CSV line the positional parser accepts.
-MAX_CSV_COLUMNS = 128
-
 
 
 # ---- sinks -------------------------------------------------------------------
@@ -124,10 +121,20 @@ def _nth_line_ids(lines: DataFrame, n: int) -> DataFrame:
     return out
 
 
+# Comma not inside double quotes (an even number of quotes follows it).
+CSV_SPLIT = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _unquote(f: Column) -> Column:
+    quoted = f.startswith('"') & f.endswith('"') & (F.length(f) >= 2)
+    body = F.regexp_replace(F.regexp_extract(f, '^"(.*)"$', 1), '""', '"')
+    return F.when(f == F.lit(""), F.lit(None).cast("string")).when(quoted, body).otherwise(f)
+
+
 def _fields(line: Column) -> Column:
-    schema = ", ".join(f"_c{i} STRING" for i in range(MAX_CSV_COLUMNS))
-    parsed = F.from_csv(line, schema)
-    return F.array(*[parsed[f"_c{i}"] for i in range(MAX_CSV_COLUMNS)])
+    """CSV fields of one line (RFC-4180 quoting, no embedded line breaks);
+    empty fields are NULL, as in Spark's CSV reader."""
+    return F.transform(F.split(line, CSV_SPLIT), _unquote)
 
 
 def read_headed_lines(lines: DataFrame, header_rows: int = 1) -> DataFrame:
