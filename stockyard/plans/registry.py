@@ -314,7 +314,7 @@ def load_metrics(spark, sf_dir):
 @register("profile_columns")
 def profile_columns(spark, sf_dir):
     from stockyard.operators.quality import profile
-    li = star(spark, sf_dir).table("lineitem")
+    li = star(spark, sf_dir).spread_table("lineitem", "l_suppkey")
     return profile(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
@@ -346,7 +346,7 @@ def lsh_topk(spark, sf_dir):
 @register("chunk_documents")
 def chunk_documents(spark, sf_dir):
     from stockyard.operators.retrieval import chunk_documents as chunk
-    return chunk(star(spark, sf_dir).table("documents"), size=256, overlap=32)
+    return chunk(star(spark, sf_dir).spread_table("documents"), size=256, overlap=32)
 
 
 @register("question_labels")

@@ -90,3 +90,22 @@ def broadcast_if_small(df: DataFrame, probe: DataFrame | None = None,
     dimension built by joining a stored table to fixed lookups, the stored table).
     """
     return F.broadcast(df) if fits_broadcast(df if probe is None else probe, max_rows) else df
+
+
+def spread_small_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the session's parallelism.
+
+    A single small file with one row group is read by one task; everything
+    up to the first shuffle (e.g. a sort-based partial aggregation) would then
+    run on one core. Such an input is small by construction, so it is
+    hash-partitioned by ``keys`` (an aggregation grouped by a superset of the
+    keys then needs no further exchange), or round-robin without keys. Inputs
+    with enough partitions - every large table - are returned unchanged and
+    keep their map-side partial aggregation.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys) if keys else df.repartition(want)

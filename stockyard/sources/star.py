@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from stockyard.functions.dates import date_parts, time_key
 from stockyard.functions.rounding import r2
-from stockyard.session import fits_broadcast
+from stockyard.session import fits_broadcast, spread_small_scan
 
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -59,8 +59,19 @@ RATIO_DEFINITION_ROWS = [
 _SMALL_SUPPLIER: dict[tuple[str, str], bool] = {}
 
 
+# (application id, path) -> reader DataFrame. The driver tables are read-only
+# inputs, so the listing and footer schema read are done once per session
+# (this caches the plan, not data).
+_READERS: dict[tuple[str, str], DataFrame] = {}
+_SPREAD: dict[tuple, DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _READERS:
+        _READERS[key] = spark.read.parquet(path)
+    return _READERS[key]
 
 
 def _price() -> Column:
@@ -77,9 +88,17 @@ class DerivedStar:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    def spread_table(self, name: str, *keys: str) -> DataFrame:
+        """The table, spread over all cores when its scan is under-partitioned
+        (see ``spread_small_scan``); the decision is kept per session and path."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir.rstrip("/"), name, keys)
+        if key not in _SPREAD:
+            _SPREAD[key] = spread_small_scan(self.table(name), *keys)
+        return _SPREAD[key]
+
     # ---- raw trades -----------------------------------------------------
     def trades(self) -> DataFrame:
-        return self.table("lineitem").select(
+        return self.spread_table("lineitem", "l_suppkey").select(
             "l_suppkey", F.to_date("l_shipdate").alias("Date"), _price().alias("p"),
             *TRADE_ORDER, "l_discount", "l_tax", "l_returnflag")
 
@@ -87,7 +106,7 @@ class DerivedStar:
         """One OHLCV row per (l_suppkey, Date); ``index_only`` keeps index members
         (filtered on the raw key, so the predicate reaches the parquet scan)."""
         seq = F.struct(*TRADE_ORDER)
-        li = self.table("lineitem")
+        li = self.spread_table("lineitem", "l_suppkey")
         if index_only:
             li = li.where(F.col("l_suppkey") < INDEX_KEY_LIMIT)
         t = li.select(
