@@ -428,3 +428,12 @@ def file_routing(spark, sf_dir):
     routed = route_feeds(spark, root)
     return routed.groupBy("kind").agg(F.count_distinct("file").alias("Files"),
                                       F.count("*").alias("Lines"))
+
+
+# ---- SQL surface -------------------------------------------------------------
+@register("index_performance_sql")
+def index_performance_sql(spark, sf_dir):
+    """The index performance view written in Spark SQL with a named WINDOW clause."""
+    from stockyard.plans.sql_views import performance_sql, register_star
+    register_star(spark, star(spark, sf_dir))
+    return spark.sql(performance_sql())
