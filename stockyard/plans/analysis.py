@@ -176,54 +176,68 @@ PERIOD_COLUMNS = ["StockSymbol", "Industry", "Latest_Close", "Latest_Date", "Per
                   "Sharpe_Ratio", "YTDReturn", "Trend"]
 
 
-def period_rows(v: DataFrame, period: str = "month", all_years: bool = False) -> DataFrame:
-    """rows of the latest month / quarter / year (anything else: all rows).
+def period_predicate(rows: DataFrame, period: str = "month", all_years: bool = False) -> Column:
+    """predicate selecting the latest month / quarter / year (TRUE for anything else).
 
-    The latest period is a scalar subquery over the whole view. By default the
+    The latest period is a scalar subquery over ``rows`` (the view's rows before
+    its windows, so the subquery does not recompute them). By default the
     month/quarter must also be in the latest year; ``all_years=True`` matches
     the month/quarter number in any year.
     """
     if period not in ("month", "quarter", "year"):
-        return v
+        return F.lit(True)
     if period == "year":
-        return v.where(F.col("Year") == v.select(F.max("Year")).scalar())
+        return F.col("Year") == rows.select(F.max("Year")).scalar()
     part = "Month" if period == "month" else "Quarter"
     if all_years:
-        latest_year = v.select(F.max("Year")).scalar()
-        latest = v.where(F.col("Year") == latest_year).select(F.max(part)).scalar()
-        return v.where(F.col(part) == latest)
+        latest_year = rows.select(F.max("Year")).scalar()
+        return F.col(part) == rows.where(F.col("Year") == latest_year).select(F.max(part)).scalar()
     scale = 100 if period == "month" else 10
     key = F.col("Year") * scale + F.col(part)
-    return v.where(key == v.select(F.max(key)).scalar())
+    return key == rows.select(F.max(key)).scalar()
+
+
+def period_rows(v: DataFrame, period: str = "month", all_years: bool = False) -> DataFrame:
+    """Rows of ``v`` in the latest period (see ``period_predicate``)."""
+    return v.where(period_predicate(v, period, all_years))
 
 
 def index_period_performance(star, period: str = "month", all_years: bool = False) -> DataFrame:
-    """One row per index member: period statistics joined to the latest row."""
+    """One row per index member with rows in the period: period statistics and
+    the member's latest row (over all dates).
+
+    One grouped pass over the view: period statistics are conditional
+    aggregates (min_by/max_by skip rows whose date is masked to NULL), the
+    latest row's values are max_by(..., Date). The grouping starts with
+    StockKey, so it reuses the view's partitioning - no extra shuffle, no
+    self-join.
+    """
     v = views.index_performance(star, with_key=True)
-    p = period_rows(v, period, all_years)
+    inp = period_predicate(views.index_rows(star), period, all_years)
     r = F.col("DailyReturn")
-    pp = p.groupBy("StockKey").agg(
-        F.min_by("Close", "Date").alias("Period_Start_Price"),
-        F.max_by("Close", "Date").alias("Period_End_Price"),
-        F.sum("Volume").cast("bigint").alias("Total_Period_Volume"),
-        F.count("*").alias("Trading_Days"),
-        F.count_if(r > 0).alias("Up_Days"),
-        F.count_if(r < 0).alias("Down_Days"),
-        F.avg(r).alias("_avg"),
-        F.stddev_samp(r).alias("_std"))
-    wl = Window.partitionBy("StockKey").orderBy(F.col("Date").desc())
-    lp = (v.withColumn("_rn", F.row_number().over(wl)).where(F.col("_rn") == 1)
-           .select("StockKey", "StockSymbol", "Industry", F.col("Close").alias("Latest_Close"),
-                   F.col("Date").alias("Latest_Date"), "YTDReturn", "MA10", "MA30"))
-    j = pp.join(lp, "StockKey")
-    return j.select(
+    d = F.when(inp, F.col("Date"))
+    g = v.groupBy("StockKey", "StockSymbol", "Industry").agg(
+        F.min_by("Close", d).alias("Period_Start_Price"),
+        F.max_by("Close", d).alias("Period_End_Price"),
+        F.sum(F.when(inp, F.col("Volume"))).cast("bigint").alias("Total_Period_Volume"),
+        F.count_if(inp).alias("Trading_Days"),
+        F.count_if(inp & (r > 0)).alias("Up_Days"),
+        F.count_if(inp & (r < 0)).alias("Down_Days"),
+        F.avg(F.when(inp, r)).alias("_avg"),
+        F.stddev_samp(F.when(inp, r)).alias("_std"),
+        F.max_by("Close", "Date").alias("Latest_Close"),
+        F.max("Date").alias("Latest_Date"),
+        F.max_by("YTDReturn", "Date").alias("YTDReturn"),
+        F.max_by("MA10", "Date").alias("_ma10"),
+        F.max_by("MA30", "Date").alias("_ma30"))
+    return g.where(F.col("Trading_Days") > 0).select(
         "StockSymbol", "Industry", "Latest_Close", "Latest_Date", "Period_Start_Price",
         "Period_End_Price",
         r2(pct_change("Period_End_Price", "Period_Start_Price")).alias("Period_Return_Percent"),
         "Total_Period_Volume", "Trading_Days", "Up_Days", "Down_Days",
         r2("_avg").alias("Avg_Daily_Return"), r2("_std").alias("Return_StdDev"),
         r4(F.col("_avg") / F.nullif(F.col("_std"), F.lit(0.0))).alias("Sharpe_Ratio"),
-        "YTDReturn", trend3("MA10", "MA30").alias("Trend"))
+        "YTDReturn", trend3("_ma10", "_ma30").alias("Trend"))
 
 
 def index_report(star, symbol: str | None = None, top_n: int = 5, period: str = "month",

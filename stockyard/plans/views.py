@@ -148,6 +148,13 @@ PERFORMANCE_COLUMNS = ["Date", "Year", "Quarter", "Month", "StockSymbol", "Indus
                        "Volume", "DailyReturn", "YTDReturn", "MA10", "MA30"]
 
 
+def index_rows(star) -> DataFrame:
+    """Index members' price rows joined to their dimensions (before any window)."""
+    return (star.index_fact_price()
+            .join(time_dim(star, ["Date", "Year", "Quarter", "Month"]), "TimeKey")
+            .join(company_dim(star, ["StockSymbol", "Industry"]), "StockKey"))
+
+
 def index_performance(star, with_key: bool = False) -> DataFrame:
     """Daily return, year-to-date return and 10/30-row moving averages of the
     index members.
@@ -156,9 +163,7 @@ def index_performance(star, with_key: bool = False) -> DataFrame:
     the order is the date order - and the per-stock window is computed first:
     one exchange on StockKey and one sort serve all of them.
     """
-    f = (star.index_fact_price()
-         .join(time_dim(star, ["Date", "Year", "Quarter", "Month"]), "TimeKey")
-         .join(company_dim(star, ["StockSymbol", "Industry"]), "StockKey"))
+    f = index_rows(star)
     wd = Window.partitionBy("StockKey").orderBy("Year", "Date")
     wy = Window.partitionBy("StockKey", "Year").orderBy("Date")
     prev = F.lag("Close").over(wd)
