@@ -102,16 +102,33 @@ class DerivedStar:
             "l_suppkey", F.to_date("l_shipdate").alias("Date"), _price().alias("p"),
             *TRADE_ORDER, "l_discount", "l_tax", "l_returnflag")
 
+    def scan_is_small(self, name: str) -> bool:
+        """The table's scan yields fewer partitions than the session's parallelism
+        (one small file with one row group); kept per session and path."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir.rstrip("/"), name, "small")
+        if key not in _SPREAD:
+            df = self.table(name)
+            _SPREAD[key] = df.rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism
+        return _SPREAD[key]
+
     def daily_bars(self, index_only: bool = False) -> DataFrame:
-        """One OHLCV row per (l_suppkey, Date); ``index_only`` keeps index members
-        (filtered on the raw key, so the predicate reaches the parquet scan)."""
+        """One OHLCV row per (StockKey, Date); ``index_only`` keeps index members
+        (filtered on the raw key, so the predicate reaches the parquet scan).
+
+        Grouping is on StockKey itself, so the aggregate's partitioning is by
+        StockKey: when a small scan is spread by StockKey first, the per-stock
+        windows downstream need no exchange of their own. Large scans keep the
+        map-side partial aggregation (hot stock-days are pre-reduced).
+        """
         seq = F.struct(*TRADE_ORDER)
-        li = self.spread_table("lineitem", "l_suppkey")
+        li = self.table("lineitem")
         if index_only:
             li = li.where(F.col("l_suppkey") < INDEX_KEY_LIMIT)
-        t = li.select(
-            "l_suppkey", F.to_date("l_shipdate").alias("Date"), _price().alias("p"), *TRADE_ORDER)
-        return t.groupBy("l_suppkey", "Date").agg(
+        t = li.select(F.col("l_suppkey").cast("int").alias("StockKey"),
+                      F.to_date("l_shipdate").alias("Date"), _price().alias("p"), *TRADE_ORDER)
+        if self.scan_is_small("lineitem"):
+            t = t.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "StockKey")
+        return t.groupBy("StockKey", "Date").agg(
             F.min_by("p", seq).alias("Open"),
             F.max("p").alias("High"),
             F.min("p").alias("Low"),
@@ -134,15 +151,14 @@ class DerivedStar:
         return _SMALL_SUPPLIER[key]
 
     def symbols(self) -> DataFrame:
-        """(l_suppkey, StockSymbol): the supplier name is the ticker."""
-        s = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"),
+        """(StockKey, StockSymbol): the supplier name is the ticker."""
+        s = self.table("supplier").select(F.col("s_suppkey").cast("int").alias("StockKey"),
                                           F.col("s_name").alias("StockSymbol"))
         return F.broadcast(s) if self.supplier_small else s
 
     # ---- warehouse tables -------------------------------------------------
     def _fact(self, bars: DataFrame) -> DataFrame:
-        return bars.select(time_key("Date").alias("TimeKey"),
-                           F.col("l_suppkey").cast("int").alias("StockKey"),
+        return bars.select(time_key("Date").alias("TimeKey"), "StockKey",
                            "Open", "High", "Low", "Close", "Volume")
 
     @cached_property
@@ -189,7 +205,7 @@ class DerivedStar:
     # ---- raw feeds --------------------------------------------------------
     def staging_quotes(self) -> DataFrame:
         """Quote feed shape: time (yyyy-MM-dd text), MaCK, open, high, low, close, volume."""
-        b = self.daily_bars().join(self.symbols(), "l_suppkey")
+        b = self.daily_bars().join(self.symbols(), "StockKey")
         return b.select(F.date_format("Date", "yyyy-MM-dd").alias("time"),
                         F.col("StockSymbol").alias("MaCK"),
                         F.col("Open").alias("open"), F.col("High").alias("high"),
@@ -199,13 +215,13 @@ class DerivedStar:
     def ratio_wide(self) -> DataFrame:
         """Wide ratio feed: CP, Năm, Kỳ + ratio columns under their feed names."""
         t = self.trades()
-        g = t.groupBy("l_suppkey", F.year("Date").cast("int").alias("Năm"),
+        g = t.groupBy(F.col("l_suppkey").cast("int").alias("StockKey"), F.year("Date").cast("int").alias("Năm"),
                       F.quarter("Date").cast("int").alias("Kỳ")).agg(
             (F.avg("l_discount") * 100).alias("ROE (%)"),
             (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("P/E"),
             F.avg(F.when(F.col("l_returnflag") == "R", F.col("p"))).alias("P/B"),
             (F.avg("l_tax") * 100).alias("TSCĐ / Vốn CSH"))
-        return g.join(self.symbols(), "l_suppkey").select(
+        return g.join(self.symbols(), "StockKey").select(
             F.col("StockSymbol").alias("CP"), "Năm", "Kỳ",
             "ROE (%)", "P/E", "P/B", "TSCĐ / Vốn CSH")
 
