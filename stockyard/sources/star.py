@@ -97,10 +97,19 @@ class DerivedStar:
         return _SPREAD[key]
 
     # ---- raw trades -----------------------------------------------------
-    def trades(self) -> DataFrame:
-        return self.spread_table("lineitem", "l_suppkey").select(
-            "l_suppkey", F.to_date("l_shipdate").alias("Date"), _price().alias("p"),
-            *TRADE_ORDER, "l_discount", "l_tax", "l_returnflag")
+    def trades(self, index_only: bool = False) -> DataFrame:
+        """Trade rows keyed by StockKey. A small scan (one row group) is spread
+        by StockKey, so every aggregation grouped by StockKey (+ more) runs on
+        all cores and keeps that partitioning for the per-stock windows."""
+        li = self.table("lineitem")
+        if index_only:
+            li = li.where(F.col("l_suppkey") < INDEX_KEY_LIMIT)    # reaches the scan
+        t = li.select(F.col("l_suppkey").cast("int").alias("StockKey"),
+                      F.to_date("l_shipdate").alias("Date"), _price().alias("p"),
+                      *TRADE_ORDER, "l_discount", "l_tax", "l_returnflag")
+        if self.scan_is_small("lineitem"):
+            t = t.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "StockKey")
+        return t
 
     def scan_is_small(self, name: str) -> bool:
         """The table's scan yields fewer partitions than the session's parallelism
@@ -121,13 +130,7 @@ class DerivedStar:
         map-side partial aggregation (hot stock-days are pre-reduced).
         """
         seq = F.struct(*TRADE_ORDER)
-        li = self.table("lineitem")
-        if index_only:
-            li = li.where(F.col("l_suppkey") < INDEX_KEY_LIMIT)
-        t = li.select(F.col("l_suppkey").cast("int").alias("StockKey"),
-                      F.to_date("l_shipdate").alias("Date"), _price().alias("p"), *TRADE_ORDER)
-        if self.scan_is_small("lineitem"):
-            t = t.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "StockKey")
+        t = self.trades(index_only)
         return t.groupBy("StockKey", "Date").agg(
             F.min_by("p", seq).alias("Open"),
             F.max("p").alias("High"),
@@ -215,7 +218,7 @@ class DerivedStar:
     def ratio_wide(self) -> DataFrame:
         """Wide ratio feed: CP, Năm, Kỳ + ratio columns under their feed names."""
         t = self.trades()
-        g = t.groupBy(F.col("l_suppkey").cast("int").alias("StockKey"), F.year("Date").cast("int").alias("Năm"),
+        g = t.groupBy("StockKey", F.year("Date").cast("int").alias("Năm"),
                       F.quarter("Date").cast("int").alias("Kỳ")).agg(
             (F.avg("l_discount") * 100).alias("ROE (%)"),
             (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("P/E"),
