@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockyard.functions.rounding import rnd
+from stockyard.session import literal_rows
 
 
 class EmptyInputError(RuntimeError):
@@ -175,8 +176,8 @@ def profile(df: DataFrame, cols: list[str] | None = None, digits: int = 4) -> Da
     wide = qs.groupBy("Column").agg(*[
         rnd(F.max(F.when(F.col("q") == p, F.col("value"))), digits).alias(f"P{int(p * 100)}")
         for p in PROFILE_QUANTILES])
-    types = df.sparkSession.createDataFrame(
-        [(c, fields[c].simpleString()) for c in cols], "Column string, DType string")
+    types = literal_rows(df.sparkSession, [(c, fields[c].simpleString()) for c in cols],
+                         ["Column", "DType"])
     return (stats.join(wide, "Column", "left").join(F.broadcast(types), "Column")
                  .select("Column", "DType", "NonNull", "Nulls", "Mean", "Std", "Min",
                          *[f"P{int(p * 100)}" for p in PROFILE_QUANTILES], "Max"))

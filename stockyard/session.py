@@ -109,3 +109,15 @@ def spread_small_scan(df: DataFrame, *keys: str) -> DataFrame:
         return df
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys) if keys else df.repartition(want)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str],
+                 position: str | None = None) -> DataFrame:
+    """A small literal table built JVM-side (inline over literal structs), so
+    using it starts no Python worker. ``position`` adds the 0-based row index."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    one = spark.range(1)
+    if position:
+        return one.select(F.posexplode(F.array(*structs)).alias(position, "_r")).select(
+            *[F.col(f"_r.{n}").alias(n) for n in names], position)
+    return one.select(F.inline(F.array(*structs)))

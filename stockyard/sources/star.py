@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from stockyard.functions.dates import date_parts, time_key
 from stockyard.functions.rounding import r2
-from stockyard.session import fits_broadcast, spread_small_scan
+from stockyard.session import fits_broadcast, literal_rows, spread_small_scan
 
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -229,10 +229,8 @@ class DerivedStar:
             "ROE (%)", "P/E", "P/B", "TSCĐ / Vốn CSH")
 
     def definition_feed(self) -> DataFrame:
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in
-                               ("name", "type", "unit", "order", "com_type_code")])
-        df = self.spark.createDataFrame(RATIO_DEFINITION_ROWS, schema)
-        return df.withColumn("_seq", F.monotonically_increasing_id())
+        return literal_rows(self.spark, RATIO_DEFINITION_ROWS,
+                            ["name", "type", "unit", "order", "com_type_code"], position="_seq")
 
     def company_feeds(self) -> tuple[DataFrame, DataFrame]:
         """(overview, profile) company feeds, each with columns the load drops."""

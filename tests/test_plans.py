@@ -58,5 +58,6 @@ def test_top_k_per_query_is_limited_before_the_shuffle(spark):
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITES_FILES))
 def test_no_python_udf_in_any_plan(spark, name):
     p = plan(entry.queries()[name](spark, SMALL))
-    for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
+    for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
+                 "ExistingRDD"):
         assert node not in p, f"{name} runs Python: {node}"
