@@ -142,20 +142,23 @@ def exact_quantiles(long: DataFrame, probs: tuple[float, ...] = PROFILE_QUANTILE
     ranked = (b.join(F.broadcast(offsets), ["Column", "bucket"])
                .withColumn("end", F.col("off") + F.sum("c").over(wv))
                .withColumn("start", F.col("end") - F.col("c")))
+    # every target rank (floor and ceil of (n-1)q) as its own row; one range
+    # join against the ranked values serves both
     targets = (bounds.select(F.col("Column").alias("tc"),
                              F.explode(F.array(*[F.lit(p) for p in probs])).alias("q"), "n")
                      .withColumn("h", (F.col("n") - 1) * F.col("q"))
-                     .withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h")))
-    t = F.broadcast(targets)
-    lo = (ranked.join(t, (F.col("Column") == F.col("tc")) & (F.col("start") <= F.col("lo"))
-                      & (F.col("lo") < F.col("end")))
-                .select("Column", "q", "h", "lo", F.col("v").alias("v_lo")))
-    hi = (ranked.join(t, (F.col("Column") == F.col("tc")) & (F.col("start") <= F.col("hi"))
-                      & (F.col("hi") < F.col("end")))
-                .select("Column", "q", F.col("v").alias("v_hi")))
-    j = lo.join(hi, ["Column", "q"])
+                     .select("tc", "q", "h", F.explode(F.array(
+                         F.struct(F.lit(0).alias("hi"), F.floor("h").alias("k")),
+                         F.struct(F.lit(1).alias("hi"), F.ceil("h").alias("k")))).alias("t"))
+                     .select("tc", "q", "h", "t.hi", "t.k"))
+    hit = ranked.join(F.broadcast(targets),
+                      (F.col("Column") == F.col("tc")) & (F.col("start") <= F.col("k"))
+                      & (F.col("k") < F.col("end")))
+    j = hit.groupBy("Column", "q", "h").agg(
+        F.max(F.when(F.col("hi") == 0, F.col("v"))).alias("v_lo"),
+        F.max(F.when(F.col("hi") == 1, F.col("v"))).alias("v_hi"))
     return j.select("Column", "q",
-                    (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo")))
+                    (F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo")))
                     .alias("value"))
 
 
