@@ -40,18 +40,23 @@ class StoredWarehouse:
         self.spark = spark
         self.root = root.rstrip("/")
         self.index_symbols = INDEX_SYMBOLS if index_symbols is None else index_symbols
+        # readers and derived decisions, dropped whenever this object appends to a table
+        self._cache: dict[str, object] = {}
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def read(self, table: str) -> DataFrame:
         """The table, or an empty frame of its schema when nothing was loaded yet."""
-        try:
-            return self.spark.read.schema(TABLES[table]).parquet(self.path(table))
-        except Exception as e:  # noqa: BLE001 - missing folder before the first load
-            if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-                return self.spark.createDataFrame([], TABLES[table])
-            raise
+        if table not in self._cache:
+            try:
+                df = self.spark.read.schema(TABLES[table]).parquet(self.path(table))
+            except Exception as e:  # noqa: BLE001 - missing folder before the first load
+                if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+                    raise
+                df = self.spark.createDataFrame([], TABLES[table])
+            self._cache[table] = df
+        return self._cache[table]
 
     @property
     def dim_time(self) -> DataFrame:
@@ -79,14 +84,18 @@ class StoredWarehouse:
     @property
     def company_small(self) -> bool:
         """Size check on the stored dimension (answered from parquet footers)."""
-        return fits_broadcast(self.dim_company)
+        if "company_small" not in self._cache:
+            self._cache["company_small"] = fits_broadcast(self.dim_company)
+        return self._cache["company_small"]
 
     def index_fact_price(self) -> DataFrame:
         """Index members' prices: symbols resolved to keys through the member
         list (at most len(index_symbols) keys), pushed to the fact scan."""
-        keys = [r[0] for r in self.dim_company.where(F.col("StockSymbol").isin(self.index_symbols))
+        if "index_keys" not in self._cache:
+            self._cache["index_keys"] = [
+                r[0] for r in self.dim_company.where(F.col("StockSymbol").isin(self.index_symbols))
                 .select("StockKey").collect()]
-        return self.fact_price.where(F.col("StockKey").isin(keys))
+        return self.fact_price.where(F.col("StockKey").isin(self._cache["index_keys"]))
 
     # ---- writes --------------------------------------------------------------
     def append(self, table: str, rows: DataFrame, cluster_by_stock: bool = False) -> None:
@@ -94,6 +103,7 @@ class StoredWarehouse:
         if cluster_by_stock:
             rows = rows.repartition("StockKey").sortWithinPartitions("StockKey", "TimeKey")
         rows.write.mode("append").parquet(self.path(table))
+        self._cache.clear()
 
     def insert_ignore(self, table: str, rows: DataFrame, keys: list[str],
                       cluster_by_stock: bool = False) -> None:
