@@ -107,8 +107,8 @@ def spread_small_scan(df: DataFrame, *keys: str) -> DataFrame:
     want = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys) if keys else df.repartition(want)
+    # the input is small by construction: two tasks per core
+    return df.repartition(2 * want, *keys) if keys else df.repartition(2 * want)
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str],

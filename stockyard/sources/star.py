@@ -108,7 +108,8 @@ class DerivedStar:
                       F.to_date("l_shipdate").alias("Date"), _price().alias("p"),
                       *TRADE_ORDER, "l_discount", "l_tax", "l_returnflag")
         if self.scan_is_small("lineitem"):
-            t = t.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "StockKey")
+            # small input by construction: two tasks per core
+            t = t.repartition(2 * self.spark.sparkContext.defaultParallelism, "StockKey")
         return t
 
     def scan_is_small(self, name: str) -> bool:
