@@ -75,7 +75,8 @@ def write_ratio_feed(star: DerivedStar, path: str) -> None:
     _write_lines(lines, path, "feed_file", "_ord")
 
 
-def write_quote_feed(star: DerivedStar, path: str, corrupt_first_day: bool = True) -> None:
+def write_quote_feed(star: DerivedStar, path: str, corrupt_first_day: bool = True,
+                     per_symbol: bool = False) -> None:
     """Quote CSV files (header row) with the close price unreadable ('n/a') on the
     first calendar day of a month, to exercise the quarantine."""
     q = star.staging_quotes()
@@ -85,7 +86,7 @@ def write_quote_feed(star: DerivedStar, path: str, corrupt_first_day: bool = Tru
     out = q.select("time", "MaCK", F.col("open").cast("string").alias("open"),
                    F.col("high").cast("string").alias("high"), F.col("low").cast("string").alias("low"),
                    close.alias("close"), F.col("volume").cast("string").alias("volume"))
-    write_csv(out, path)
+    write_csv(out, path, partition_by=["MaCK"] if per_symbol else None)
 
 
 def write_company_feeds(star: DerivedStar, root: str) -> None:

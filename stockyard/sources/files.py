@@ -61,9 +61,20 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, glob: str = "
         raise
 
 
-def read_quotes(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """Quote files (time, MaCK, open, high, low, close, volume)."""
-    return read_csv(spark, path, QUOTE_SCHEMA, glob)
+def read_quotes(spark: SparkSession, path: str, glob: str = "*.csv",
+                per_symbol_folders: bool = False) -> DataFrame:
+    """Quote files (time, MaCK, open, high, low, close, volume).
+
+    ``per_symbol_folders``: the history is laid out one folder per symbol
+    (``MaCK=<symbol>/``, as written by ``write_csv(..., partition_by=["MaCK"])``);
+    the symbol then comes from the folder, via partition discovery, and a
+    filter on it prunes whole folders.
+    """
+    if not per_symbol_folders:
+        return read_csv(spark, path, QUOTE_SCHEMA, glob)
+    df = (spark.read.schema(QUOTE_SCHEMA).option("header", True).option("pathGlobFilter", glob)
+          .option("encoding", "UTF-8").csv(path))
+    return df.select(*QUOTE_SCHEMA.fieldNames(), F.col("_metadata.file_path").alias("source_file"))
 
 
 def read_with_quarantine(spark: SparkSession, path: str, schema: T.StructType,

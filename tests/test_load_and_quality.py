@@ -141,3 +141,20 @@ def test_create_tables_and_decimal_changes(spark, tmpdir_path):
     assert change_decimal(df, "r", 7, 2).first().r is not None
     with pytest.raises(Exception):
         change_decimal(df, "r", 2, 2).collect()          # narrowing overflow raises (ANSI)
+
+
+def test_per_symbol_quote_history_round_trip(spark, tmpdir_path):
+    from stockyard.sources.feeds import write_quote_feed
+    from stockyard.sources.star import DerivedStar
+    from conftest import SMALL
+    s = DerivedStar(spark, SMALL)
+    path = os.path.join(tmpdir_path, "history")
+    write_quote_feed(s, path, corrupt_first_day=False, per_symbol=True)
+    back = files.read_quotes(spark, path, per_symbol_folders=True)
+    want = s.staging_quotes()
+    assert back.count() == want.count()
+    sym = want.select("MaCK").first()["MaCK"]
+    one = back.where(F.col("MaCK") == sym)
+    assert one.count() == want.where(F.col("MaCK") == sym).count()
+    assert one.select("source_file").distinct().count() >= 1
+    assert all(f"MaCK=" in r.source_file for r in one.select("source_file").distinct().collect())
