@@ -28,10 +28,6 @@ def symbol_keys(star, symbol: str) -> Column:
     return F.col("StockKey").isin(keys) if keys else F.lit(False)
 
 
-def _maybe(v: DataFrame, cond: Column | None) -> DataFrame:
-    return v if cond is None else v.where(cond)
-
-
 def _digits(c: Column, digits: int | None) -> Column:
     return c if digits is None else rnd(c, digits)
 

@@ -22,7 +22,6 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stockyard.functions.dates import date_parts, time_key
 from stockyard.functions.rounding import r2
