@@ -259,6 +259,12 @@ def industry_performance(report: DataFrame) -> DataFrame:
             .orderBy(F.col("AvgPeriodReturn").desc_nulls_last(), "Industry"))
 
 
+def average_return(report: DataFrame) -> DataFrame:
+    """Mean period return over a report (one row; NULL returns skipped)."""
+    return report.agg(r4(F.avg("Period_Return_Percent")).alias("AvgPeriodReturn"),
+                      F.count("*").alias("Stocks"))
+
+
 class Warehouse:
     """The four analysis functions bound to one star (the tool surface, API5)."""
 

@@ -151,3 +151,13 @@ def test_first_match_lookup_does_not_duplicate(spark):
                                  "CP string, `Năm` int, `Kỳ` int, `P/B` double")
     long = prepare_fact_ratios(wide, s.dim_time).collect()
     assert len(long) == 1 and long[0]["Value"] == -99999999.0    # NULL -> sentinel
+
+
+def test_average_return_over_report(spark):
+    s = make_star(spark, {1: [(d, 10.0 + i) for i, d in enumerate(days(3))],
+                          2: [(d, 10.0) for d in days(3)]})
+    rep = A.index_report(s, top_n=5, period="month")
+    got = A.average_return(rep).first()
+    assert got["Stocks"] == 2 and got["AvgPeriodReturn"] == 10.0     # (20% + 0%) / 2
+    ind = {r["Industry"]: r["AvgPeriodReturn"] for r in A.industry_performance(rep).collect()}
+    assert ind == {"Banks": 20.0, "Steel": 0.0}
