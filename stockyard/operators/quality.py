@@ -119,7 +119,7 @@ def exact_quantiles(long: DataFrame, probs: tuple[float, ...] = PROFILE_QUANTILE
     ``long`` has columns (Column, v). Steps, all distributed:
     1. distinct values with their counts (a value repeated by a third of the
        rows becomes one row);
-    2. approximate bucket boundaries per column, then a running count inside
+    2. approximate bucket boundaries of the distinct values, then a running count inside
        each (column, bucket) window plus a per-bucket offset: every distinct
        value gets its exact global rank range [start, end);
     3. the target ranks floor/ceil((n-1)q) pick their values by a range
@@ -128,9 +128,12 @@ def exact_quantiles(long: DataFrame, probs: tuple[float, ...] = PROFILE_QUANTILE
     """
     vals = long.where(F.col("v").isNotNull())
     counts = vals.groupBy("Column", "v").agg(F.count("*").alias("c"))
+    # Bucket bounds only balance the ranking windows, which run over distinct
+    # values: take them from the distinct values, coarsely (exactness of the
+    # result does not depend on them). n is the non-NULL row count.
     fracs = [i / buckets for i in range(1, buckets)]
-    bounds = vals.groupBy("Column").agg(
-        F.percentile_approx("v", fracs, 10000).alias("bounds"), F.count("*").alias("n"))
+    bounds = counts.groupBy("Column").agg(
+        F.percentile_approx("v", fracs, 1000).alias("bounds"), F.sum("c").alias("n"))
     b = (counts.join(F.broadcast(bounds), "Column")
                .withColumn("bucket", F.size(F.filter("bounds", lambda x: x < F.col("v"))))
                .drop("bounds"))
