@@ -80,3 +80,22 @@ def test_streaming_daily_load(spark, tmpdir_path):
     q2 = start_daily_stream(spark, wh, src, os.path.join(tmpdir_path, "ckpt"))
     q2.awaitTermination(300)
     assert wh.read("Fact_StockPrice").count() == s.fact_price.count()
+
+
+def test_quarterly_flow_reports_unresolved_ratio_in_literal_mode(spark, tmpdir_path):
+    from stockyard.functions.names import OVERVIEW_DROP, PROFILE_DROP
+    from stockyard.operators import dims
+    from stockyard.operators.conform import drop_columns
+    s = DerivedStar(spark, SMALL)
+    wh = StoredWarehouse(spark, os.path.join(tmpdir_path, "wh"))
+    overview, profile = s.company_feeds()
+    comp = drop_columns(profile, PROFILE_DROP).join(drop_columns(overview, OVERVIEW_DROP), "symbol")
+    wh.append("Dim_Company", dims.build_dim_company(comp))
+    daily_flow(wh, s.staging_quotes(), apply_high_water=False)
+    r = quarterly_flow(wh, s.ratio_wide(), overview, profile, s.definition_feed(), normalise=False)
+    assert r.status == "loaded" and r.metrics["unresolved"] == 1    # 'TSCĐ/Vốn CSH'
+    names = {row["RatioName"] for row in wh.read("Dim_Ratio").collect()}
+    assert "TSCĐ / Vốn CSH" in names
+    # three of the four ratio columns resolve
+    per_quarter = wh.read("Fact_FinancialRatios").groupBy("TimeKey", "StockKey").count()
+    assert per_quarter.agg(F.max("count")).first()[0] == 3
