@@ -6,10 +6,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockyard.llm import substring_dedup, suffix_dedup
+from stockyard.llm import (
+    decontaminate,
+    kd_search,
+    language,
+    near_dup,
+    packing,
+    quality,
+    secret_scan,
+    shards,
+    substring_dedup,
+    suffix_dedup,
+)
 from stockyard.llm.common import documents
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(documents(spark, sf_dir))
+
+
+def op1_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.pages(table(spark, sf_dir, "pages"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(documents(spark, sf_dir))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(documents(spark, sf_dir))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
@@ -18,5 +53,24 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_suffix_array_dedup, op6_substring_dedup)}
-ORACLE: dict[str, str] = {}
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.digest(documents(spark, sf_dir))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(documents(spark, sf_dir))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op1_language_id_pages, op2_decontamination, op3_secret_scan, op4_sharding,
+    op5_suffix_array_dedup, op6_substring_dedup, op7_minhash_near_dedup, op8_exact_top_k, op9_packing,
+    op10_quality_classifier)}
+ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op8_exact_top_k": kd_search.ORACLE}
