@@ -5,8 +5,8 @@ value (here: equal texts), so a group of n documents has n links, not n * n. Eve
 document starts in a hashed shard. In each round a hub looks at its documents' shards
 and calls for the one that most of them are in (ties by a hash of hub and shard,
 so that equal calls spread); linked documents that stand elsewhere want to move
-there. A shard admits as many as its quota leaves room for, whole hubs first
-come. A last step makes the counts exact: shards above their quota give up rows
+there. A shard admits as many as its quota leaves room for beside the linked documents
+that stay. A last step makes the counts exact: shards above their quota give up rows
 - unlinked ones first, whose move cuts nothing - to the shards below.
 
 Law: ``rows``. With n rows and k shards, n mod k shards hold one row more than
@@ -29,7 +29,6 @@ from stockyard.llm.common import stored
 
 SHARDS = 24
 ROUNDS = 3
-SLACK = 0.05                 # what a shard may take beyond its quota between rounds
 BUCKET_ROWS = 100_000        # rows that one window partition ranks, about
 
 
@@ -55,8 +54,9 @@ def propagate(rows: DataFrame, shards: int, quota: int, buckets: int) -> DataFra
     called = votes.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("h"), "shard")).alias("best"))
     wish = rows.join(called.select("hub", F.col("best.shard").alias("goal")), "hub", "left")
     wish = wish.withColumn("goal", F.coalesce("goal", "shard"))
-    sizes = rows.groupBy("shard").agg(F.count("*").alias("size"))
-    room = sizes.select(F.col("shard").alias("goal"), (F.lit(int(quota * (1 + SLACK)) + 1) - F.col("size")).alias("room"))
+    # unlinked rows can leave later without a cut, so linked rows alone use up the quota
+    linked = wish.filter("hub is not null").groupBy("shard").agg(F.sum((F.col("goal") == F.col("shard")).cast("long")).alias("n"))
+    room = linked.select(F.col("shard").alias("goal"), F.greatest(F.lit(quota) - F.col("n"), F.lit(0)).alias("room"))
     movers = ranked(wish.filter("goal <> shard").withColumn("late", F.lit(0)), "goal", "late", "row", buckets, "rank")
     admitted = movers.join(F.broadcast(room), "goal", "left").filter(      # one row for each shard
         F.col("rank") < F.coalesce("room", F.lit(quota)))
