@@ -28,7 +28,3 @@ def date_parts(d: Column | str) -> list[Column]:
         F.weekofyear(d).cast("int").alias("Week"),
         F.dayofmonth(d).cast("int").alias("Day"),
     ]
-
-
-def parse_date(c: Column | str, fmt: str = "yyyy-MM-dd") -> Column:
-    return F.to_date(_c(c), fmt)

@@ -27,9 +27,6 @@ RATIO_NAMES = [
     "Chỉ số thanh toán nhanh", "Khả năng chi trả lãi vay", "EV/EBITDA",
 ]
 
-# Identity columns of the wide ratio feed: symbol, year, quarter.
-RATIO_ID_COLUMNS = ["CP", "Năm", "Kỳ"]
-
 # Rename of the wide ratio feed's columns to warehouse ratio names.
 RATIO_COLUMN_RENAME = {
     "CP": "StockSymbol",
@@ -122,8 +119,3 @@ def canonical_ratio_name(c: Column | str) -> Column:
     and the fact's 'TSCĐ/Vốn CSH' meet (defect D8 fixed on both sides).
     """
     return F.regexp_replace(strip_trailing_paren(c), r"\s*/\s*", "/")
-
-
-def renamed_ratio_column(raw: str) -> str:
-    """P1 for one wide ratio column name (unknown names pass through)."""
-    return RATIO_COLUMN_RENAME.get(raw, raw)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,18 +37,6 @@ def conform(df: DataFrame, target: list[str],
     return df.select(*cols)
 
 
-def union_conformed(frames: list[DataFrame], target: list[str],
-                    types: dict[str, T.DataType] | None = None) -> DataFrame:
-    """P4 + U1: conform each frame, then one bag union by name."""
-    conformed = [conform(f, target, types) for f in frames]
-    return reduce(lambda a, b: a.unionByName(b), conformed)
-
-
-def tag(df: DataFrame, name: str, value) -> DataFrame:
-    """P5: constant tag column."""
-    return df.withColumn(name, F.lit(value))
-
-
 def fill_sentinel(df: DataFrame, value: float, subset: list[str] | None = None) -> DataFrame:
     """NULL -> sentinel in every double column (or in ``subset``)."""
     if subset is None:

@@ -12,16 +12,15 @@ from stockyard.functions.names import (
     canonical_ratio_name, strip_trailing_paren,
 )
 from stockyard.operators.conform import dedupe_first, rename_columns
-from stockyard.session import fits_broadcast
 
-# Number of hash buckets used to number a large dimension without a global sort.
-KEY_BUCKETS = 64
+# Leading hexadecimal digits of the natural key's hash that make a numbering bucket.
+BUCKET_DIGITS = 4
 
 
 def build_dim_time(quotes: DataFrame, time_col: str = "time",
                    fmt: str = "yyyy-MM-dd") -> DataFrame:
     """L1: one row per distinct quote date with its calendar parts."""
-    d = quotes.select(F.to_date(F.col(time_col), fmt).alias("Date")).where(F.col("Date").isNotNull())
+    d = quotes.select(F.try_to_timestamp(F.col(time_col), F.lit(fmt)).cast("date").alias("Date")).where(F.col("Date").isNotNull())
     return d.distinct().select(*date_parts("Date"))
 
 
@@ -54,55 +53,34 @@ def build_dim_ratio(definitions: DataFrame, normalise: bool = True,
                     "RatioName", "Unit", "RatioType")
 
 
-def allocate_keys(new: DataFrame, existing: DataFrame | None, natural: str, key: str,
-                  order_by: list[str] | None = None, small: bool | None = None) -> DataFrame:
+def allocate_keys(new: DataFrame, existing: DataFrame | None, natural: str, key: str) -> DataFrame:
     """Surrogate keys that survive re-runs.
 
     A natural key already in ``existing`` keeps its key (largest one if the
     existing table repeats the natural key); new natural keys get
-    ``max(existing key) + dense number``. New keys are numbered in
-    ``order_by`` (default: natural key) order when the new set is small
-    (one ordered window); for large sets they are numbered by
-    (hash bucket, natural key) with per-bucket offsets, so no single task
-    sorts the whole dimension.
+    ``max(existing key) + dense number``, numbered in the order of
+    (md5 of the natural key, natural key). That order is the same for any number of
+    rows, and a prefix of the hash splits it into even ranges, so the
+    numbering is one window for each of 16**BUCKET_DIGITS ranges plus the ranges' prefix sums.
     """
-    order_by = order_by or [natural]
-    tiebreak = [c for c in new.columns if c not in order_by]
-    new = dedupe_first(new, [natural], order_by + tiebreak)
-    if existing is not None:
-        known = existing.groupBy(natural).agg(F.max(key).alias(key))
-        base = F.coalesce(existing.select(F.max(key)).scalar(), F.lit(0))
-        matched = new.join(known, natural, "inner")
-        fresh = new.join(known.select(natural), natural, "left_anti")
-    else:
-        base = F.lit(0)
-        matched = None
-        fresh = new
-    if small is None:
-        small = fits_broadcast(fresh)
-    if small:
-        rn = F.row_number().over(Window.orderBy(*order_by))
-        numbered = fresh.withColumn(key, (base + rn).cast("int"))
-    else:
-        numbered = number_by_bucket(fresh, natural, key, base)
-    if matched is None:
-        return numbered
-    return matched.unionByName(numbered)
-
-
-def number_by_bucket(df: DataFrame, natural: str, key: str, base: Column,
-                     buckets: int = KEY_BUCKETS) -> DataFrame:
-    """Dense 1..n numbering without a global sort.
-
-    Rows are spread over ``buckets`` hash buckets of the natural key; each
-    bucket is numbered by its own window; bucket offsets come from a
-    ``buckets``-row prefix sum.
-    """
-    b = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(natural)), F.lit(buckets)))
-    counts = b.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n"))
-                            .alias("_off"))
-    rn = F.row_number().over(Window.partitionBy("_bucket").orderBy(natural))
-    return (b.join(F.broadcast(offsets), "_bucket")
-             .withColumn(key, (base + F.col("_off") + rn).cast("int"))
-             .drop("_bucket", "_off"))
+    new = dedupe_first(new, [natural], [c for c in new.columns if c != natural] or [natural])
+    if existing is None:
+        return numbered(new, natural, key, F.lit(0))
+    known = existing.groupBy(natural).agg(F.max(key).alias(key))
+    base = F.coalesce(existing.select(F.max(key)).scalar(), F.lit(0))
+    fresh = new.join(known.select(natural), natural, "left_anti")
+    return new.join(known, natural, "inner").unionByName(numbered(fresh, natural, key, base))
+
+
+def numbered(df: DataFrame, natural: str, key: str, base: Column) -> DataFrame:
+    """Dense numbers ``base + 1 ..`` in the order of (md5 of the natural key, natural key)."""
+    ranged = df.withColumn("_hash", F.md5(F.col(natural).cast("string").cast("binary"))) \
+               .withColumn("_range", F.substring("_hash", 1, BUCKET_DIGITS))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    # one row for each range: at most 16**BUCKET_DIGITS
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("_hash", natural))
+    return (ranged.join(F.broadcast(offsets), "_range")
+            .withColumn(key, (base + F.col("_before") + rank).cast("int"))
+            .drop("_hash", "_range", "_before"))

@@ -48,12 +48,33 @@ def alter_add_column(spark: SparkSession, table: str, name: str, sql_type: str)
     spark.sql(f"ALTER TABLE `{table}` ADD COLUMNS (`{name}` {sql_type})")
 
 
+def schema_downgrade(spark: SparkSession, table: str, name: str, precision: int, scale: int,
+                     new_location: str) -> DataFrame:
+    """E5 on a catalog table: back to a narrower decimal. A value that does not fit
+    raises, and the table stays as it was."""
+    return rewrite_table(spark, table, new_location, lambda df: change_decimal(df, name, precision, scale))
+
+
 def rewrite_table(spark: SparkSession, table: str, new_location: str, transform) -> DataFrame:
-    """E3-E5 on a catalog table: write ``transform(table)`` to a new location and
-    re-point the table there. The old files stay until the caller removes them."""
-    df = transform(spark.table(table))
+    """E3-E5 on a catalog table: write ``transform(table)`` to a new location, declare a
+    new table over it, then swap the names.
+
+    Columns whose type the transform keeps also keep their declared limits
+    (varchar(n)), and NOT NULL where the catalog records it. The old table goes last, so a failure at any
+    point leaves a complete table under the name; the old files stay until the caller
+    removes them.
+    """
+    old = spark.table(table)
+    declared = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE `{table}`").collect()}
+    fixed = {c.name for c in spark.catalog.listColumns(table) if not c.nullable}
+    df = transform(old)
     df.write.mode("error").parquet(new_location)
-    spark.sql(f"DROP TABLE `{table}`")
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    spark.sql(f"CREATE TABLE `{table}` ({cols}) USING parquet LOCATION '{new_location}'")
+    kept = {f.name: f.dataType for f in old.schema.fields}
+    cols = ", ".join(
+        f"`{f.name}` {declared[f.name] if kept.get(f.name) == f.dataType else f.dataType.simpleString()}"
+        f"{' NOT NULL' if f.name in fixed else ''}" for f in df.schema.fields)
+    spark.sql(f"CREATE TABLE `{table}__new` ({cols}) USING parquet LOCATION '{new_location}'")
+    spark.sql(f"ALTER TABLE `{table}` RENAME TO `{table}__old`")
+    spark.sql(f"ALTER TABLE `{table}__new` RENAME TO `{table}`")
+    spark.sql(f"DROP TABLE `{table}__old`")
     return spark.table(table)

@@ -26,7 +26,7 @@ def prepare_fact_price(quotes: DataFrame, dim_time: DataFrame) -> DataFrame:
     The time dimension is one row per trading day, bounded by the calendar
     rather than by data volume, so it is broadcast.
     """
-    q = quotes.withColumn("Date", F.to_date("time", "yyyy-MM-dd"))
+    q = quotes.withColumn("Date", F.try_to_timestamp("time", F.lit("yyyy-MM-dd")).cast("date"))
     t = F.broadcast(dim_time.select("Date", "TimeKey"))
     return (q.join(t, "Date")
              .withColumnRenamed("MaCK", "StockSymbol")
@@ -56,6 +56,14 @@ def resolve_price_keys(staged: DataFrame, dim_company: DataFrame,
                           F.col("volume").cast("bigint").alias("Volume")))
 
 
+def unresolved_symbols(staged: DataFrame, dim_company: DataFrame,
+                       company_small: bool | None = None) -> DataFrame:
+    """L7 for prices: symbols without a company, with the rows they drop."""
+    keys = _maybe_broadcast(company_key_map(dim_company).select("StockSymbol"), company_small)
+    return (staged.join(keys, "StockSymbol", "left_anti").groupBy("StockSymbol")
+            .agg(F.count("*").alias("DroppedRows")))
+
+
 def quarter_first_day(dim_time: DataFrame) -> DataFrame:
     """J5 lookup table: (Year, Quarter) -> first TimeKey of the quarter."""
     return dim_time.groupBy("Year", "Quarter").agg(F.min("TimeKey").alias("TimeKey"))

@@ -2,8 +2,9 @@
 
 Plain parquet tables have no MERGE, so every load is anti-join + append:
 the batch is de-duplicated on its key, compared with the target's keys and
-only new keys are appended. The key comparison is a shuffle join on the key
-(AQE turns it into a broadcast when the batch side is small at runtime).
+only new keys are appended. The target is first cut to the batch's range of the
+leading key (a scalar subquery that reaches the target's scan), so a daily batch
+is compared with the days it holds, not with the whole history.
 """
 
 from __future__ import annotations
@@ -33,7 +34,14 @@ def rows_to_insert(target: DataFrame, batch: DataFrame, keys: list[str],
                    order_by: list[str] | None = None) -> DataFrame:
     """K2: batch rows whose key is not in the target (insert ... on conflict do nothing)."""
     b = dedupe_batch(batch, keys, order_by)
-    return b.join(target.select(*keys), keys, "left_anti")
+    return b.join(within_batch(target, batch, keys[0]).select(*keys), keys, "left_anti")
+
+
+def within_batch(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """Target rows whose ``key`` lies in the batch's range of it."""
+    low = batch.select(F.min(key)).scalar()
+    high = batch.select(F.max(key)).scalar()
+    return target.where((F.col(key) >= low) & (F.col(key) <= high))
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str],
@@ -57,7 +65,7 @@ def key_conflicts(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataF
     Output: keys..., BatchRows (copies in the batch), InTarget (bool).
     """
     per_key = batch.groupBy(*keys).agg(F.count("*").alias("BatchRows"))
-    existing = target.select(*keys).distinct().withColumn("InTarget", F.lit(True))
+    existing = within_batch(target, batch, keys[0]).select(*keys).distinct().withColumn("InTarget", F.lit(True))
     j = per_key.join(existing, keys, "left").withColumn(
         "InTarget", F.coalesce(F.col("InTarget"), F.lit(False)))
     return j.where((F.col("BatchRows") > 1) | F.col("InTarget"))
@@ -65,13 +73,17 @@ def key_conflicts(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataF
 
 def strict_append(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """K3: the target plus the batch; raises DuplicateKeyError on any key conflict."""
-    conflicts = key_conflicts(target, batch, keys)
-    if not conflicts.isEmpty():
-        sample = [r.asDict() for r in conflicts.limit(5).collect()]
-        raise DuplicateKeyError(f"duplicate primary key in {keys}: {sample}")
+    require_new_keys(target, batch, keys)
     return target.unionByName(batch)
 
 
+def require_new_keys(target: DataFrame, batch: DataFrame, keys: list[str]) -> None:
+    """Raise DuplicateKeyError if a batch key repeats or is in the target."""
+    sample = [r.asDict() for r in key_conflicts(target, batch, keys).take(5)]
+    if sample:
+        raise DuplicateKeyError(f"duplicate primary key in {keys}: {sample}")
+
+
 def high_water_date(dim_time: DataFrame, start: str = HISTORY_START) -> Column:
     """Next date to load = max(Date) + 1 day; the history start on an empty table."""
     nxt = dim_time.select(F.date_add(F.max("Date"), 1).alias("d")).scalar()
@@ -82,14 +94,6 @@ def rows_after_high_water(quotes: DataFrame, dim_time: DataFrame, time_col: str
                           until: str | _dt.date | None = None,
                           start: str = HISTORY_START) -> DataFrame:
     """Quote rows dated from the high-water mark up to ``until`` (default: today)."""
-    d = F.to_date(F.col(time_col), "yyyy-MM-dd")
+    d = F.try_to_timestamp(F.col(time_col), F.lit("yyyy-MM-dd")).cast("date")
     end = F.current_date() if until is None else F.to_date(F.lit(str(until)))
     return quotes.where((d >= high_water_date(dim_time, start)) & (d <= end))
-
-
-def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append rows to a parquet table (one write job, no row-by-row insert)."""
-    w = df.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockyard.functions.rounding import rnd
+from stockyard.schemas import DECIMAL_LIMITS, PRIMARY_KEYS
 from stockyard.session import literal_rows
 
 
@@ -23,6 +24,22 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+class InvalidRowsError(ValueError):
+    """A batch holds NULL keys or values beyond the declared limits."""
+
+
+def require_valid(df: DataFrame, table: str) -> None:
+    """Q5 + Q6 as a gate, in one pass: raise if ``df`` has NULL keys of ``table``, or
+    values that do not fit its declared decimals."""
+    checks = {f"{c} is NULL": F.col(c).isNull() for c in PRIMARY_KEYS[table]}
+    for c, (p, s) in DECIMAL_LIMITS.get(table, {}).items():
+        checks[f"{c} beyond decimal({p},{s})"] = F.col(c).isNotNull() & F.col(c).try_cast(T.DecimalType(p, s)).isNull()
+    found = df.agg(*[F.count_if(c).alias(n) for n, c in checks.items()]).first().asDict()
+    bad = {n: v for n, v in found.items() if v}
+    if bad:
+        raise InvalidRowsError(f"{table}: {bad}")
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -187,3 +204,24 @@ def profile(df: DataFrame, cols: list[str] | None = None, digits: int = 4) -> Da
     return (stats.join(wide, "Column", "left").join(F.broadcast(types), "Column")
                  .select("Column", "DType", "NonNull", "Nulls", "Mean", "Std", "Min",
                          *[f"P{int(p * 100)}" for p in PROFILE_QUANTILES], "Max"))
+
+
+def column_info(df: DataFrame) -> DataFrame:
+    """A17 for every column of any type: Position, Column, DType, Rows, NonNull, Nulls,
+    and the least and greatest value as text. One pass over the table."""
+    aggs = [F.count("*").alias("rows")]
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(f"`{f.name}`")
+        aggs += [F.count(c).alias(f"n{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
+    row = df.agg(*aggs)
+    parts = [F.struct(F.lit(i).alias("Position"), F.lit(f.name).alias("Column"),
+                      F.lit(f.dataType.simpleString()).alias("DType"), F.col("rows").alias("Rows"),
+                      F.col(f"n{i}").alias("NonNull"), (F.col("rows") - F.col(f"n{i}")).alias("Nulls"),
+                      F.col(f"lo{i}").alias("Least"), F.col(f"hi{i}").alias("Greatest"))
+             for i, f in enumerate(df.schema.fields)]
+    return row.select(F.inline(F.array(*parts)))
+
+
+def head(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in an explicit order."""
+    return df.orderBy(*order_by).limit(n)

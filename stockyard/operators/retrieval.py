@@ -1,8 +1,8 @@
 """Retrieval over stored embeddings and text (V1-V4).
 
-* V1 exact cosine top-k: the (bounded) query set travels as one array
-  literal; every corpus row scores all queries with built-in higher-order
-  functions (no join, no Python), and ``row_number() <= k`` per query gets a
+* V1 exact cosine top-k: within a query's own symbol an equi-join; over a whole
+  corpus, blocks of queries travel as literals and every corpus row scores them
+  with built-in higher-order functions (no join, no Python), and ``row_number() <= k`` per query gets a
   partial WindowGroupLimit before the shuffle, so each map task ships at most
   k rows per query.
 * V2 approximate top-k: random-projection LSH (pyspark.ml) on unit vectors;
@@ -13,14 +13,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.functions.rounding import rnd
+from stockyard.session import fits_broadcast
 from stockyard.functions.text import chunk_starts, keyword_flags, words
 
-# Queries scored in one pass; larger query sets are processed in blocks of this size.
-MAX_QUERY_BLOCK = 1024
+# Queries scored in one pass, about; larger query sets are processed in hash blocks.
+QUERY_BLOCK = 256
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -36,47 +39,61 @@ def _as_double(c: str) -> Column:
     return F.transform(F.col(c), lambda x: x.cast("double"))
 
 
-def _score_block(corpus: DataFrame, qids: list, qvecs: list, k: int, id_col: str,
-                 vec_col: str, digits: int | None) -> DataFrame:
-    qmat = F.lit(qvecs)
-    v = _as_double(vec_col)
-    scored = corpus.select(
-        F.col(id_col),
-        F.posexplode(F.transform(qmat, lambda q: cosine(q, v))).alias("_q", "_score"))
-    w = Window.partitionBy("_q").orderBy(F.col("_score").desc_nulls_last(), F.col(id_col).asc())
+def _with_norm(df: DataFrame, vec: str, out: str) -> DataFrame:
+    """Vector as doubles and its norm, once for each row of this side."""
+    d = df.withColumn(out, _as_double(vec))
+    return d.withColumn(f"{out}_norm", F.sqrt(_dot(F.col(out), F.col(out))))
+
+
+def _ranked(scored: DataFrame, by: str, id_col: str, k: int, digits: int | None) -> DataFrame:
+    w = Window.partitionBy(by).orderBy(F.col("_score").desc_nulls_last(), F.col(id_col).asc())
     top = (scored.where(F.col("_score").isNotNull())
                  .withColumn("Rank", F.row_number().over(w)).where(F.col("Rank") <= k))
     score = F.col("_score") if digits is None else rnd(F.col("_score"), digits)
-    return top.select(F.element_at(F.lit(qids), F.col("_q") + 1).alias("QueryId"),
-                      "Rank", F.col(id_col), score.alias("Score"))
+    return top.select(F.col(by).alias("QueryId"), "Rank", F.col(id_col), score.alias("Score"))
 
 
 def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
                 vec_col: str = "embedding", query_id_col: str = "query_id",
                 query_vec_col: str = "embedding", digits: int | None = 6) -> DataFrame:
-    """V1: for every query, the k corpus rows with the highest cosine similarity.
+    """V1 over a whole corpus: for every query, the k rows with the highest cosine similarity.
 
-    Ties are broken by ``id_col`` ascending. The query set is collected in
-    blocks of at most MAX_QUERY_BLOCK vectors (its size is what bounds the
-    literal); each block is one scan of the corpus.
+    Ties are broken by ``id_col`` ascending. The query set is taken in hash
+    blocks of about QUERY_BLOCK vectors: each block travels as one
+    literal, so a corpus row scores it without a join, and a task keeps k rows
+    for each query before the shuffle. Each side's norms are computed once.
     """
-    q = queries.select(F.col(query_id_col), _as_double(query_vec_col).alias("_v"))
-    out = None
-    offset = 0
-    while True:
-        block = q.orderBy(query_id_col).offset(offset).limit(MAX_QUERY_BLOCK).collect()
+    q = _with_norm(queries.select(F.col(query_id_col).alias("_id"), F.col(query_vec_col).alias("_e")), "_e", "_v")
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    own = _with_norm(corpus.select(F.col(id_col), F.col(vec_col)), vec_col, "_c")
+    parts = []
+    for n in range(blocks):
+        block = q.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == n).select("_id", "_v", "_v_norm").collect()
         if not block:
-            break
-        part = _score_block(corpus, [r[0] for r in block], [list(r[1]) for r in block], k,
-                            id_col, vec_col, digits)
-        out = part if out is None else out.unionByName(part)
-        if len(block) < MAX_QUERY_BLOCK:
-            break
-        offset += MAX_QUERY_BLOCK
-    if out is None:
-        return corpus.sparkSession.createDataFrame(
-            [], f"QueryId string, Rank int, {id_col} long, Score double")
-    return out
+            continue
+        ids, vectors, norms = zip(*block, strict=True)
+        each = F.transform(F.lit([list(v) for v in vectors]), lambda v: _dot(v, F.col("_c")))
+        scored = own.select(F.col(id_col), "_c_norm", F.posexplode(each).alias("_n", "_dot"))
+        place = F.col("_n") + 1
+        scored = scored.select(
+            F.col(id_col), F.element_at(F.lit(list(ids)), place).alias("_q"),
+            F.try_divide(F.col("_dot"), F.element_at(F.lit(list(norms)), place) * F.col("_c_norm")).alias("_score"))
+        parts.append(_ranked(scored, "_q", id_col, k, digits))
+    if not parts:
+        return corpus.sparkSession.createDataFrame([], f"QueryId string, Rank int, {id_col} long, Score double")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cosine_topk_within(corpus: DataFrame, queries: DataFrame, by: str, k: int = 10, id_col: str = "vec_id",
+                       vec_col: str = "embedding", query_id_col: str = "query_id",
+                       digits: int | None = 6) -> DataFrame:
+    """V1 as the retriever asks it: each query searches only its own symbol's vectors
+    (an equi-join on ``by``; the runtime splits a symbol that holds much of the corpus)."""
+    q = _with_norm(queries.select(F.col(query_id_col).alias("_q"), F.col(by), F.col(vec_col).alias("_e")), "_e", "_v")
+    own = _with_norm(corpus.select(F.col(id_col), F.col(by), F.col(vec_col)), vec_col, "_c")
+    scored = own.join(q.drop("_e"), by).withColumn(
+        "_score", F.try_divide(_dot(F.col("_v"), F.col("_c")), F.col("_v_norm") * F.col("_c_norm")))
+    return _ranked(scored, "_q", id_col, k, digits)
 
 
 def unit_vectors(df: DataFrame, vec_col: str = "embedding", out_col: str = "unit") -> DataFrame:
@@ -110,9 +127,10 @@ def lsh_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     qb = buckets(qv, query_id_col)
     cb = buckets(c, id_col)
     # Query buckets: (#queries x tables) rows - bounded by the query set.
-    cand = (cb.join(F.broadcast(qb), ["_t", "_b"]).select(query_id_col, id_col).distinct())
+    small = fits_broadcast(queries)
+    cand = (cb.join(F.broadcast(qb) if small else qb, ["_t", "_b"]).select(query_id_col, id_col).distinct())
     qvec = queries.select(F.col(query_id_col), _as_double(vec_col).alias("_qv"))
-    scored = (cand.join(F.broadcast(qvec), query_id_col)
+    scored = (cand.join(F.broadcast(qvec) if small else qvec, query_id_col)
                   .join(corpus.select(id_col, _as_double(vec_col).alias("_cv")), id_col)
                   .withColumn("_score", cosine(F.col("_qv"), F.col("_cv"))))
     w = Window.partitionBy(query_id_col).orderBy(F.col("_score").desc_nulls_last(), F.col(id_col))

@@ -17,15 +17,13 @@ from stockyard.functions.indicators import (
 from stockyard.functions.rounding import r2, r4, rnd
 from stockyard.plans import views
 
-# Largest number of keys a symbol filter may resolve to (natural keys are unique).
-MAX_KEYS_PER_SYMBOL = 1000
-
 
 def symbol_keys(star, symbol: str) -> Column:
-    """Predicate on StockKey for one symbol (the key list is bounded and small)."""
-    keys = [r[0] for r in star.dim_company.where(F.col("StockSymbol") == symbol)
-            .select("StockKey").limit(MAX_KEYS_PER_SYMBOL).collect()]
-    return F.col("StockKey").isin(keys) if keys else F.lit(False)
+    """Predicate on StockKey for one symbol; a symbol with several keys is an error."""
+    keys = star.dim_company.where(F.col("StockSymbol") == symbol).select("StockKey").distinct().take(2)
+    if len(keys) > 1:
+        raise ValueError(f"symbol {symbol!r} has several stock keys")
+    return F.col("StockKey") == F.lit(keys[0][0]) if keys else F.lit(False)
 
 
 def _digits(c: Column, digits: int | None) -> Column:
@@ -53,6 +51,7 @@ def volume_peak(summary: DataFrame) -> DataFrame:
     """Per symbol, the row with the largest TotalVolume; ties -> latest month."""
     w = Window.partitionBy("StockKey").orderBy(
         F.col("TotalVolume").desc_nulls_last(), F.col("Year").desc(), F.col("Month").desc())
+    # day-grain rows can tie within a month as well; the peak's month and volume are then the same
     return (summary.where(F.col("TotalVolume").isNotNull())
             .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
             .select("StockSymbol", F.col("Year").alias("PeakYear"),
@@ -61,7 +60,7 @@ def volume_peak(summary: DataFrame) -> DataFrame:
 
 def cumulative_growth(summary: DataFrame) -> DataFrame:
     """First month's start price -> last month's end price, only with > 1 row."""
-    ym = F.col("Year") * 100 + F.col("Month")
+    ym = F.col("Year") * 100 + F.col("Month")          # start and end prices are a month's own
     g = summary.groupBy("StockKey", "StockSymbol").agg(
         F.min_by("MonthStartPrice", ym).alias("FirstStartPrice"),
         F.max_by("MonthEndPrice", ym).alias("LastEndPrice"),
@@ -76,9 +75,7 @@ def cumulative_growth(summary: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 def quarterly_ratio_rows(star, symbol: str | None = None, year: int | None = None,
                          ratio_name: str | None = None) -> DataFrame:
-    v = views.quarterly_ratios(star)
-    if symbol is not None:
-        v = v.where(F.col("StockSymbol") == symbol)
+    v = views.quarterly_ratios(star, only=symbol_keys(star, symbol) if symbol is not None else None)
     if year is not None:
         v = v.where(F.col("Year") == year)
     if ratio_name is not None:          # the argument filters on the ratio's *name*
@@ -86,6 +83,11 @@ def quarterly_ratio_rows(star, symbol: str | None = None, year: int | None = Non
     return v
 
 
+def ordered_ratio_rows(rows: DataFrame) -> DataFrame:
+    """O2: newest quarter first, then by ratio name and type."""
+    return rows.orderBy(F.col("Year").desc(), F.col("Quarter").desc(), "RatioName", "RatioType")
+
+
 def ratio_names(star) -> list[str]:
     """The ratio vocabulary (bounded by the fixed list of tracked ratios)."""
     return sorted(r[0] for r in star.dim_ratio.select("RatioName").distinct().collect())
@@ -198,7 +200,8 @@ def period_rows(v: DataFrame, period: str = "month", all_years: bool = False) ->
     return v.where(period_predicate(v, period, all_years))
 
 
-def index_period_performance(star, period: str = "month", all_years: bool = False) -> DataFrame:
+def index_period_performance(star, period: str = "month", all_years: bool = False,
+                             symbol: str | None = None, null_on_zero: bool = False) -> DataFrame:
     """One row per index member with rows in the period: period statistics and
     the member's latest row (over all dates).
 
@@ -208,7 +211,9 @@ def index_period_performance(star, period: str = "month", all_years: bool = Fals
     StockKey, so it reuses the view's partitioning - no extra shuffle, no
     self-join.
     """
-    v = views.index_performance(star, with_key=True)
+    v = views.index_performance(star, with_key=True, null_on_zero=null_on_zero)
+    if symbol is not None:          # below the grouping; the latest period stays the index's
+        v = v.where(symbol_keys(star, symbol))
     inp = period_predicate(views.index_rows(star), period, all_years)
     r = F.col("DailyReturn")
     d = F.when(inp, F.col("Date"))
@@ -243,9 +248,9 @@ def index_report(star, symbol: str | None = None, top_n: int = 5, period: str =
     Ranking is by return descending with NULL returns first (set
     ``nulls_last`` to push them down), ties broken by symbol.
     """
-    perf = index_period_performance(star, period, all_years)
+    perf = index_period_performance(star, period, all_years, symbol)
     if symbol is not None:
-        return perf.where(F.col("StockSymbol") == symbol)
+        return perf
     ret = F.col("Period_Return_Percent")
     order = ret.desc_nulls_last() if nulls_last else ret.desc_nulls_first()
     return perf.orderBy(order, F.col("StockSymbol").asc()).limit(top_n)
@@ -279,7 +284,8 @@ class Warehouse:
 
     def analyze_quarterly_financial_ratios(self, stock_symbol: str, year: int | None = None,
                                            ratio_type: str | None = None) -> DataFrame:
-        """Quarterly ratios of one symbol pivoted by (Year, Quarter)."""
+        """Quarterly ratios of one symbol pivoted by (Year, Quarter); the argument
+        filters on the ratio's name, as the published tool does."""
         return quarterly_ratio_table(self.star, stock_symbol, year, ratio_type).orderBy(
             "Year", "Quarter")
 
@@ -294,6 +300,31 @@ class Warehouse:
         """Index members' period performance: one symbol or the top n."""
         return index_report(self.star, stock_symbol, top_n, period)
 
+    # ---- the numbers that go with a report --------------------------------------
+    def price_summary_facts(self, stock_symbol: str, year: int | None = None,
+                            quarter: int | None = None) -> dict[str, DataFrame]:
+        """Peak volume and cumulative growth of one symbol's summary rows."""
+        rows = price_summary_report(self.star, stock_symbol, year, quarter)
+        return {"volume_peak": volume_peak(rows), "cumulative_growth": cumulative_growth(rows)}
+
+    def quarterly_ratio_facts(self, stock_symbol: str, year: int | None = None,
+                              ratio_type: str | None = None) -> dict[str, DataFrame]:
+        """Ordered ratio rows and the types under each name."""
+        rows = quarterly_ratio_rows(self.star, stock_symbol, year, ratio_type)
+        return {"rows": ordered_ratio_rows(rows), "types": ratio_types_by_name(rows)}
+
+    def price_movement_facts(self, stock_symbol: str, from_date: str | None = None,
+                             to_date: str | None = None) -> dict[str, DataFrame]:
+        """Statistics of the daily changes and the latest RSI with its state."""
+        rows = movement_rows(self.star, stock_symbol, from_date, to_date)
+        return {"statistics": movement_stats(rows), "rsi": latest_rsi_state(with_indicators(rows))}
+
+    def vn30_performance_facts(self, stock_symbol: str | None = None, top_n: int = 5,
+                               period: str = "month") -> dict[str, DataFrame]:
+        """Mean return of the report and by industry."""
+        report = index_report(self.star, stock_symbol, top_n, period)
+        return {"average_return": average_return(report), "industries": industry_performance(report)}
+
     TOOLS = {
         "analyze_stock_price_summary": "Monthly price summary of a stock symbol.",
         "analyze_quarterly_financial_ratios": "Quarterly financial ratios of a stock symbol.",

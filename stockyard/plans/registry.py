@@ -108,13 +108,120 @@ def index_performance_all(spark, sf_dir):
 
 @register("industry_performance")
 def industry_performance(spark, sf_dir):
+    """Over the report's top five, as the published tool computes it."""
     return A.industry_performance(A.index_report(star(spark, sf_dir), top_n=5, period="month"))
 
 
+@register("industry_performance_members")
+def industry_performance_members(spark, sf_dir):
+    """Over all index members."""
+    return A.industry_performance(A.index_period_performance(star(spark, sf_dir), period="month"))
+
+
+@register("index_average_return")
+def index_average_return(spark, sf_dir):
+    return A.average_return(A.index_period_performance(star(spark, sf_dir), period="month"))
+
+
+# ---- analysis API with arguments ---------------------------------------------
+ONE_SYMBOL = "Supplier#000000003"
+ONE_YEAR = 1997
+
+
+@register("price_summary_symbol")
+def price_summary_symbol(spark, sf_dir):
+    return A.price_summary_report(star(spark, sf_dir), ONE_SYMBOL, year=ONE_YEAR, quarter=2).drop("StockKey")
+
+
+@register("volume_peak_day")
+def volume_peak_day(spark, sf_dir):
+    """A15 on the faithful (day-grain) summary."""
+    return A.volume_peak(A.price_summary_report(star(spark, sf_dir)))
+
+
+@register("cumulative_growth_rows")
+def cumulative_growth_rows(spark, sf_dir):
+    """W15 on the faithful summary: its rows are counted, not its months."""
+    return A.cumulative_growth(A.price_summary_report(star(spark, sf_dir)))
+
+
+@register("price_summary_newest")
+def price_summary_newest(spark, sf_dir):
+    """O1 as a rank: the monthly summary of one symbol, newest first."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    rows = A.price_summary_report(star(spark, sf_dir), ONE_SYMBOL, monthly=True).drop("StockKey")
+    w = Window.partitionBy("StockSymbol").orderBy(F.col("Year").desc_nulls_first(), F.col("Month").desc_nulls_first())
+    return rows.withColumn("Place", F.row_number().over(w))
+
+
+@register("quarterly_ratios_symbol")
+def quarterly_ratios_symbol(spark, sf_dir):
+    return A.quarterly_ratio_rows(star(spark, sf_dir), ONE_SYMBOL, year=ONE_YEAR, ratio_name="ROE")
+
+
+@register("quarterly_ratios_newest")
+def quarterly_ratios_newest(spark, sf_dir):
+    """O2 as a rank: one symbol's ratio rows, newest quarter first, then name and type."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    rows = A.quarterly_ratio_rows(star(spark, sf_dir), ONE_SYMBOL)
+    w = Window.partitionBy("StockSymbol").orderBy(F.col("Year").desc(), F.col("Quarter").desc(), "RatioName", "RatioType")
+    return rows.withColumn("Place", F.row_number().over(w))
+
+
+@register("movement_symbol_range")
+def movement_symbol_range(spark, sf_dir):
+    """API3 for one symbol and date range; O3 (newest first) as a rank."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    rows = A.movement_rows(star(spark, sf_dir), ONE_SYMBOL, f"{ONE_YEAR}-02-01", f"{ONE_YEAR}-11-30")
+    out = A.with_indicators(rows, digits=4).drop("StockKey")
+    return out.withColumn("Place", F.row_number().over(Window.partitionBy("StockSymbol").orderBy(F.col("Date").desc())))
+
+
+@register("movement_stats_symbol")
+def movement_stats_symbol(spark, sf_dir):
+    return A.movement_stats(A.movement_rows(star(spark, sf_dir), ONE_SYMBOL, f"{ONE_YEAR}-02-01", f"{ONE_YEAR}-11-30"))
+
+
+@register("index_one_symbol")
+def index_one_symbol(spark, sf_dir):
+    return A.index_report(star(spark, sf_dir), symbol=ONE_SYMBOL, period="quarter")
+
+
+@register("index_top_n_quarter")
+def index_top_n_quarter(spark, sf_dir):
+    return A.index_report(star(spark, sf_dir), top_n=5, period="quarter")
+
+
+@register("index_top_n_year")
+def index_top_n_year(spark, sf_dir):
+    return A.index_report(star(spark, sf_dir), top_n=3, period="year")
+
+
+@register("index_top_n_all")
+def index_top_n_all(spark, sf_dir):
+    return A.index_report(star(spark, sf_dir), top_n=5, period="all")
+
+
+@register("index_month_any_year")
+def index_month_any_year(spark, sf_dir):
+    """F7 read literally: the latest year's latest month, in any year."""
+    return A.index_period_performance(star(spark, sf_dir), period="month", all_years=True)
+
+
+@register("index_performance_null_base")
+def index_performance_null_base(spark, sf_dir):
+    """The performance view with a NULL year-to-date return on a zero base."""
+    return views.index_performance(star(spark, sf_dir), null_on_zero=True)
+
+
 # ---- dimensions, facts, keys -----------------------------------------------
 # Load batches for the incremental-load queries: the price fact up to
 # OLD_UNTIL is "already loaded"; a restated feed from NEW_FROM overlaps it.
 OLD_UNTIL = 19990630
+FIRST_DAY = "1990-01-01"                         # before any day of the test tables
 NEW_FROM = 19990601
 PRICE_KEYS = ["TimeKey", "StockKey"]
 
@@ -201,6 +308,16 @@ def unresolved_keys(spark, sf_dir):
     return report(long, s.dim_company, dim, normalise=False, company_small=s.company_small)
 
 
+@register("unresolved_symbols")
+def unresolved_symbols(spark, sf_dir):
+    """L7 for prices: quotes of companies that the dimension does not hold yet."""
+    from pyspark.sql import functions as F
+    from stockyard.operators.facts import prepare_fact_price, unresolved_symbols as report
+    s = star(spark, sf_dir)
+    known = s.dim_company.where(F.col("CompanyType") != "ASIA")
+    return report(prepare_fact_price(s.staging_quotes(), s.dim_time), known, s.company_small)
+
+
 @register("allocate_keys")
 def allocate_keys(spark, sf_dir):
     from pyspark.sql import functions as F
@@ -253,6 +370,27 @@ def high_water_rows(spark, sf_dir):
     return rows_after_high_water(s.staging_quotes(), loaded)
 
 
+@register("daily_flow_rerun")
+def daily_flow_rerun(spark, sf_dir):
+    """State of the stored fact after a first run that fails before the fact is written,
+    and a second run of the same quotes: that of one clean run."""
+    from pyspark.sql import functions as F
+    from stockyard.operators.quality import EmptyInputError
+    from stockyard.plans.flows import StoredWarehouse, daily_flow
+    from stockyard.session import scratch_path
+    s = star(spark, sf_dir)
+    wh = StoredWarehouse(spark, scratch_path(spark, "warehouse"))
+    quotes = s.staging_quotes()
+    try:
+        daily_flow(wh, quotes, start=FIRST_DAY)
+    except EmptyInputError:
+        pass                                     # no company yet
+    daily_flow(wh, quotes.where(F.col("time") < "1998-06-01"), companies=s.company_feeds(), start=FIRST_DAY)
+    daily_flow(wh, quotes, start=FIRST_DAY)
+    symbols = wh.dim_company.select("StockKey", "StockSymbol")
+    return wh.fact_price.join(symbols, "StockKey").drop("StockKey")
+
+
 # ---- quality ---------------------------------------------------------------
 def _star_tables(s: DerivedStar):
     from stockyard.schemas import PRIMARY_KEYS
@@ -282,6 +420,46 @@ def fk_orphans(spark, sf_dir):
     return fk_report(links)
 
 
+@register("fk_orphans_partial")
+def fk_orphans_partial(spark, sf_dir):
+    """Q4 where it must find something: dimensions that miss rows, and rows labelled
+    without a vector."""
+    from pyspark.sql import functions as F
+    from stockyard.operators.quality import fk_report
+    s = star(spark, sf_dir)
+    companies = s.dim_company.where(F.col("CompanyType") != "ASIA")
+    days = s.dim_time.where(F.col("Year") != ONE_YEAR)
+    return fk_report([
+        ("Fact_StockPrice", s.fact_price, "StockKey", "Dim_Company", companies, "StockKey"),
+        ("Fact_StockPrice", s.fact_price, "TimeKey", "Dim_Time", days, "TimeKey"),
+        ("labels", s.table("labels"), "doc_id", "embeddings", s.table("embeddings"), "vec_id")])
+
+
+@register("null_keys_unresolved")
+def null_keys_unresolved(spark, sf_dir):
+    """Q5 on a fact whose keys were looked up with an outer join: misses are NULL keys."""
+    from pyspark.sql import functions as F
+    from stockyard.operators.facts import company_key_map
+    from stockyard.operators.quality import null_report
+    s = star(spark, sf_dir)
+    long, dim = _literal_ratio_long(s)
+    companies = company_key_map(s.dim_company.where(F.col("CompanyType") != "ASIA"))
+    fact = (long.join(companies, "StockSymbol", "left")
+            .join(F.broadcast(dim.select("RatioName", "RatioKey")), "RatioName", "left"))
+    return null_report({"Fact_FinancialRatios": (fact, ["TimeKey", "StockKey", "RatioKey"])})
+
+
+@register("decimal_overflow")
+def decimal_overflow(spark, sf_dir):
+    """Q6 on prices in a unit a thousand times smaller, which outgrow decimal(10,4)."""
+    from pyspark.sql import functions as F
+    from stockyard.operators.quality import limit_report
+    from stockyard.schemas import DECIMAL_LIMITS
+    prices = DECIMAL_LIMITS["Fact_StockPrice"]
+    raw = star(spark, sf_dir).fact_price.select(*[(F.col(c) * 1000).alias(c) for c in prices])
+    return limit_report("Fact_StockPrice", raw, {}, prices)
+
+
 @register("null_keys")
 def null_keys(spark, sf_dir):
     from stockyard.operators.quality import null_report
@@ -314,8 +492,20 @@ def load_metrics(spark, sf_dir):
 @register("profile_columns")
 def profile_columns(spark, sf_dir):
     from stockyard.operators.quality import profile
-    li = star(spark, sf_dir).spread_table("lineitem", "l_suppkey")
-    return profile(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return profile(star(spark, sf_dir).table("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@register("column_info")
+def column_info(spark, sf_dir):
+    """A17 for every column of the trade table, of any type."""
+    from stockyard.operators.quality import column_info as info
+    return info(star(spark, sf_dir).table("orders"))
+
+
+@register("table_head")
+def table_head(spark, sf_dir):
+    from stockyard.operators.quality import head
+    return head(star(spark, sf_dir).table("orders"), ["o_orderkey"])
 
 
 # ---- retrieval ---------------------------------------------------------------
@@ -335,6 +525,17 @@ def cosine_topk(spark, sf_dir):
     return out.withColumnRenamed("QueryId", "QueryLabel").withColumnRenamed("vec_id", "VecId")
 
 
+@register("cosine_topk_symbol")
+def cosine_topk_symbol(spark, sf_dir):
+    """V1 as the retriever asks it: each query searches its own symbol's vectors."""
+    from pyspark.sql import functions as F
+    from stockyard.operators.retrieval import cosine_topk_within as topk
+    s = star(spark, sf_dir)
+    queries = _label_queries(s).withColumn("label", F.col("query_id"))
+    out = topk(s.table("embeddings"), queries, "label", k=10)
+    return out.withColumnRenamed("QueryId", "QueryLabel").withColumnRenamed("vec_id", "VecId")
+
+
 @register("lsh_topk")
 def lsh_topk(spark, sf_dir):
     from stockyard.operators.retrieval import lsh_topk as topk
@@ -346,7 +547,7 @@ def lsh_topk(spark, sf_dir):
 @register("chunk_documents")
 def chunk_documents(spark, sf_dir):
     from stockyard.operators.retrieval import chunk_documents as chunk
-    return chunk(star(spark, sf_dir).spread_table("documents"), size=256, overlap=32)
+    return chunk(star(spark, sf_dir).table("documents"), size=256, overlap=32)
 
 
 @register("question_labels")
@@ -400,34 +601,96 @@ def conform_union(spark, sf_dir):
     return df.select("CP", "Năm", "Kỳ", *[r4(F.col(f"`{c}`")).alias(c) for c in RATIO_TARGET[3:]])
 
 
+def _damaged(spark, sf_dir):
+    from stockyard.schemas import QUOTE_SCHEMA
+    from stockyard.session import scratch_path
+    from stockyard.sources.feeds import write_damaged_quotes
+    from stockyard.sources.files import read_with_quarantine
+    path = scratch_path(spark, "quotes")
+    write_damaged_quotes(star(spark, sf_dir), path)
+    return read_with_quarantine(spark, path, QUOTE_SCHEMA, dates=["time"], required=["time", "MaCK"])
+
+
 @register("quarantine_bad_rows")
 def quarantine_bad_rows(spark, sf_dir):
-    """Quote files with unreadable prices: the bad rows go to quarantine."""
+    """Rows of every kind of damage, counted by reason."""
+    from pyspark.sql import functions as F
+    _, bad = _damaged(spark, sf_dir)
+    return bad.groupBy(F.array_join("reasons", "; ").alias("Reasons")).agg(F.count("*").alias("Rows"))
+
+
+@register("quote_ingest_good")
+def quote_ingest_good(spark, sf_dir):
+    """The other side of the quarantine: typed good rows."""
+    from stockyard.schemas import QUOTE_SCHEMA
+    good, _ = _damaged(spark, sf_dir)
+    return good.select(*QUOTE_SCHEMA.fieldNames())
+
+
+@register("history_window")
+def history_window(spark, sf_dir):
+    """The vendor's per-symbol export, renamed, tagged, typed and cut to a date window."""
     from stockyard.schemas import QUOTE_SCHEMA
     from stockyard.session import scratch_path
-    from stockyard.sources.feeds import write_quote_feed
-    from stockyard.sources.files import read_with_quarantine
+    from stockyard.sources.feeds import write_vendor_quotes
+    from stockyard.sources.files import read_vendor_quotes
+    path = scratch_path(spark, "vendor")
+    write_vendor_quotes(star(spark, sf_dir), path)
+    good, _ = read_vendor_quotes(spark, path, "1996-01-01", "1997-12-31")
+    return good.select(*QUOTE_SCHEMA.fieldNames())
+
+
+@register("company_ingest")
+def company_ingest(spark, sf_dir):
+    """Overview and profile files through their readers, merged on the symbol."""
+    from stockyard.functions.names import OVERVIEW_DROP, PROFILE_DROP
+    from stockyard.operators.conform import drop_columns
+    from stockyard.session import scratch_path
+    from stockyard.sources.feeds import write_company_feeds
+    from stockyard.sources.files import read_overview, read_profile
+    root = scratch_path(spark, "feeds")
+    write_company_feeds(star(spark, sf_dir), root)
+    overview, _ = read_overview(spark, f"{root}/company_overview")
+    profile, _ = read_profile(spark, f"{root}/company_profile")
+    kept = drop_columns(overview, OVERVIEW_DROP).drop("source_file")
+    return drop_columns(profile, PROFILE_DROP).drop("source_file").join(kept, "symbol")
+
+
+@register("definition_ingest")
+def definition_ingest(spark, sf_dir):
+    """Definition file -> ratio dimension with the fact rows of each ratio."""
+    from pyspark.sql import functions as F
+    from stockyard.operators.dims import build_dim_ratio
+    from stockyard.session import scratch_path
+    from stockyard.sources.feeds import write_definition_feed
+    from stockyard.sources.files import read_definitions
     s = star(spark, sf_dir)
-    path = scratch_path(spark, "quotes")
-    write_quote_feed(s, path)
-    _, bad = read_with_quarantine(spark, path, QUOTE_SCHEMA)
-    return bad.select("time", "MaCK")
+    path = scratch_path(spark, "definitions")
+    write_definition_feed(s, path)
+    good, _ = read_definitions(spark, path)
+    used = s.fact_ratio.groupBy("RatioKey").agg(F.count("*").alias("FactRows"))
+    return (build_dim_ratio(good).join(used, "RatioKey", "left")
+            .withColumn("FactRows", F.coalesce("FactRows", F.lit(0)).cast("bigint")))
 
 
 @register("file_routing")
 def file_routing(spark, sf_dir):
-    """Files of three feed kinds in one folder, routed by name priority."""
+    """Files of three feed kinds in one folder, routed by name priority (S4):
+    data lines of each kind, header lines left out."""
+    from functools import reduce
+    from pyspark.sql import DataFrame
     from pyspark.sql import functions as F
     from stockyard.session import scratch_path
     from stockyard.sources.feeds import write_company_feeds, write_ratio_feed
-    from stockyard.sources.files import route_feeds
+    from stockyard.sources.files import feeds_by_kind
     s = star(spark, sf_dir)
     root = scratch_path(spark, "feeds")
     write_ratio_feed(s, f"{root}/finance_ratio_quarter")
     write_company_feeds(s, root)
-    routed = route_feeds(spark, root)
-    return routed.groupBy("kind").agg(F.count_distinct("file").alias("Files"),
-                                      F.count("*").alias("Lines"))
+    header = F.col("line").rlike("^(CP,|Meta,|symbol,)")
+    return reduce(DataFrame.unionByName, [
+        lines.where(~header).agg(F.lit(kind).alias("Kind"), F.count("*").alias("Rows"))
+        for kind, lines in feeds_by_kind(spark, root).items()])
 
 
 # ---- SQL surface -------------------------------------------------------------

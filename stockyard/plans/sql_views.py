@@ -23,18 +23,24 @@ def _r(expr: str, digits: int = 2) -> str:
 
 
 def performance_sql(prefix: str = PREFIX) -> str:
-    """Index performance as one SELECT with a named WINDOW clause (two specs)."""
+    """Index performance in SQL: rows are put in order once, and every measure is
+    stated over that order by a named window."""
     return f"""
-SELECT t.Date, t.Year, t.Quarter, t.Month, c.StockSymbol, c.Industry, f.Close, f.Volume,
-       {_r('(f.Close - LAG(f.Close) OVER stock_daily) / NULLIF(LAG(f.Close) OVER stock_daily, 0) * 100')} AS DailyReturn,
-       {_r('(f.Close / FIRST_VALUE(f.Close) OVER ytd_window - 1) * 100')} AS YTDReturn,
-       {_r('AVG(f.Close) OVER (PARTITION BY f.StockKey ORDER BY t.Year, t.Date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)')} AS MA10,
-       {_r('AVG(f.Close) OVER (PARTITION BY f.StockKey ORDER BY t.Year, t.Date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)')} AS MA30
-FROM {prefix}index_price f
-JOIN {prefix}dim_company c ON f.StockKey = c.StockKey
-JOIN {prefix}dim_time t ON f.TimeKey = t.TimeKey
-WINDOW stock_daily AS (PARTITION BY f.StockKey ORDER BY t.Year, t.Date),
-       ytd_window AS (PARTITION BY f.StockKey, t.Year ORDER BY t.Date)
+WITH ranked AS (
+  SELECT d.Date, d.Year, d.Quarter, d.Month, p.StockKey, p.Close, p.Volume,
+         row_number() OVER by_stock AS place, first_value(p.Close) OVER by_year AS opening,
+         lag(p.Close, 1) OVER by_stock AS before
+  FROM {prefix}index_price AS p INNER JOIN {prefix}dim_time AS d USING (TimeKey)
+  WINDOW by_year AS (PARTITION BY p.StockKey, d.Year ORDER BY d.Date),
+         by_stock AS (PARTITION BY p.StockKey ORDER BY d.Year, d.Date)
+)
+SELECT Date, Year, Quarter, Month, StockSymbol, Industry, Close, Volume,
+       {_r('(Close - before) / nullif(before, 0) * 100')} AS DailyReturn,
+       {_r('(Close / opening - 1) * 100')} AS YTDReturn,
+       {_r('avg(Close) OVER ten')} AS MA10, {_r('avg(Close) OVER thirty')} AS MA30
+FROM ranked INNER JOIN {prefix}dim_company USING (StockKey)
+WINDOW ten AS (PARTITION BY StockKey ORDER BY place ROWS 9 PRECEDING),
+       thirty AS (PARTITION BY StockKey ORDER BY place ROWS 29 PRECEDING)
 """
 
 

@@ -20,7 +20,7 @@ at most the stock's trading days, whatever the raw trade skew.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.functions.indicators import pct_change
@@ -82,19 +82,21 @@ def price_summary(star, with_key: bool = False) -> DataFrame:
     """Faithful summary: the 'monthly' aggregates are per trading day (D1),
     then rows equal on every output column collapse (D2).
 
-    Each (stock, day) is one fact row (primary key), so the day-grain
-    aggregates are the row's own values. The de-duplication also groups by
-    StockKey (1:1 with the symbol), which lets it reuse the window's
-    partitioning instead of shuffling again.
+    The windows come first: the day-grain grouping and the de-duplication start
+    with the windows' keys, so all three share one exchange (and the two window
+    values are the same for every row of a stock-month).
     """
     wm = Window.partitionBy("StockKey", "Year", "Month").orderBy("Date")
-    rows = _priced(star).select(
+    whole = wm.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    priced = _priced(star).withColumn("MonthStartPrice", F.first("Close").over(whole)).withColumn(
+        "MonthEndPrice", F.last("Close").over(whole))
+    days = priced.groupBy("StockKey", "StockSymbol", "CompanyName", "Industry", "Year", "Quarter", "Month",
+                          "Date", "Close", "MonthStartPrice", "MonthEndPrice").agg(
+        r2(F.avg("Close")).alias("AvgClosePrice"), r2(F.min("Low")).alias("MinPrice"),
+        r2(F.max("High")).alias("MaxPrice"), F.sum("Volume").cast("bigint").alias("TotalVolume"))
+    rows = days.select(
         "StockKey", "StockSymbol", "CompanyName", "Industry", "Year", "Quarter", "Month",
-        r2("Close").alias("AvgClosePrice"), r2("Low").alias("MinPrice"),
-        r2("High").alias("MaxPrice"), F.col("Volume").alias("TotalVolume"),
-        F.first("Close").over(wm).alias("MonthStartPrice"),
-        F.last("Close").over(wm.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-         .alias("MonthEndPrice"))
+        "AvgClosePrice", "MinPrice", "MaxPrice", "TotalVolume", "MonthStartPrice", "MonthEndPrice")
     out = rows.distinct().withColumn(
         "MonthlyChangePercent", r2(pct_change("MonthEndPrice", "MonthStartPrice")))
     return out.select(*(["StockKey"] if with_key else []), *SUMMARY_COLUMNS)
@@ -122,14 +124,15 @@ RATIO_VIEW_COLUMNS = ["StockSymbol", "CompanyName", "Year", "Quarter", "RatioNam
                       "RatioType", "RatioValue"]
 
 
-def quarterly_ratios(star, sentinel_as_null: bool = False) -> DataFrame:
+def quarterly_ratios(star, sentinel_as_null: bool = False, only: Column | None = None) -> DataFrame:
     """Mean ratio value per stock, quarter and ratio, rounded to 2.
 
     ``sentinel_as_null`` drops the missing-value sentinel from the mean;
     the default keeps it (the stored values are averaged as they are).
+    ``only``: a predicate on the fact's StockKey, applied at its scan.
     """
     from stockyard.functions.names import RATIO_SENTINEL
-    f = star.fact_ratio
+    f = star.fact_ratio if only is None else star.fact_ratio.where(only)
     value = F.col("Value")
     if sentinel_as_null:
         value = F.when(value != F.lit(RATIO_SENTINEL), value)
@@ -155,13 +158,14 @@ def index_rows(star) -> DataFrame:
             .join(company_dim(star, ["StockSymbol", "Industry"]), "StockKey"))
 
 
-def index_performance(star, with_key: bool = False) -> DataFrame:
+def index_performance(star, with_key: bool = False, null_on_zero: bool = False) -> DataFrame:
     """Daily return, year-to-date return and 10/30-row moving averages of the
     index members.
 
     Both windows sort by (StockKey, Year, Date) - Year follows from Date, so
     the order is the date order - and the per-stock window is computed first:
-    one exchange on StockKey and one sort serve all of them.
+    one exchange on StockKey and one sort serve all of them. The year-to-date return
+    raises on a zero base, as the view does; ``null_on_zero`` gives NULL instead.
     """
     f = index_rows(star)
     wd = Window.partitionBy("StockKey").orderBy("Year", "Date")
@@ -172,6 +176,7 @@ def index_performance(star, with_key: bool = False) -> DataFrame:
         r2(pct_change("Close", prev)).alias("DailyReturn"),
         r2(F.avg("Close").over(wd.rowsBetween(-9, 0))).alias("MA10"),
         r2(F.avg("Close").over(wd.rowsBetween(-29, 0))).alias("MA30"))
-    out = step1.withColumn(
-        "YTDReturn", r2((F.col("Close") / F.first("Close").over(wy) - 1) * 100))
+    base = F.first("Close").over(wy)
+    ratio = F.try_divide(F.col("Close"), base) if null_on_zero else F.col("Close") / base
+    out = step1.withColumn("YTDReturn", r2((ratio - 1) * 100))
     return out.select(*(["StockKey"] if with_key else []), *PERFORMANCE_COLUMNS)

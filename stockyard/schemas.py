@@ -16,6 +16,34 @@ QUOTE_SCHEMA = T.StructType([
     T.StructField("volume", T.DoubleType()),
 ])
 
+# The vendor's quote export, before renaming (one file for each symbol).
+VENDOR_QUOTE_SCHEMA = T.StructType([
+    T.StructField("date", T.StringType()),
+    T.StructField("openPrice", T.DoubleType()),
+    T.StructField("highPrice", T.DoubleType()),
+    T.StructField("lowPrice", T.DoubleType()),
+    T.StructField("closePrice", T.DoubleType()),
+    T.StructField("volume", T.DoubleType()),
+])
+
+OVERVIEW_SCHEMA = T.StructType([
+    T.StructField("symbol", T.StringType()),
+    T.StructField("short_name", T.StringType()),
+    T.StructField("industry", T.StringType()),
+    T.StructField("company_type", T.StringType()),
+    T.StructField("stock_rating", T.DoubleType()),
+    T.StructField("exchange", T.StringType()),
+    T.StructField("industry_id", T.IntegerType()),
+    T.StructField("website", T.StringType()),
+])
+
+PROFILE_SCHEMA = T.StructType([
+    T.StructField("symbol", T.StringType()),
+    T.StructField("company_name", T.StringType()),
+    T.StructField("history_dev", T.StringType()),
+    T.StructField("company_profile", T.StringType()),
+])
+
 DEFINITION_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("type", T.StringType()),

@@ -54,8 +54,9 @@ def build_session(master: str | None = None, app: str = "stockyard",
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``. Only when none is configured
-    (local runs, tests) a fresh private folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``. In local mode, where one
+    process does everything, a fresh private folder serves when none is configured;
+    on a cluster that would scatter files over the executors' disks, so it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +64,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="stockyard-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -82,35 +85,6 @@ def fits_broadcast(probe: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> boo
     return probe.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, probe: DataFrame | None = None,
-                       max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` when the size check passes, else leave it to a shuffle join.
-
-    ``probe`` is a cheap-to-count frame whose row count bounds ``df``'s (for a
-    dimension built by joining a stored table to fixed lookups, the stored table).
-    """
-    return F.broadcast(df) if fits_broadcast(df if probe is None else probe, max_rows) else df
-
-
-def spread_small_scan(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the session's parallelism.
-
-    A single small file with one row group is read by one task; everything
-    up to the first shuffle (e.g. a sort-based partial aggregation) would then
-    run on one core. Such an input is small by construction, so it is
-    hash-partitioned by ``keys`` (an aggregation grouped by a superset of the
-    keys then needs no further exchange), or round-robin without keys. Inputs
-    with enough partitions - every large table - are returned unchanged and
-    keep their map-side partial aggregation.
-    """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    # the input is small by construction: two tasks per core
-    return df.repartition(2 * want, *keys) if keys else df.repartition(2 * want)
-
-
 def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str],
                  position: str | None = None) -> DataFrame:
     """A small literal table built JVM-side (inline over literal structs), so

@@ -75,6 +75,10 @@ def write_ratio_feed(star: DerivedStar, path: str) -> None:
     _write_lines(lines, path, "feed_file", "_ord")
 
 
+# Kinds of damage in the quote feed, by the day of the month of a row.
+DAMAGED_DAYS = {1: "price", 2: "extra field", 3: "missing fields", 4: "date", 5: "no date", 6: "no symbol"}
+
+
 def write_quote_feed(star: DerivedStar, path: str, corrupt_first_day: bool = True,
                      per_symbol: bool = False) -> None:
     """Quote CSV files (header row) with the close price unreadable ('n/a') on the
@@ -89,6 +93,38 @@ def write_quote_feed(star: DerivedStar, path: str, corrupt_first_day: bool = Tru
     write_csv(out, path, partition_by=["MaCK"] if per_symbol else None)
 
 
+def write_damaged_quotes(star: DerivedStar, path: str) -> None:
+    """Quote lines with every kind of damage in DAMAGED_DAYS, without a header row of their own
+    (each file starts with one line of column names, as the reader expects)."""
+    q = star.staging_quotes().withColumn("_day", F.dayofmonth(F.to_date("time")))
+    text = lambda c: F.col(c).cast("string")
+    on = lambda kind: F.col("_day") == next(d for d, k in DAMAGED_DAYS.items() if k == kind)
+    time = F.when(on("date"), F.concat(F.substring("time", 1, 4), F.lit("-99-03"))).when(
+        on("no date"), F.lit("")).otherwise(F.col("time"))
+    symbol = F.when(on("no symbol"), F.lit("")).otherwise(F.col("MaCK"))
+    close = F.when(on("price"), F.lit("n/a")).otherwise(text("close"))
+    whole = F.concat_ws(",", time, symbol, text("open"), text("high"), text("low"), close, text("volume"))
+    line = (F.when(on("extra field"), F.concat(whole, F.lit(",surplus")))
+            .when(on("missing fields"), F.concat_ws(",", time, symbol, text("open"))).otherwise(whole))
+    (q.select(line.alias("time,MaCK,open,high,low,close,volume"))
+     .write.mode("errorifexists").option("header", True).option("delimiter", "\u0001")
+     .option("quote", "").option("escapeQuotes", False).csv(path))
+
+
+def write_vendor_quotes(star: DerivedStar, path: str) -> None:
+    """The vendor's export: its own column names, one folder for each symbol and no symbol column."""
+    q = star.staging_quotes()
+    out = q.select(F.col("time").alias("date"), F.col("open").alias("openPrice"), F.col("high").alias("highPrice"),
+                   F.col("low").alias("lowPrice"), F.col("close").alias("closePrice"), "volume",
+                   F.col("MaCK").alias("symbol"))
+    # clustered by symbol first, so a symbol's folder gets its rows from one task
+    write_csv(out.repartition("symbol"), path, partition_by=["symbol"])
+
+
+def write_definition_feed(star: DerivedStar, path: str) -> None:
+    write_csv(star.definition_feed().drop("_seq"), path)
+
+
 def write_company_feeds(star: DerivedStar, root: str) -> None:
     """Overview and profile CSV feeds, plus one folder whose name holds two kinds."""
     overview, profile = star.company_feeds()

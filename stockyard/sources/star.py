@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stockyard.functions.dates import date_parts, time_key
 from stockyard.functions.rounding import r2
-from stockyard.session import fits_broadcast, literal_rows, spread_small_scan
+from stockyard.session import fits_broadcast, literal_rows
 
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -34,9 +34,8 @@ TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "li
 # Trade order inside a day: l_orderkey, l_linenumber alone are not unique.
 TRADE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
 
-# Index membership in the derived star: the first 30 stock keys stand in for
-# the production 30-symbol list. Expressed on the key so it reaches the scan.
-INDEX_KEY_LIMIT = 30
+# Index membership in the derived star: a list of 30 symbols, like the production one.
+INDEX_MEMBERS = [f"Supplier#{i:09d}" for i in range(30)]
 
 # Test definition feed for the ratio dimension (name, type, unit, order, com_type_code).
 # Contains a repeated name (first kept), a name outside the tracked list
@@ -62,7 +61,6 @@ _SMALL_SUPPLIER: dict[tuple[str, str], bool] = {}
 # inputs, so the listing and footer schema read are done once per session
 # (this caches the plan, not data).
 _READERS: dict[tuple[str, str], DataFrame] = {}
-_SPREAD: dict[tuple, DataFrame] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,47 +85,27 @@ class DerivedStar:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
-    def spread_table(self, name: str, *keys: str) -> DataFrame:
-        """The table, spread over all cores when its scan is under-partitioned
-        (see ``spread_small_scan``); the decision is kept per session and path."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir.rstrip("/"), name, keys)
-        if key not in _SPREAD:
-            _SPREAD[key] = spread_small_scan(self.table(name), *keys)
-        return _SPREAD[key]
-
     # ---- raw trades -----------------------------------------------------
+    def index_keys(self) -> DataFrame:
+        """Stock keys of the index members: at most one for each listed symbol."""
+        return (self.table("supplier").where(F.col("s_name").isin(INDEX_MEMBERS))
+                .select(F.col("s_suppkey").alias("l_suppkey")))
+
     def trades(self, index_only: bool = False) -> DataFrame:
-        """Trade rows keyed by StockKey. A small scan (one row group) is spread
-        by StockKey, so every aggregation grouped by StockKey (+ more) runs on
-        all cores and keeps that partitioning for the per-stock windows."""
+        """Trade rows keyed by StockKey; ``index_only`` keeps the index members' trades
+        (a semi-join on the broadcast member keys, before anything is shuffled)."""
         li = self.table("lineitem")
         if index_only:
-            li = li.where(F.col("l_suppkey") < INDEX_KEY_LIMIT)    # reaches the scan
-        t = li.select(F.col("l_suppkey").cast("int").alias("StockKey"),
-                      F.to_date("l_shipdate").alias("Date"), _price().alias("p"),
-                      *TRADE_ORDER, "l_discount", "l_tax", "l_returnflag")
-        if self.scan_is_small("lineitem"):
-            # small input by construction: two tasks per core
-            t = t.repartition(2 * self.spark.sparkContext.defaultParallelism, "StockKey")
-        return t
-
-    def scan_is_small(self, name: str) -> bool:
-        """The table's scan yields fewer partitions than the session's parallelism
-        (one small file with one row group); kept per session and path."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir.rstrip("/"), name, "small")
-        if key not in _SPREAD:
-            df = self.table(name)
-            _SPREAD[key] = df.rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism
-        return _SPREAD[key]
+            li = li.join(F.broadcast(self.index_keys()), "l_suppkey", "left_semi")
+        return li.select(F.col("l_suppkey").cast("int").alias("StockKey"),
+                         F.to_date("l_shipdate").alias("Date"), _price().alias("p"),
+                         *TRADE_ORDER, "l_discount", "l_tax", "l_returnflag")
 
     def daily_bars(self, index_only: bool = False) -> DataFrame:
-        """One OHLCV row per (StockKey, Date); ``index_only`` keeps index members
-        (filtered on the raw key, so the predicate reaches the parquet scan).
+        """One OHLCV row per (StockKey, Date); ``index_only`` keeps index members.
 
-        Grouping is on StockKey itself, so the aggregate's partitioning is by
-        StockKey: when a small scan is spread by StockKey first, the per-stock
-        windows downstream need no exchange of their own. Large scans keep the
-        map-side partial aggregation (hot stock-days are pre-reduced).
+        Partial aggregation runs in the map tasks, so a stock-day that holds a
+        third of all trades reaches the shuffle as one row for each task.
         """
         seq = F.struct(*TRADE_ORDER)
         t = self.trades(index_only)
@@ -254,7 +232,3 @@ class DerivedStar:
     @property
     def company_small(self) -> bool:
         return self.supplier_small
-
-    def index_filter(self) -> Column:
-        """Index membership on the fact's key (reaches the lineitem scan)."""
-        return F.col("StockKey") < INDEX_KEY_LIMIT

@@ -1,5 +1,6 @@
 """Key handling, incremental loads, quality gates, ingest and evolution."""
 
+import hashlib
 import os
 
 import pytest
@@ -52,11 +53,12 @@ def test_allocate_keys_stable_and_bucketed(spark):
     old = spark.createDataFrame([("B", 1), ("A", 2)], "s string, k int")
     new = spark.createDataFrame([("A",), ("C",), ("D",), ("C",)], "s string")
     got = {r.s: r.k for r in dims.allocate_keys(new, old, "s", "k").collect()}
-    assert got == {"A": 2, "C": 3, "D": 4}
+    order = sorted("CD", key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    assert got == {"A": 2, order[0]: 3, order[1]: 4}
     big = spark.range(1000).select(F.format_string("n%04d", "id").alias("s"))
-    keyed = dims.allocate_keys(big, None, "s", "k", small=False)
-    ks = sorted(r.k for r in keyed.collect())
-    assert ks == list(range(1, 1001))                       # dense, no gaps
+    keyed = {r.s: r.k for r in dims.allocate_keys(big, None, "s", "k").collect()}
+    by_hash = sorted(keyed, key=lambda x: (hashlib.md5(x.encode()).hexdigest(), x))
+    assert [keyed[s] for s in by_hash] == list(range(1, 1001))     # dense, in one order at any size
 
 
 def test_quality_reports(spark):
@@ -103,11 +105,30 @@ def test_csv_with_bom_and_broken_row(spark, tmpdir_path):
         f.write("time,MaCK,open,high,low,close,volume\n")
         f.write("2024-01-02,VNM,1,2,0.5,1.5,100\n")
         f.write("2024-01-03,VNM,1,2,0.5,oops,100\n")
-    good, bad = files.read_with_quarantine(spark, p, QUOTE_SCHEMA)
-    assert [r.close for r in good.collect()] == [1.5]
-    b = bad.collect()
-    assert len(b) == 1 and b[0].bad_columns == ["close"]
+        f.write("2024-01-04,VNM,1,2,0.5,1.5,100,surplus\n2024-01-05,VNM,1\n")
+        f.write("2024-99-03,VNM,1,2,0.5,1.5,100\n,VNM,1,2,0.5,1.5,100\n2024-01-08,,1,2,0.5,1.5,100\n")
+    good, bad = files.read_with_quarantine(spark, p, QUOTE_SCHEMA, dates=["time"], required=["time", "MaCK"])
+    assert [r.close for r in good.collect()] == [1.5] and good.count() == 1
+    got = sorted("; ".join(r.reasons) for r in bad.collect())
+    assert got == ["MaCK: missing", "close: type", "field count", "field count", "time: date", "time: missing"]
     assert files.read_quotes(spark, os.path.join(tmpdir_path, "missing")).count() == 0
+    assert [f.count() for f in files.read_vendor_quotes(spark, os.path.join(tmpdir_path, "missing"))] == [0, 0]
+
+
+def test_vendor_files_are_renamed_tagged_and_cut(spark, tmpdir_path):
+    for symbol in ("VNM", "FPT"):
+        with open(os.path.join(tmpdir_path, f"{symbol}.csv"), "w", encoding="utf-8") as f:
+            f.write("date,openPrice,highPrice,lowPrice,closePrice,volume\n2019-12-31,1,1,1,1,1\n2021-05-03,1,2,0.5,1.5,10\n")
+    good, bad = files.read_vendor_quotes(spark, tmpdir_path)
+    assert sorted((r.MaCK, r.time, r.close) for r in good.collect()) == [("FPT", "2021-05-03", 1.5), ("VNM", "2021-05-03", 1.5)]
+    assert bad.count() == 0
+
+
+def test_repeated_header_name_takes_its_first_value(spark, tmpdir_path):
+    with open(os.path.join(tmpdir_path, "ratio_A.csv"), "w", encoding="utf-8") as f:
+        f.write("Meta,G1,G2\nCP,EBIT,EBIT\nA,,7\nB,5,6\n")
+    df = files.read_two_row_header(spark, tmpdir_path, ["CP", "EBIT"], {"CP": T.StringType()})
+    assert sorted((r.CP, r.EBIT) for r in df.collect()) == [("A", 7.0), ("B", 5.0)]
 
 
 def test_two_row_header_files_conform(spark, tmpdir_path):
@@ -158,3 +179,35 @@ def test_per_symbol_quote_history_round_trip(spark, tmpdir_path):
     assert one.count() == want.where(F.col("MaCK") == sym).count()
     assert one.select("source_file").distinct().count() >= 1
     assert all(f"MaCK=" in r.source_file for r in one.select("source_file").distinct().collect())
+
+
+def test_rewrite_keeps_limits_and_the_table_on_failure(spark, tmpdir_path):
+    from stockyard.operators.evolve import alter_add_column, rewrite_table, schema_downgrade
+    spark.sql(f"CREATE TABLE evolving (k int NOT NULL, s varchar(5), r decimal(5,2)) USING parquet LOCATION '{tmpdir_path}/a'")
+    spark.sql("INSERT INTO evolving VALUES (1, 'abc', 1.25), (2, 'de', 123.45)")
+    alter_add_column(spark, "evolving", "extra", "int")
+    out = rewrite_table(spark, "evolving", f"{tmpdir_path}/b", lambda df: df.drop("extra"))
+    assert out.columns == ["k", "s", "r"] and out.count() == 2
+    with pytest.raises(Exception):
+        spark.sql("INSERT INTO evolving VALUES (3, 'toolong', 1.0)")
+    with pytest.raises(Exception):
+        schema_downgrade(spark, "evolving", "r", 2, 2, f"{tmpdir_path}/c")
+    assert spark.table("evolving").count() == 2 and "evolving__new" not in [t.name for t in spark.catalog.listTables()]
+    assert schema_downgrade(spark, "evolving", "r", 5, 1, f"{tmpdir_path}/d").schema["r"].dataType.simpleString() == "decimal(5,1)"
+    spark.sql("DROP TABLE evolving")
+
+
+def test_gate_raises_on_null_keys_and_overflow(spark):
+    ok = spark.createDataFrame([(20240102, 1, 1.0)], "TimeKey int, StockKey int, Open double").selectExpr(
+        "*", "Open High", "Open Low", "Open Close")
+    quality.require_valid(ok, "Fact_StockPrice")
+    for bad in (ok.selectExpr("TimeKey", "cast(null as int) StockKey", "Open", "High", "Low", "Close"),
+                ok.selectExpr("TimeKey", "StockKey", "Open", "High", "Low", "Close * 1e8 as Close")):
+        with pytest.raises(quality.InvalidRowsError):
+            quality.require_valid(bad, "Fact_StockPrice")
+
+
+def test_column_info_covers_every_type(spark):
+    df = spark.createDataFrame([(1, "b", None), (2, None, True)], "i int, s string, f boolean")
+    got = [(r.Column, r.DType, r.NonNull, r.Nulls, r.Least, r.Greatest) for r in quality.column_info(df).orderBy("Position").collect()]
+    assert got == [("i", "int", 2, 0, "1", "2"), ("s", "string", 1, 1, "b", "b"), ("f", "boolean", 1, 1, "true", "true")]

@@ -4,13 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from stockyard.plans.registry import QUERIES
+from stockyard.plans.sql_twins import ORACLE
 from stockyard.sources.star import TABLE_NAMES
 from tools.oracle_check import rows_of
 
 from conftest import SMALL
 
-ORACLE = entry.oracle_sql()
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -22,13 +23,13 @@ def con():
 
 
 def test_every_query_has_a_twin_or_is_marked_rows_only():
-    rows_only = {"lsh_topk", "file_routing"}
+    rows_only = {"lsh_topk"}
     assert set(NAMES) - set(ORACLE) == rows_only
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_twin(spark, con, name):
-    df = entry.queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     rows = [tuple(r) for r in df.collect()]
     if name not in ORACLE:
         assert len(rows) > 0
@@ -39,6 +40,10 @@ def test_query_matches_twin(spark, con, name):
     assert rows_of(df.columns, rows) == rows_of(ocols, res.fetchall())
 
 
+def test_entry_lists_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0

@@ -95,9 +95,9 @@ def test_rounding_rule_matches_decimal_half_up(spark, x):
 
 
 def test_lsh_scores_are_exact_and_recall_reasonable(spark):
-    import __spark_entry__ as entry
-    lsh = entry.queries()["lsh_topk"](spark, SMALL).collect()
-    exact = entry.queries()["cosine_topk"](spark, SMALL).collect()
+    from stockyard.plans.registry import QUERIES
+    lsh = QUERIES["lsh_topk"](spark, SMALL).collect()
+    exact = QUERIES["cosine_topk"](spark, SMALL).collect()
     emb = {r["vec_id"]: np.array(r["embedding"], dtype="float64")
            for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
     labels = {r["vec_id"]: r["label"] for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
