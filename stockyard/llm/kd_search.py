@@ -113,7 +113,7 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n, m = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // QUERY_ROWS))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v", "dims").withColumn(
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("dims").alias("qdims")).withColumn(
         "block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn(
         "home", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(shards)).cast("int"))
     every_block = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -125,14 +125,14 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if left.num_rows and right.num_rows:
             sizes = left["dims"].to_numpy()
             # products of integers below 2**53 are exact in doubles
-            for d in np.unique(right["dims"].to_numpy()):
+            for d in np.unique(right["qdims"].to_numpy()):
                 rows = np.flatnonzero(sizes == d)
                 if not len(rows):
                     continue
                 own = left.take(pa.array(rows))
                 tree = KdTree(own["vec_id"].to_numpy(), components(own["v"], d))
-                mine = right.filter(pa.array(right["dims"].to_numpy() == d))
-                points = components(mine["v"], d)
+                mine = right.filter(pa.array(right["qdims"].to_numpy() == d))
+                points = components(mine["qv"], d)
                 limits = zip(mine["limit_score"].to_pylist(), mine["limit_id"].to_pylist(), strict=True)
                 bounds = tree.bounds(points)
                 for j, (q, limit) in enumerate(zip(mine["query_id"].to_pylist(), limits, strict=True)):
