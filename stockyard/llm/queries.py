@@ -73,4 +73,7 @@ QUERIES = {f.__name__: f for f in (
     op1_language_id, op1_language_id_pages, op2_decontamination, op3_secret_scan, op4_sharding,
     op5_suffix_array_dedup, op6_substring_dedup, op7_minhash_near_dedup, op8_exact_top_k, op9_packing,
     op10_quality_classifier)}
-ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op8_exact_top_k": kd_search.ORACLE}
+ORACLE: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE, "op3_secret_scan": secret_scan.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE, "op7_minhash_near_dedup": near_dup.ORACLE,
+    "op8_exact_top_k": kd_search.ORACLE}

@@ -155,3 +155,45 @@ def digest(docs: DataFrame) -> DataFrame:
                         count("hex").alias("n_hex"), F.sha2(shown(base), 256).alias("base_sha256"),
                         shown(F.col("spans")).alias("spans"), with_status("live").alias("n_live"),
                         with_status("copied").alias("n_copied"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+kinds(k, kind, pattern, least) AS (VALUES
+  (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
+  (1, 'access', 'AKIA[A-Z0-9]+', 20), (2, 'hex', '[0-9a-f]+', 24), (3, 'bare', '[A-Za-z0-9+/_.=-]+', 12)),
+listed AS (
+  SELECT r, source, doc_id, k, kind, least, regexp_extract_all(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS m,
+         regexp_extract_all(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS v,
+         string_split_regex(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS p
+  FROM d, kinds WHERE k = 0
+  UNION ALL SELECT r, source, doc_id, k, kind, least, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d, kinds WHERE k = 1
+  UNION ALL SELECT r, source, doc_id, k, kind, least, regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') FROM d, kinds WHERE k = 2
+  UNION ALL SELECT r, source, doc_id, k, kind, least, regexp_extract_all(t, '[A-Za-z0-9+/_.=-]+'), regexp_extract_all(t, '[A-Za-z0-9+/_.=-]+'), string_split_regex(t, '[A-Za-z0-9+/_.=-]+') FROM d, kinds WHERE k = 3),
+each AS (SELECT r, source, doc_id, k, kind, least, unnest(m) AS m, unnest(v) AS v, unnest(p[1:len(m)]) AS p, unnest(range(len(m))) AS n
+         FROM listed WHERE len(m) > 0),
+span AS (SELECT *, CAST(sum(len(p) + len(m)) OVER (PARTITION BY r, k ORDER BY n) - len(m) AS BIGINT) AS a FROM each),
+candidate AS (SELECT *, a + len(m) AS b FROM span WHERE len(v) >= least
+              AND (k < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')))),
+owned AS (
+  SELECT v, count(DISTINCT coalesce(source, '<none>')) AS owners,
+         bool_or(len(v) >= 12 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+                 AND len(list_distinct(string_split(v, ''))) >= 8) AS random
+  FROM candidate WHERE k < 3 GROUP BY v),
+judged AS (SELECT c.*, CASE WHEN owners >= 3 THEN 'copied' WHEN owners = 1 AND random THEN 'live' ELSE 'unclear' END AS status
+           FROM candidate c JOIN owned USING (v)),
+chosen AS (
+  SELECT * FROM judged WHERE k < 3
+  UNION ALL SELECT * FROM judged x WHERE k = 3 AND status = 'live' AND NOT EXISTS (
+    SELECT 1 FROM judged y WHERE y.r = x.r AND y.k < 3 AND x.a < y.b AND y.a < x.b)),
+report AS (
+  SELECT r, count_if(k = 0) AS n_assign, count_if(k = 1) AS n_access, count_if(k = 2) AS n_hex,
+         string_agg(CASE WHEN k < 3 THEN kind || ':' || a || ':' || b END, ',' ORDER BY a, k) AS base,
+         string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans,
+         count_if(status = 'live') AS n_live, count_if(status = 'copied') AS n_copied
+  FROM chosen GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+       CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_copied, 0) AS BIGINT) AS n_copied
+FROM d LEFT JOIN report USING (r)
+"""

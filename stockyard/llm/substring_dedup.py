@@ -71,3 +71,19 @@ def without_copies(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
 def digest(docs: DataFrame, **limits: int) -> DataFrame:
     return without_copies(docs, **limits).select("doc_id", "n_words", "n_removed",
                                        F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+win AS (SELECT r, o, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+        FROM (SELECT r, o, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+first_doc AS (SELECT h, min(o) AS m FROM win GROUP BY h),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM win JOIN first_doc USING (h) WHERE o > m),
+gone_list AS (SELECT r, list(j) AS js, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(ws, lambda x, k: js IS NULL OR NOT list_contains(js, k)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone_list USING (r)
+"""
