@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from stockyard.session import scratch_path
 
 NO_ID = (1 << 63) - 1            # stands for a null doc_id: ordered after every other
-WORK_BYTES = 1 << 20             # bytes of text that one vector step works on
+WORK_BYTES = 1 << 19             # bytes of text that one vector step works on
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,20 +36,25 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back (cuts lineage,
-    survives lost executors). Finished shuffles are released afterwards."""
+    survives lost executors). ``large``: its shuffles are released before going on."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path, schema = scratch_path(spark, name), df.schema
     df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    if large:
+        release(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of frames that are no longer held."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files of frames that are no longer held; it
+    goes by garbage collection on the driver, which may not happen for long otherwise."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def text_bytes_total(docs: DataFrame, column: str = "text") -> int:

@@ -7,8 +7,8 @@ rounds the bin is forced, so every coordinate fills within 2 T rounds even for a
 set of one element, and a large set is done after one or two. Coordinates agree
 with probability equal to the sets' resemblance, with the concentration of
 independent min-hashes. ``ROWS`` coordinates make a band; documents that agree on
-a band are candidates. A pair at the limit of 0.85 is missed with probability
-(1 - 0.85**6)**42 = 2e-9.
+a band are candidates. A pair at a limit of 0.85 is missed with probability
+(1 - 0.85**6)**42 = 2e-9, one at 0.8 with 3e-6.
 
 Equal sets are one node from the start. Within a bucket each node is tied to
 the bucket's least node (in each task first, then overall), never to all
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.llm.arrays import SPACE_LOWER_TABLE, Words, mix, text_bytes
-from stockyard.llm.common import NO_ID, keyed, longs, parts_for, release, slices, stored
+from stockyard.llm.common import NO_ID, keyed, longs, parts_for, slices, stored
 from stockyard.llm.graph import components
 
 ROWS, BANDS = 6, 42
@@ -268,7 +268,7 @@ def resolved(docs: DataFrame, size: int, percent: int) -> DataFrame:
     parts = parts_for(nodes.count() * BANDS, 2_000_000, spark)
     clusters = stored(components(candidate_edges(nodes, parts), "candidates"), "clusters")
     clustered = clusters.join(nodes.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
-    links = stored(verified(clusters, nodes, docs, size, percent, parts_for(int(clustered), CHUNK, spark)), "links")
+    links = stored(verified(clusters, nodes, docs, size, percent, parts_for(int(clustered), CHUNK, spark)), "links", large=True)
     found = components(links, "components")
     owner = nodes.select("node", "doc", "text_hash", "h1", "h2", "n").join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
@@ -276,7 +276,6 @@ def resolved(docs: DataFrame, size: int, percent: int) -> DataFrame:
     of_set = stored(owner.join(least, "component").select(
         "h1", "h2", "n", F.col("least.doc").alias("leader"), F.col("least.text_hash").alias("leader_hash")), "sets")
     out = each.select("doc", "text_hash", "n", "h1", "h2").join(of_set, ["h1", "h2", "n"], "left")
-    release(spark)
     return out.select("doc", "text_hash", "n",
                       F.when(F.col("n") > 0, F.col("leader")).alias("leader"),
                       F.when(F.col("n") > 0, F.col("leader_hash")).alias("leader_hash"))
@@ -307,3 +306,26 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
 
 def digest(docs: DataFrame) -> DataFrame:
     return classes(docs)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS s
+  FROM d),
+size AS (SELECT r, count(*) AS n FROM shingle GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM shingle a JOIN shingle b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
+link AS (SELECT x, y FROM shared JOIN size a ON a.r = x JOIN size b ON b.r = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT x AS r, x AS t FROM edge UNION SELECT reach.r, edge.y FROM reach JOIN edge ON edge.x = reach.t)
+,
+component AS (SELECT r, min(doc_id) AS c FROM (SELECT r, t FROM reach UNION SELECT r, r FROM d) p
+              JOIN (SELECT r AS t, doc_id FROM d) USING (t) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id, doc_id IS NOT DISTINCT FROM c AS kept
+FROM d LEFT JOIN size USING (r) JOIN component USING (r)
+"""

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from stockyard.llm.arrays import RollingHash, mix, sliding_min
 from stockyard.llm.common import keyed, longs, parts_for, slices, stored, text_bytes_total
 
-FLUSH_ROWS = 400_000        # phrases (or windows) gathered before they are dealt out
+FLUSH_ROWS = 250_000        # phrases (or windows) gathered before they are dealt out
 HOT_PHRASES = 8             # phrases of one trigger in one flush that make it hot
 SEGMENT = 1 << 20           # units of one document handled at a time
 POSITION_BITS = np.uint64(24)
@@ -51,9 +51,19 @@ OPEN = np.dtype([("start", "<i8"), ("count", "<i4"), ("trigger", "<u8"), ("hot",
 MARK = -1                   # hash column unused: the row only says that its trigger is hot
 
 
+PLACES = ("start", "count")       # columns packed as differences, byte plane by byte plane
+
+
 def pack(records: np.ndarray) -> bytes:
-    """Column by column, so that the shuffle's compression finds the repeats."""
-    return b"".join(np.ascontiguousarray(records[n]).tobytes() for n in records.dtype.names)
+    """Column by column. Records come in order of their place, so documents repeat and
+    places grow; the shuffle's compression then leaves little but the hashes."""
+    out = []
+    for name in records.dtype.names:
+        column = np.ascontiguousarray(records[name])
+        if name in PLACES:
+            column = np.diff(column, prepend=column.dtype.type(0)).view(np.uint8).reshape(len(column), -1).T
+        out.append(column.tobytes())
+    return b"".join(out)
 
 
 def unpack(body: bytes, dtype: np.dtype) -> np.ndarray:
@@ -61,7 +71,11 @@ def unpack(body: bytes, dtype: np.dtype) -> np.ndarray:
     out, at = np.empty(n, dtype=dtype), 0
     for name in dtype.names:
         kind = dtype[name]
-        out[name] = np.frombuffer(body, dtype=kind, count=n, offset=at)
+        column = np.frombuffer(body, dtype=np.uint8, count=n * kind.itemsize, offset=at)
+        if name in PLACES:
+            out[name] = np.cumsum(np.ascontiguousarray(column.reshape(kind.itemsize, n).T).view(kind)[:, 0])
+        else:
+            out[name] = column.view(kind)
         at += n * kind.itemsize
     return out
 
@@ -172,7 +186,7 @@ def dealt(rows: np.ndarray, repeats: np.ndarray, parts: int) -> pa.RecordBatch:
     key = np.concatenate([key, mix(known["doc"].astype(np.uint64) ^ known["text"].astype(np.uint64), 3)])
     part = (key % np.uint64(parts)).astype(np.int64)
     every = np.concatenate([rows, known])
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((every["start"], every["text"], every["doc"], part))
     at = np.searchsorted(part[order], np.arange(parts + 1))
     have = np.flatnonzero(np.diff(at))
     return pa.RecordBatch.from_arrays(
@@ -223,7 +237,7 @@ def repeated_ranges(docs: DataFrame, units: Callable, length: int, k: int, by_do
     """
     spark = docs.sparkSession
     amount = int(text_bytes_total(docs) * units_per_byte)
-    parts = parts_for(2 * amount // (length - k + 2), 1_500_000, spark)
+    parts = parts_for(2 * amount // (length - k + 2), 700_000, spark)
 
     def emit(batches):
         held, size = [], 0
@@ -267,11 +281,11 @@ def repeated_ranges(docs: DataFrame, units: Callable, length: int, k: int, by_do
         yield found_batch(repeats, left, length)
 
     first = stored(docs.select("doc", "text_hash", "text").mapInArrow(emit, DEALT)
-                   .repartition(parts, "part").mapInArrow(decide, FOUND), "phrases")
+                   .repartition(parts, "part").mapInArrow(decide, FOUND), "phrases", large=True)
 
     spare = first.filter("open is not null")
     windows = spare.agg(F.sum(F.octet_length("open"))).first()[0] or 0
-    parts2 = parts_for(int(windows) // OPEN.itemsize * (length - k + 2) // 2, 1_500_000, spark)
+    parts2 = parts_for(int(windows) // OPEN.itemsize * (length - k + 2) // 2, 700_000, spark)
 
     def emit_windows(batches):
         held, size = [], 0
@@ -321,10 +335,10 @@ def repeated_ranges(docs: DataFrame, units: Callable, length: int, k: int, by_do
 
     still = spare.groupBy("doc", "text_hash").agg(F.collect_list("open").alias("bodies"))
     second = stored(
-        docs.select("doc", "text_hash", "text").dropDuplicates(["doc", "text_hash"])
-        .join(still, ["doc", "text_hash"])
+        docs.select("doc", "text_hash", "text").join(still, ["doc", "text_hash"])
+        .dropDuplicates(["doc", "text_hash"])
         .mapInArrow(emit_windows, DEALT).repartition(parts2, "part")
-        .mapInArrow(decide_windows, FOUND), "windows")
+        .mapInArrow(decide_windows, FOUND), "windows", large=True)
     return (first.filter("ranges is not null").unionByName(second.filter("ranges is not null"))
             .groupBy("doc", "text_hash").agg(F.collect_list("ranges").alias("ranges")))
 
