@@ -126,7 +126,7 @@ def load_metrics(df: DataFrame, name: str, symbol_col: str, time_col: str) -> Da
 # A17 profile with exact quantiles, computed without one task seeing a column
 # ---------------------------------------------------------------------------
 PROFILE_QUANTILES = (0.25, 0.5, 0.75)
-QUANTILE_BUCKETS = 64
+QUANTILE_BUCKETS = 1000
 
 
 def exact_quantiles(long: DataFrame, probs: tuple[float, ...] = PROFILE_QUANTILES,
@@ -136,11 +136,11 @@ def exact_quantiles(long: DataFrame, probs: tuple[float, ...] = PROFILE_QUANTILE
     ``long`` has columns (Column, v). Steps, all distributed:
     1. distinct values with their counts (a value repeated by a third of the
        rows becomes one row);
-    2. approximate bucket boundaries of the distinct values, then a running count inside
-       each (column, bucket) window plus a per-bucket offset: every distinct
-       value gets its exact global rank range [start, end);
-    3. the target ranks floor/ceil((n-1)q) pick their values by a range
-       condition against a tiny broadcast target table.
+    2. approximate bucket boundaries of the distinct values, and the rows in each bucket;
+       only the few buckets that hold a target rank floor/ceil((n-1)q) go on;
+    3. a running count inside those gives each of their values its exact rank range
+       [start, end), and the target ranks pick their values by a range condition
+       against a tiny broadcast table.
     Output: Column, q, value.
     """
     vals = long.where(F.col("v").isNotNull())
@@ -150,20 +150,16 @@ def exact_quantiles(long: DataFrame, probs: tuple[float, ...] = PROFILE_QUANTILE
     # result does not depend on them). n is the non-NULL row count.
     fracs = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy("Column").agg(
-        F.percentile_approx("v", fracs, 1000).alias("bounds"), F.sum("c").alias("n"))
+        F.percentile_approx("v", fracs, 2000).alias("bounds"), F.sum("c").alias("n"))
     b = (counts.join(F.broadcast(bounds), "Column")
                .withColumn("bucket", F.size(F.filter("bounds", lambda x: x < F.col("v"))))
                .drop("bounds"))
     per_bucket = b.groupBy("Column", "bucket").agg(F.sum("c").alias("bc"))
+    # one row for each (column, bucket)
     offsets = per_bucket.select(
-        "Column", "bucket",
+        "Column", "bucket", "bc",
         (F.sum("bc").over(Window.partitionBy("Column").orderBy("bucket")) - F.col("bc")).alias("off"))
-    wv = Window.partitionBy("Column", "bucket").orderBy("v")
-    ranked = (b.join(F.broadcast(offsets), ["Column", "bucket"])
-               .withColumn("end", F.col("off") + F.sum("c").over(wv))
-               .withColumn("start", F.col("end") - F.col("c")))
-    # every target rank (floor and ceil of (n-1)q) as its own row; one range
-    # join against the ranked values serves both
+    # every target rank (floor and ceil of (n-1)q) as its own row
     targets = (bounds.select(F.col("Column").alias("tc"),
                              F.explode(F.array(*[F.lit(p) for p in probs])).alias("q"), "n")
                      .withColumn("h", (F.col("n") - 1) * F.col("q"))
@@ -171,6 +167,13 @@ def exact_quantiles(long: DataFrame, probs: tuple[float, ...] = PROFILE_QUANTILE
                          F.struct(F.lit(0).alias("hi"), F.floor("h").alias("k")),
                          F.struct(F.lit(1).alias("hi"), F.ceil("h").alias("k")))).alias("t"))
                      .select("tc", "q", "h", "t.hi", "t.k"))
+    # only buckets that hold a target rank are ranked
+    wanted = offsets.join(F.broadcast(targets), (F.col("Column") == F.col("tc")) & (F.col("off") <= F.col("k"))
+                          & (F.col("k") < F.col("off") + F.col("bc"))).select("Column", "bucket", "off").distinct()
+    wv = Window.partitionBy("Column", "bucket").orderBy("v")
+    ranked = (b.join(F.broadcast(wanted), ["Column", "bucket"])
+               .withColumn("end", F.col("off") + F.sum("c").over(wv))
+               .withColumn("start", F.col("end") - F.col("c")))
     hit = ranked.join(F.broadcast(targets),
                       (F.col("Column") == F.col("tc")) & (F.col("start") <= F.col("k"))
                       & (F.col("k") < F.col("end")))
