@@ -52,11 +52,11 @@ def propagate(rows: DataFrame, shards: int, quota: int, buckets: int) -> DataFra
     """One round on (row, hub, shard); ``hub`` is null for an unlinked row."""
     votes = rows.filter("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n"))
     called = votes.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("h"), "shard")).alias("best"))
-    wish = rows.join(called.select("hub", F.col("best.shard").alias("goal")), "hub", "left")
-    wish = wish.withColumn("goal", F.coalesce("goal", "shard"))
+    # unlinked rows wish nothing, so only linked ones are joined to their hubs
+    wish = rows.filter("hub is not null").join(called.select("hub", F.col("best.shard").alias("goal")), "hub")
     # unlinked rows can leave later without a cut, so linked rows alone use up the quota
-    linked = wish.filter("hub is not null").groupBy("shard").agg(F.sum((F.col("goal") == F.col("shard")).cast("long")).alias("n"))
-    room = linked.select(F.col("shard").alias("goal"), F.greatest(F.lit(quota) - F.col("n"), F.lit(0)).alias("room"))
+    staying = wish.groupBy("shard").agg(F.sum((F.col("goal") == F.col("shard")).cast("long")).alias("n"))
+    room = staying.select(F.col("shard").alias("goal"), F.greatest(F.lit(quota) - F.col("n"), F.lit(0)).alias("room"))
     movers = ranked(wish.filter("goal <> shard").withColumn("late", F.lit(0)), "goal", "late", "row", buckets, "rank")
     admitted = movers.join(F.broadcast(room), "goal", "left").filter(      # one row for each shard
         F.col("rank") < F.coalesce("room", F.lit(quota)))
