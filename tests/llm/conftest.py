@@ -1,5 +1,8 @@
 import pytest
 
+# The tests beside this folder import SMALL from the module "conftest", which may be this one.
+SMALL = "/root/testdata/sf0.001"
+
 
 @pytest.fixture()
 def docs_of(spark):
