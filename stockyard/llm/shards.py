@@ -2,12 +2,14 @@
 
 Documents are linked through hubs: a hub joins all documents that have the same
 value (here: equal texts), so a group of n documents has n links, not n * n. Every
-document starts in a hashed shard. In each round a hub looks at its documents' shards
-and calls for the one that most of them are in (ties by a hash of hub and shard,
-so that equal calls spread); linked documents that stand elsewhere want to move
-there. A shard admits as many as its quota leaves room for beside the linked documents
-that stay. A last step makes the counts exact: shards above their quota give up rows
-- unlinked ones first, whose move cuts nothing - to the shards below.
+document starts in a hashed shard. In each round a hub with unplaced documents calls,
+among the shards with room for all of them, for the one that most of them are in (empty
+shards included; ties by a hash of hub and shard, so that equal calls spread). A shard
+admits hubs as a whole, large ones first, as far as its quota reaches; refused hubs call
+again in the next round, for shards that still have room. A hub larger than any room
+calls the roomiest shards in turn. Rounds go on until each linked document has a place;
+every round places a hub at least. A last step makes the counts exact: shards above their
+quota give up unlinked rows, whose move cuts nothing, to the shards below.
 
 Law: ``rows``. With n rows and k shards, n mod k shards hold one row more than
 the others. Ranks within a shard are taken in buckets with prefix offsets, so no
@@ -22,25 +24,28 @@ gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockyard.llm.common import stored
 
 SHARDS = 24
-ROUNDS = 3
 BUCKET_ROWS = 100_000        # rows that one window partition ranks, about
 
 
-def ranked(df: DataFrame, by: str, first: str, key: str, buckets: int, name: str) -> DataFrame:
-    """``df`` with ``name``: 0-based rank within ``by``, rows with the smaller
-    ``first`` before the others, then in order of hash buckets of ``key``."""
+def ranked(df: DataFrame, by: str, first: str, key: str, buckets: int, name: str, weight: str | None = None) -> DataFrame:
+    """``df`` with ``name``: 0-based rank within ``by`` (or the sum of ``weight`` before the
+    row), rows with the smaller ``first`` before the others, then in order of hash buckets of ``key``."""
+    each = F.col(weight) if weight else F.lit(1).cast("long")
     spread = df.withColumn("__b", F.col(first).cast("long") * buckets + F.pmod(F.xxhash64(key), F.lit(buckets)))
-    counts = spread.groupBy(by, "__b").agg(F.count("*").alias("__n"))
+    counts = spread.groupBy(by, "__b").agg(F.sum(each).alias("__n"))
     before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__at"))
-    within = Window.partitionBy(by, "__b").orderBy(key)
-    return (spread.withColumn("__r", F.row_number().over(within) - 1).join(offsets, [by, "__b"])
+    within = Window.partitionBy(by, "__b").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (spread.withColumn("__r", F.sum(each).over(within) - each).join(offsets, [by, "__b"])
             .withColumn(name, F.col("__r") + F.col("__at")).drop("__b", "__r", "__at"))
 
 
@@ -48,20 +53,73 @@ def hashed_start(rows: DataFrame, shards: int) -> DataFrame:
     return rows.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(17)), F.lit(shards)).cast("int"))
 
 
-def propagate(rows: DataFrame, shards: int, quota: int, buckets: int) -> DataFrame:
-    """One round on (row, hub, shard); ``hub`` is null for an unlinked row."""
-    votes = rows.filter("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n"))
-    called = votes.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("h"), "shard")).alias("best"))
-    # unlinked rows wish nothing, so only linked ones are joined to their hubs
-    wish = rows.filter("hub is not null").join(called.select("hub", F.col("best.shard").alias("goal")), "hub")
-    # unlinked rows can leave later without a cut, so linked rows alone use up the quota
-    staying = wish.groupBy("shard").agg(F.sum((F.col("goal") == F.col("shard")).cast("long")).alias("n"))
-    room = staying.select(F.col("shard").alias("goal"), F.greatest(F.lit(quota) - F.col("n"), F.lit(0)).alias("room"))
-    movers = ranked(wish.filter("goal <> shard").withColumn("late", F.lit(0)), "goal", "late", "row", buckets, "rank")
-    admitted = movers.join(F.broadcast(room), "goal", "left").filter(      # one row for each shard
-        F.col("rank") < F.coalesce("room", F.lit(quota)))
-    moves = admitted.select("row", F.col("goal").alias("to"))
-    return rows.join(moves, "row", "left").select("row", "hub", F.coalesce("to", "shard").alias("shard"))
+def quotas(n: int, shards: int) -> list[int]:
+    return [n // shards + (s < n % shards) for s in range(shards)]
+
+
+def split(big: list, rooms: list[int]) -> list[tuple]:
+    """(hub, shard, from, upto) for hubs that fit no room: each calls the roomiest shards
+    in turn, until all its documents have a place. ``rooms`` is brought up to date."""
+    takes = []
+    for hub, size in big:
+        at = 0
+        while at < size:
+            shard = max(range(len(rooms)), key=lambda s: (rooms[s], -s))
+            take = min(size - at, rooms[shard])
+            takes.append((hub, shard, at, at + take))
+            rooms[shard] -= take
+            at += take
+    return takes
+
+
+def called(hubs: DataFrame, rooms: list[int], buckets: int) -> DataFrame:
+    """One round on (hub, size, votes): with ``goal``, the fitting shard that most of the
+    hub's documents are in, and ``admitted``, whether the hub is let in as a whole."""
+    fits = F.filter(F.sequence(F.lit(0), F.lit(len(rooms) - 1)),
+                    lambda s: F.element_at(F.lit(rooms), s + 1) >= F.col("size"))
+    best = F.array_max(F.transform(fits, lambda s: F.struct(
+        F.coalesce(F.try_element_at("votes", s), F.lit(0)).alias("n"), F.xxhash64("hub", s).alias("h"), s.alias("shard"))))
+    goals = hubs.withColumn("goal", best["shard"]).withColumn("small", -F.floor(F.log2("size")))   # large hubs first
+    order = ranked(goals, "goal", "small", "hub", buckets, "ahead", "size")
+    return order.withColumn("admitted", F.col("ahead") + F.col("size") <= F.element_at(F.lit(rooms), F.col("goal") + 1)).select(
+        "hub", "size", "votes", "goal", "admitted")
+
+
+def propagate(rows: DataFrame, shards: int, n: int, buckets: int) -> DataFrame:
+    """(row, hub, shard) after rounds on (row, hub, shard), as many as it takes to give each
+    linked row a place; ``hub`` is null for an unlinked row. Unlinked rows can leave later
+    without a cut, so linked ones alone use up the quotas."""
+    spark, linked = rows.sparkSession, rows.filter("hub is not null")
+    hubs = stored(linked.groupBy("hub", "shard").agg(F.count("*").alias("n")).groupBy("hub").agg(
+        F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("votes")), "hubs")
+    rooms, whole, takes = quotas(n, shards), [], []
+    while largest := hubs.agg(F.max("size")).first()[0]:
+        if largest > max(rooms):
+            # all of them together have room, so these are fewer than the shards
+            big = hubs.filter(F.col("size") > max(rooms))
+            limit = max(rooms)
+            takes += split(big.orderBy(F.desc("size"), "hub").select("hub", "size").collect(), rooms)
+            hubs = hubs.filter(F.col("size") <= limit)
+            continue
+        turn = stored(called(hubs, rooms, buckets), "calls")
+        for shard, size in turn.filter("admitted").groupBy("goal").agg(F.sum("size")).collect():
+            rooms[shard] -= size
+        whole.append(turn.filter("admitted").select("hub", "goal"))
+        hubs = turn.filter("not admitted").select("hub", "size", "votes")
+    out = rows.filter("hub is null").select("row", "hub", "shard")
+    if whole:
+        goals = reduce(DataFrame.unionByName, whole)
+        out = out.unionByName(linked.drop("shard").join(goals, "hub").select("row", "hub", F.col("goal").alias("shard")))
+    if takes:
+        # each of these hubs used up a room, so there are no more of them than shards
+        parts = F.broadcast(spark.createDataFrame(takes, T.StructType([
+            rows.schema["hub"], T.StructField("shard", T.IntegerType()), T.StructField("from", T.LongType()),
+            T.StructField("upto", T.LongType())])))
+        apart = linked.drop("shard").join(parts.select("hub").distinct(), "hub", "left_semi").withColumn("late", F.lit(0))
+        placed_at = ranked(apart, "hub", "late", "row", buckets * shards, "at").join(parts, "hub").filter(
+            "at >= from and at < upto")
+        out = out.unionByName(placed_at.select("row", "hub", "shard"))
+    return out
 
 
 def levelled(rows: DataFrame, shards: int, n: int, buckets: int) -> DataFrame:
@@ -87,7 +145,7 @@ def levelled(rows: DataFrame, shards: int, n: int, buckets: int) -> DataFrame:
     return rows.join(moves, "row", "left").select("row", "hub", F.coalesce("to", "shard").alias("shard"))
 
 
-def placed(links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def placed(links: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(row, hub, shard, slot) for (row, hub) rows: ``row`` a distinct long, ``hub``
     what links rows (null: unlinked)."""
     table = stored(hashed_start(links, shards).select("row", "hub", "shard"), "shards")
@@ -95,8 +153,7 @@ def placed(links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     if not n:
         return table.withColumn("slot", F.lit(0).cast("long"))
     buckets = max(4, -(-n // shards // BUCKET_ROWS))
-    for _ in range(rounds):
-        table = stored(propagate(table, shards, -(-n // shards), buckets), "shards")
+    table = stored(propagate(table, shards, n, buckets), "shards")
     table = stored(levelled(table, shards, n, buckets), "shards")
     return ranked(table.withColumn("late", F.lit(0)), "shard", "late", "row", buckets, "slot").drop("late")
 

@@ -36,6 +36,26 @@ def test_rows_are_level_and_copies_together(docs_of, n, copies):
     assert sum(len(set(g)) == 1 for g in small) >= 0.9 * len(small)
 
 
+@pytest.mark.parametrize("sizes,unlinked,scattered", [
+    ([800, 99, 95, 90, 80, 70, 60, 50, 40, 34], 982, 0),       # a third of all rows, and groups above quota/3
+    ([600, 450, 120] + [45] * 10 + [2] * 300, 180, 1),         # several groups above a quota
+    ([60] * 40, 0, 16)])                                       # 24 shards hold one group each, and no row can give way
+def test_groups_are_cut_only_where_no_shard_has_room(spark, sizes, unlinked, scattered):
+    n = sum(sizes) + unlinked
+    hubs = [g for g, size in enumerate(sizes) for _ in range(size)] + [None] * unlinked
+    links = spark.createDataFrame(list(enumerate(hubs)), "row long, hub long")
+    got = shards.placed(links).collect()
+    assert sorted(r.row for r in got) == list(range(n)) and all(hubs[r.row] == r.hub for r in got)
+    counts = [sum(r.shard == s for r in got) for s in range(24)]
+    assert max(counts) - min(counts) <= 1
+    quota, used = n // 24, {}
+    for r in got:
+        used.setdefault(r.hub, set()).add(r.shard)
+    for g, size in enumerate(sizes):
+        assert size <= quota or len(used[g]) <= size // quota + 2
+    assert sum(len(used[g]) > 1 for g, size in enumerate(sizes) if size <= quota) <= scattered
+
+
 def brute(rows, k):
     usable = {}
     for i, v in rows:
