@@ -1,10 +1,10 @@
 """Retrieval over stored embeddings and text (V1-V4).
 
 * V1 exact cosine top-k: within a query's own symbol an equi-join; over a whole
-  corpus, blocks of queries travel as literals and every corpus row scores them
-  with built-in higher-order functions (no join, no Python), and ``row_number() <= k`` per query gets a
-  partial WindowGroupLimit before the shuffle, so each map task ships at most
-  k rows per query.
+  corpus, a product of query blocks and corpus blocks (no Python, no driver literals) that
+  passes on only pairs which beat the k-th result known so far, and
+  ``row_number() <= k`` per query gets a partial WindowGroupLimit before the shuffle,
+  so each map task ships at most k rows per query.
 * V2 approximate top-k: random-projection LSH (pyspark.ml) on unit vectors;
   candidates are corpus rows sharing a hash bucket with a query (an equi-join
   against the small broadcast query-bucket table), then scored exactly.
@@ -19,11 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.functions.rounding import rnd
-from stockyard.session import fits_broadcast
+from stockyard.session import fits_broadcast, scratch_path
 from stockyard.functions.text import chunk_starts, keyword_flags, words
 
-# Queries scored in one pass, about; larger query sets are processed in hash blocks.
-QUERY_BLOCK = 256
+# A task of the exact search scores about so many queries against so many rows.
+QUERY_ROWS, CORPUS_ROWS = 256, 8_192
+# Rows of its first hash level, and how much larger each further one is than those before.
+FIRST_ROWS, GROWTH = 256, 16
+# Components up to which a dot product is written out as one sum.
+UNROLLED = 256
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -53,35 +57,62 @@ def _ranked(scored: DataFrame, by: str, id_col: str, k: int, digits: int | None)
     return top.select(F.col(by).alias("QueryId"), "Rank", F.col(id_col), score.alias("Score"))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back."""
+    path, schema = scratch_path(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def _dot_of(a: Column, b: Column, dims: int) -> Column:
+    """_dot of vectors without nulls, of up to ``dims`` components, as one compiled sum; NULL if lengths differ."""
+    if dims > UNROLLED:
+        return _dot(a, b)
+    terms = (F.coalesce(F.get(a, F.lit(i)) * F.get(b, F.lit(i)), F.lit(0.0)) for i in range(dims))
+    return F.when(F.size(a) == F.size(b), reduce(Column.__add__, terms, F.lit(0.0)))
+
+
 def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
                 vec_col: str = "embedding", query_id_col: str = "query_id",
-                query_vec_col: str = "embedding", digits: int | None = 6) -> DataFrame:
-    """V1 over a whole corpus: for every query, the k rows with the highest cosine similarity.
-
-    Ties are broken by ``id_col`` ascending. The query set is taken in hash
-    blocks of about QUERY_BLOCK vectors: each block travels as one
-    literal, so a corpus row scores it without a join, and a task keeps k rows
-    for each query before the shuffle. Each side's norms are computed once.
+                query_vec_col: str = "embedding", digits: int | None = 6, by: str | None = None) -> DataFrame:
+    """V1 over a whole corpus: for every query, the k rows with the highest cosine similarity,
+    with ``by`` only among the rows of the query's own value there.
+
+    Query ids are distinct, ties are broken by ``id_col`` ascending. Both sides may be of
+    any size: every query meets every row in a block-by-block product. The corpus is taken in
+    hash levels, each GROWTH times as large as those before; a level's pairs leave the product
+    only if they beat the k-th result known from the levels before, so a query gets about
+    GROWTH * k rows from each, however large the corpus is. Each side's norms are computed once.
     """
-    q = _with_norm(queries.select(F.col(query_id_col).alias("_id"), F.col(query_vec_col).alias("_e")), "_e", "_v")
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    own = _with_norm(corpus.select(F.col(id_col), F.col(vec_col)), vec_col, "_c")
-    parts = []
-    for n in range(blocks):
-        block = q.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == n).select("_id", "_v", "_v_norm").collect()
-        if not block:
-            continue
-        ids, vectors, norms = zip(*block, strict=True)
-        each = F.transform(F.lit([list(v) for v in vectors]), lambda v: _dot(v, F.col("_c")))
-        scored = own.select(F.col(id_col), "_c_norm", F.posexplode(each).alias("_n", "_dot"))
-        place = F.col("_n") + 1
-        scored = scored.select(
-            F.col(id_col), F.element_at(F.lit(list(ids)), place).alias("_q"),
-            F.try_divide(F.col("_dot"), F.element_at(F.lit(list(norms)), place) * F.col("_c_norm")).alias("_score"))
-        parts.append(_ranked(scored, "_q", id_col, k, digits))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], f"QueryId string, Rank int, {id_col} long, Score double")
-    return reduce(DataFrame.unionByName, parts)
+    same = [F.col(by).alias("_qby")] if by else []
+    q = _kept(_with_norm(queries.select(F.col(query_id_col).alias("_q"), *same, F.col(query_vec_col).alias("_e")),
+                         "_e", "_v").drop("_e"), "queries")
+    own = _kept(_with_norm(corpus.select(F.col(id_col), *([F.col(by)] if by else []), F.col(vec_col)),
+                           vec_col, "_c").drop(vec_col), "vectors")
+    m, dims = q.agg(F.count("*"), F.coalesce(F.max(F.size("_v")), F.lit(0))).first()
+    n = own.count()
+    ends = [FIRST_ROWS]
+    while ends[-1] < n:
+        ends.append(ends[-1] * GROWTH)
+    score = F.try_divide(_dot_of(F.col("_v"), F.col("_c"), dims), F.col("_v_norm") * F.col("_c_norm"))
+    place = F.pmod(F.xxhash64(id_col), F.lit(max(n, 1)))
+    best = Window.partitionBy("_q").orderBy(F.col("_score").desc(), F.col(id_col).asc())
+    found = None
+    for start, end in zip([0, *ends], ends):
+        level = own.where((place >= start) & (place < end)).repartition(max(1, -(-(min(end, n) - start) // CORPUS_ROWS)))
+        asked, fits = q, F.col("_qby").eqNullSafe(F.col(by)) if by else F.lit(True)
+        if found is not None:
+            kth = found.where(F.col("Rank") == k).select("_q", F.col("_score").alias("_kth"), F.col(id_col).alias("_kth_id"))
+            asked = q.join(kth, "_q", "left")
+            fits &= F.col("_kth").isNull() | (
+                (score >= F.col("_kth")) & ((score > F.col("_kth")) | (F.col(id_col) < F.col("_kth_id"))))
+        pairs = asked.repartition(max(1, -(-m // QUERY_ROWS))).hint("shuffle_replicate_nl").join(level, fits)
+        scored = pairs.select("_q", id_col, score.alias("_score")).where(F.col("_score").isNotNull())
+        if found is not None:
+            scored = scored.unionByName(found.drop("Rank"))
+        found = _kept(scored.withColumn("Rank", F.row_number().over(best)).where(F.col("Rank") <= k), "found")
+    out = F.col("_score") if digits is None else rnd(F.col("_score"), digits)
+    return found.select(F.col("_q").alias("QueryId"), "Rank", id_col, out.alias("Score"))
 
 
 def cosine_topk_within(corpus: DataFrame, queries: DataFrame, by: str, k: int = 10, id_col: str = "vec_id",
