@@ -39,6 +39,7 @@ KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "bare": BARE}
 LEAST_VALUE = 6
 
 MANY_OWNERS = 3          # owners from which a value is a copied example
+MANY_REPOSITORIES = 100  # repositories from which no value is masked as its one owner's own
 LIVE_LENGTH = 12         # characters of a live-looking value
 LIVE_DISTINCT = 8        # different characters of it
 MASK = "[REDACTED]"
@@ -116,12 +117,14 @@ def scanned(docs: DataFrame, owner: str = "source", repository: str = "doc_id")
 
 
 def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """``docs`` with every credential that is no widely copied example replaced by MASK."""
+    """``docs`` with every credential that is no widely copied example replaced by MASK: one
+    that stands under many owners, or looks live but in many repositories of one owner."""
     columns = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hidden = scanned(docs, owner, repository).select(
         F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"),
-        F.filter("spans", lambda s: s["status"] != "copied").alias("__spans")).filter(F.size("__spans") > 0)
+        F.filter("spans", lambda s: (s["status"] != "copied") & ~(
+            (s["status"] == "live") & (s["n_repositories"] >= MANY_REPOSITORIES))).alias("__spans")).filter(F.size("__spans") > 0)
     hidden = stored(hidden.dropDuplicates(["__doc", "__hash"]), "hidden")
     named = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
                               "__hash": F.xxhash64(text)})

@@ -63,3 +63,12 @@ def test_masking(docs_of):
     a, b = f"é {mask} end", f"{mask} x {mask}."
     assert got == sorted([(0, a, len(a)), (0, a, len(a)), (1, "plain", 5), (2, None, 0), (4, b, len(b))], key=str)
     assert ss.redacted(docs_of([])).collect() == [] and ss.digest(docs_of([])).collect() == []
+
+
+def test_example_copied_within_one_source_is_not_masked(docs_of):
+    example, own = "Zx81Qw92Er73Ty64", "Pq55Lm31Vb72Nc48"
+    rows = [(3 * i, f"token={example} {i}") for i in range(ss.MANY_REPOSITORIES)]     # one source, many documents
+    rows += [(3 * i + 3000, f"token={own} {i}") for i in range(ss.MANY_REPOSITORIES - 1)] + [(6000, f"so {example} here")]
+    got = {r.doc_id: r.text for r in ss.redacted(docs_of(rows)).collect()}
+    for i, text in rows:
+        assert got[i] == text.replace(f"token={own}", ss.MASK)
