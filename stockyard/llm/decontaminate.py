@@ -199,12 +199,12 @@ def built(items: list[tuple[str, str]], window: int) -> Items:
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
     """Items in blocks of about BLOCK_BYTES of text, one at a time on the driver."""
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
-    items = items.filter("i is not null and t is not null")
+    items = items.filter("i is not null and t is not null").distinct()      # repeated rows would fill a block
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
     for n in range(blocks):
         some = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n) if blocks > 1 else items
-        yield sorted({(r["i"], r["t"]) for r in some.collect()})
+        yield sorted((r["i"], r["t"]) for r in some.collect())
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -83,3 +83,11 @@ def test_spans_go_and_clean_text_stays(spark, docs_of):
     empty = benchmark.filter("false")
     assert dc.decontaminated(docs, empty).count() == 4
     assert dc.digest(docs_of([]), benchmark).collect() == []
+
+
+def test_repeated_items_take_no_room_in_blocks(spark, monkeypatch):
+    from stockyard.llm import decontaminate
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    rows = [("hot", "a" * 40)] * 50 + [(f"i{n}", f"{n}" * 40) for n in range(4)]
+    blocks = list(decontaminate.item_blocks(spark.createDataFrame(rows, "item_id string, text string")))
+    assert len(blocks) == 2 and sorted(x for b in blocks for x in b) == sorted(set(rows))
