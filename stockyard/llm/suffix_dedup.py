@@ -2,14 +2,14 @@
 
 Rolling-hash triggers cut every text into phrases (``spans``): each phrase ends
 in the trigger's reach that begins the next, overlapping by ``length - 1``
-bytes, so no suffix of ``length`` bytes of one phrase runs past its end and the
-order of such suffixes is decided inside the **dictionary** of different
-phrases alone. The **parse** gives each dictionary phrase its first place in
-corpus order. Equal phrases inherit "repeated" from the parse; suffixes of
-phrases that share a trigger are sorted against each other, and in each run of
-equal ones all but the first in corpus order are repeats. The suffix order is
-thus built over the dictionary, whose size follows the *different* text, not
-over all positions of a repetitive corpus.
+bytes, so every window of ``length`` bytes lies inside a phrase of the **dictionary** of
+different phrases. The **parse** gives each dictionary phrase its first place in
+corpus order. Equal phrases inherit "repeated" from the parse; windows of
+phrases that share a trigger are compared by a 64-bit hash, and of equal ones all but
+the first in corpus order are repeats. No suffix array is built: only windows of one
+length are asked for, and hashes find equal ones without an order that spans tasks;
+rows are right up to hash collisions. The work follows the *different* text, not
+all positions of a repetitive corpus.
 
 Defined results: a null text is empty; texts under ``length`` bytes are kept
 whole; a null id is ordered last; repeated rows (same id and text) are one
