@@ -1,14 +1,14 @@
-"""Repeated word passages by relative Lempel-Ziv parsing.
+"""Repeated word passages by lookup in a reference index, in place of relative Lempel-Ziv factors.
 
-Every document is parsed against all documents with a smaller id as reference.
+Every document is compared with all documents with a smaller id as reference.
 The reference index is spread over hash blocks: a block holds, for its share of
-the triggers (see ``spans``), the first document with each phrase. Looking a
-document's phrases up in their blocks and going on as long as they are found
-gives its greedy factors: stretches of at least ``length`` words copied from a
-reference. At a factor's boundary the phrase is not found whole, although
-windows in it may be; there each window of ``length`` words is looked up by itself,
-so a copy that straddles two factors, or ends inside a phrase, is still found
-to the word. A passage that a document only repeats from itself is kept.
+the triggers (see ``spans``), the first document with each phrase. A document's
+phrases are looked up in their blocks by hash; where a phrase is not found whole,
+each window of ``length`` words in it is looked up by itself, so a copy that ends
+inside a phrase is still found to the word. No greedy factors are computed: parsing
+every document against every block in turn is quadratic in the corpus, and the words
+that factors of at least ``length`` words cover are those of the windows found (up to
+collisions of the 64-bit hash). A passage that a document only repeats from itself is kept.
 
 Defined results: a null text has no words; texts under ``length`` words are
 kept whole; a null id is ordered last; repeated rows (same id and text) are one
