@@ -11,8 +11,8 @@ Three kinds of evidence about a document's language are multiplied:
   towards the address suffix, and that one towards the corpus, each with a pseudo
   count; all counted by grouped aggregation of the text-only decisions.
 
-Languages are two-letter codes that at least ``LEAST_DOCUMENTS`` documents declare, so
-the model has at most 676 rows of ``BUCKETS`` values; it is the only thing that is
+Languages are all two-letter codes that documents declare, rare ones too (smoothing keeps
+a code of few trigrams from drawing other documents), so the model has at most 676 rows of ``BUCKETS`` values; it is the only thing that is
 broadcast. Host tables grow with the corpus and are joined.
 
 Defined results: a text without letters (null and empty ones too) has no
@@ -34,7 +34,6 @@ from stockyard.llm.arrays import text_bytes
 from stockyard.llm.common import NO_ID, slices, stored
 
 BUCKETS = 1 << 13
-LEAST_DOCUMENTS = 10
 LEAST_TRIGRAMS = 20          # trigrams of a text whose own decision counts for priors
 TEMPER = 1 / 3               # weight of a trigram's log likelihood
 PSEUDO = 10.0                # documents' worth of the wider level in each prior
@@ -103,7 +102,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities): at most 676 languages of BUCKETS values."""
     rows = stored(trigram_counts(docs), "trigrams")
-    langs = sorted(r["lang"] for r in rows.filter(f"bucket = -1 and n >= {LEAST_DOCUMENTS}").collect())
+    langs = sorted(r["lang"] for r in rows.filter("bucket = -1").collect())
     counts = np.zeros((len(langs), BUCKETS))
     place = {lang: i for i, lang in enumerate(langs)}
     for r in rows.filter("bucket >= 0").filter(F.col("lang").isin(langs)).collect():

@@ -92,3 +92,15 @@ def test_quality_defined_results(spark, docs_of):
     none = quality.digest(docs_of(rows), labels.filter("false")).collect()
     assert {r.score for r in none} == {0.5}
     assert quality.digest(docs_of([]), labels).collect() == []
+
+
+def test_a_language_of_few_documents_keeps_its_label(spark):
+    rng = np.random.default_rng(11)
+    words = {"en": "the house stands near water and many people walk there when evening comes over hills".split(),
+             "fi": "talo seisoo lähellä vettä ja monet ihmiset kävelevät siellä kun ilta saapuu yli kukkuloiden".split()}
+    langs = ["en"] * 60 + ["fi"] * 4
+    rows = [(i, " ".join(rng.choice(words[lang], 60)), lang, "web") for i, lang in enumerate(langs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for some in (docs, docs.filter("doc_id >= 55")):        # under ten of each language, too
+        got = {r.doc_id: r.language for r in language.identified(some).collect()}
+        assert got and all(got[i] == langs[i] for i in got)
