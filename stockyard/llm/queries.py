@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stockyard.llm import (
     decontaminate,
+    fill_middle,
     kd_search,
     language,
     near_dup,
@@ -15,8 +16,10 @@ from stockyard.llm import (
     quality,
     secret_scan,
     shards,
+    spelling,
     substring_dedup,
     suffix_dedup,
+    token_files,
 )
 from stockyard.llm.common import documents
 
@@ -69,11 +72,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(documents(spark, sf_dir))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(documents(spark, sf_dir))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op1_language_id_pages, op2_decontamination, op3_secret_scan, op4_sharding,
     op5_suffix_array_dedup, op6_substring_dedup, op7_minhash_near_dedup, op8_exact_top_k, op9_packing,
-    op10_quality_classifier)}
+    op10_quality_classifier, op11_spelling_variants, op12_token_files, op13_fill_in_middle)}
 ORACLE: dict[str, str] = {
     "op2_decontamination": decontaminate.ORACLE, "op3_secret_scan": secret_scan.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE, "op7_minhash_near_dedup": near_dup.ORACLE,
-    "op8_exact_top_k": kd_search.ORACLE}
+    "op8_exact_top_k": kd_search.ORACLE, "op11_spelling_variants": spelling.ORACLE,
+    "op13_fill_in_middle": fill_middle.ORACLE}
