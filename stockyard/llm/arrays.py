@@ -26,6 +26,9 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+# the mixed numbers of the first places, as a table
+PLACED = mix(np.arange(64 * 256, dtype=np.uint64), 5).reshape(64, 256)
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -127,11 +130,20 @@ class Words:
         self.data, self.mapped = data, mapped
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word's mapped bytes."""
+        """64-bit hash of each word's mapped bytes: the sum of a mixed number for each (place,
+        byte). A polynomial would not do: modulo 2**64 it gives certain long words the same
+        value whatever its base."""
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
-        rolled = RollingHash(self.mapped)
-        return mix(rolled.at(self.start, self.stop) + (self.stop - self.start).astype(np.uint64))
+        size = self.stop - self.start
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        sign = self.mapped[np.repeat(self.start, size) + place]
+        if size.max() <= len(PLACED):
+            value = PLACED[place, sign]
+        else:
+            value = mix((place.astype(np.uint64) << np.uint64(8)) | sign, 5)
+        return mix(np.add.reduceat(value, ends - size) + size.astype(np.uint64))
 
     def rows(self) -> np.ndarray:
         """Row of each word."""

@@ -12,3 +12,9 @@ def docs_of(spark):
         return spark.createDataFrame(
             [(i, t, "en", f"src{(i or 0) % 3}", len(t or "")) for i, t in rows], schema)
     return make
+
+
+def certain_collision(n=1024, signs="ab"):
+    """Two different words that every polynomial hash modulo 2**64 gives the same value."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(signs[b] for b in bits), "".join(signs[1 - b] for b in bits)

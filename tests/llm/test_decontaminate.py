@@ -91,3 +91,19 @@ def test_repeated_items_take_no_room_in_blocks(spark, monkeypatch):
     rows = [("hot", "a" * 40)] * 50 + [(f"i{n}", f"{n}" * 40) for n in range(4)]
     blocks = list(decontaminate.item_blocks(spark.createDataFrame(rows, "item_id string, text string")))
     assert len(blocks) == 2 and sorted(x for b in blocks for x in b) == sorted(set(rows))
+
+
+def test_long_words_are_told_apart(spark, docs_of):
+    from stockyard.llm.arrays import SPACE_TABLE, Words, text_bytes
+    from tests.llm.conftest import certain_collision
+    import pyarrow as pa
+    for n in (64, 65, 1024, 4096):
+        one, two = certain_collision(n)
+        a, b, c = Words(*text_bytes(pa.array([one, two, f" {one}"])), SPACE_TABLE, zero_is_word=True).hashes()
+        assert a == c != b
+    one, two = certain_collision()
+    rows = [(1, f"a {one} b"), (2, f"a {two} b"), (3, f"x a {one} b y")]
+    items = [(1, f"a {one} b")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted([tuple(r) for r in dc.digest(docs_of(rows), benchmark).collect()], key=str)
+    assert got == brute(rows, items) and [r[2] for r in got] == [3, 0, 3]

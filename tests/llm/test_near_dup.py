@@ -101,3 +101,11 @@ def test_connected_components(spark):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     assert got == {n: find(n) for n in root if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_long_words_are_told_apart(docs_of):
+    from tests.llm.conftest import certain_collision
+    one, two = certain_collision()
+    text = "a b c d {} e f g h".format
+    rows = [(1, text(one)), (2, text(two)), (3, text(one))]
+    assert sorted(tuple(r) for r in nd.digest(docs_of(rows)).collect()) == brute(rows, 3, 85)
