@@ -11,6 +11,10 @@ other shards, where it prunes from the start. Queries come in blocks, so a task
 holds one shard and one block. A group of equal vectors is spread over shards
 by id, and a tree splits it by position.
 
+Scores are exact integers: doubles serve where every sum is below 2**53, then 64-bit integers,
+and unbounded integers where a sum could pass those. A score beyond the range of a long counts as the
+nearest end of that range (so does a component, in the quantisation), and such scores tie.
+
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part, neither as queries nor as candidates, and neither do
 null ids; vectors of different lengths are scored only against their own
@@ -34,41 +38,56 @@ SHARD_ROWS = 16_384
 QUERY_ROWS = 4_096
 LEAF = 256
 RESULT = "shard int, query_id long, vec_id long, score long"
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def sums_type(a: np.ndarray, b: np.ndarray) -> type:
+    """What holds every inner product of rows of ``a`` and ``b`` exactly."""
+    top = max(1, a.shape[1]) * max(1, abs(int(a.min())), abs(int(a.max()))) * max(1, abs(int(b.min())), abs(int(b.max())))
+    return np.float64 if top < 1 << 53 else np.int64 if top < 1 << 63 else object
 
 
 class KdTree:
     """Median splits over integer vectors; nodes are kept in arrays."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, sums: type = np.float64):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.sums = ids[order], sums
+        vectors = vectors[order]
         self.low, self.high, self.least, self.child, self.rows = [], [], [], [], []
-        self._node(np.arange(len(ids)))
-        self.low, self.high = np.array(self.low), np.array(self.high)
+        self.visited = 0
+        self._node(np.arange(len(ids)), vectors)
+        self.low, self.high = np.array(self.low, dtype=np.float64), np.array(self.high, dtype=np.float64)
+        self.vectors = vectors.astype(sums)
 
-    def _node(self, rows: np.ndarray) -> int:
-        own = self.vectors[rows]
+    def _node(self, rows: np.ndarray, vectors: np.ndarray) -> int:
+        own = vectors[rows]
         low, high = own.min(axis=0), own.max(axis=0)
         n = len(self.low)
         self.low.append(low), self.high.append(high), self.least.append(int(self.ids[rows].min()))
         self.child.append(None), self.rows.append(rows)
         if len(rows) > LEAF:
-            axis = int(np.argmax(high - low))
+            axis = int(np.argmax(high.astype(np.float64) - low))
             by = rows[np.argsort(own[:, axis], kind="stable")]
             half = len(by) // 2
             self.rows[n] = None
-            self.child[n] = self._node(np.sort(by[:half])), self._node(np.sort(by[half:]))
+            self.child[n] = self._node(np.sort(by[:half]), vectors), self._node(np.sort(by[half:]), vectors)
         return n
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Largest inner product of each query with any point of each node's box."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        queries = queries.astype(np.float64)
+        bound = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        if self.sums is not np.float64:        # rounded products: raised above any exact sum
+            bound += (np.abs(queries) @ np.maximum(np.abs(self.high), np.abs(self.low)).T) * 2.0 ** -40 + 1
+        return np.maximum(bound, LEAST)
 
     def best(self, query: np.ndarray, bounds: np.ndarray, own: int, k: int,
-             limit: tuple[float, float] | None) -> list[tuple[int, int]]:
+             limit: tuple[int, int] | None) -> list[tuple[int, int]]:
         """The k best (score, id), best first; ``limit`` is a (score, id) that the
-        k-th result is known to reach elsewhere."""
-        found: list[tuple[float, float]] = []          # heap of (score, -id): the worst on top
+        k-th result is known to reach elsewhere. ``visited`` counts the rows scored."""
+        query = query.astype(self.sums)
+        found: list[tuple[int, int]] = []              # heap of (score, -id): the worst on top
         floor = (limit[0], -limit[1]) if limit else (-np.inf, -np.inf)
         heap = [(-bounds[0], self.least[0], 0)]
         while heap:
@@ -83,19 +102,27 @@ class KdTree:
                     heapq.heappush(heap, (-bounds[c], self.least[c], c))
                 continue
             rows = self.rows[n]
+            self.visited += len(rows)
             score = self.vectors[rows] @ query
+            if self.sums is object:
+                score = np.array([min(max(s, LEAST), MOST) for s in score], dtype=np.int64)
             near = np.flatnonzero(score >= worst[0])
             if len(near) > k:                          # ties beyond the k best go by id
-                near = near[np.lexsort((self.ids[rows[near]], -score[near]))[:k + 1]]
+                near = near[by_score(score[near].astype(np.int64), self.ids[rows[near]])[:k + 1]]
             for j in near:
-                entry = (float(score[j]), -float(self.ids[rows[j]]))
+                entry = (int(score[j]), -int(self.ids[rows[j]]))
                 if -entry[1] == own:
                     continue
                 if len(found) < k:
                     heapq.heappush(found, entry)
                 elif entry > found[0]:
                     heapq.heapreplace(found, entry)
-        return [(int(s), int(-i)) for s, i in sorted(found, reverse=True)]
+        return [(s, -i) for s, i in sorted(found, reverse=True)]
+
+
+def by_score(score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places by falling score, then by id (no negation: the least long has none)."""
+    return np.lexsort((ids, ~score))
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -124,15 +151,14 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         out: list[tuple[int, int, int, int]] = []
         if left.num_rows and right.num_rows:
             sizes = left["dims"].to_numpy()
-            # products of integers below 2**53 are exact in doubles
             for d in np.unique(right["qdims"].to_numpy()):
                 rows = np.flatnonzero(sizes == d)
                 if not len(rows):
                     continue
                 own = left.take(pa.array(rows))
-                tree = KdTree(own["vec_id"].to_numpy(), components(own["v"], d))
                 mine = right.filter(pa.array(right["qdims"].to_numpy() == d))
-                points = components(mine["qv"], d)
+                points, vectors = components(mine["qv"], d), components(own["v"], d)
+                tree = KdTree(own["vec_id"].to_numpy(), vectors, sums_type(vectors, points))
                 limits = zip(mine["limit_score"].to_pylist(), mine["limit_id"].to_pylist(), strict=True)
                 bounds = tree.bounds(points)
                 for j, (q, limit) in enumerate(zip(mine["query_id"].to_pylist(), limits, strict=True)):
@@ -161,7 +187,7 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def components(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     flat = column.combine_chunks()
     flat = flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
-    return flat.to_numpy().astype(np.float64).reshape(-1, int(dims))
+    return flat.to_numpy().reshape(-1, int(dims))
 
 
 def digest(embeddings: DataFrame, k: int = 20) -> DataFrame:

@@ -86,12 +86,42 @@ def test_search(spark, monkeypatch, leaf, shard_rows):
     assert kd_search.digest(frame.filter("vec_id < 0")).collect() == []
 
 
+def clamped(rows, k):
+    """As ``brute``, with components and scores held to the range of a long."""
+    low, high = -2**63, 2**63 - 1
+    hold = lambda x: min(max(x, low), high)
+    v = {i: [hold(math.floor(64 * x)) for x in vec] for i, vec in rows}
+    out = []
+    for q in v:
+        if q % 20 == 0:
+            scores = sorted((-hold(sum(a * b for a, b in zip(v[q], w))), i) for i, w in v.items() if i != q)
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("top", [2.0**20, 2.0**22, 2.0**30, 1e18, 1e300])
+def test_large_components_are_exact(spark, monkeypatch, top):
+    rng = random.Random(int(math.log2(top)))
+    rows = [(i, [rng.uniform(-top, top) for _ in range(8)]) for i in range(60)]
+    rows += [(100, [top] * 8), (101, [top] * 8), (120, [-top] * 8), (2**62 + 4, [top] * 8), (2**62 + 5, [top] * 8)]
+    monkeypatch.setattr(kd_search, "SHARD_ROWS", 40)
+    monkeypatch.setattr(kd_search, "LEAF", 8)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in kd_search.digest(frame).collect())
+    assert got == clamped(rows, 20)
+
+
 def test_tree_prunes():
     import numpy as np
     rng = np.random.default_rng(1)
-    points = np.floor(rng.normal(size=(2000, 2)) * 64)
-    tree = kd_search.KdTree(np.arange(2000), points)
+    points = np.floor(rng.normal(size=(20_000, 2)) * 64)
+    tree = kd_search.KdTree(np.arange(20_000), points)
     for n, rows in enumerate(tree.rows):
         if rows is not None:
             assert (points[tree.ids[rows]] >= tree.low[n]).all() and (points[tree.ids[rows]] <= tree.high[n]).all()
-    assert sorted(np.concatenate([r for r in tree.rows if r is not None])) == list(range(2000))
+    assert sorted(np.concatenate([r for r in tree.rows if r is not None])) == list(range(20_000))
+    queries = points[::500]
+    for q, bounds in zip(queries, tree.bounds(queries)):
+        want = sorted(zip((-(points @ q)).astype(int).tolist(), range(20_000)))[:20]
+        assert tree.best(q, bounds, -1, 20, None) == [(-s, i) for s, i in want]
+    assert tree.visited < 0.1 * len(queries) * len(points)
