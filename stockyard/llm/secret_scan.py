@@ -3,8 +3,9 @@
 Base candidates are the leftmost, non-overlapping matches of three fixed
 patterns. Each candidate value is hashed, and two grouped counts over the whole
 corpus tell in how many distinct repositories and under how many distinct owners it
-stands: a value that many owners have is a widely copied example, a value of
-one owner that looks random is a live-looking credential of that owner. What the
+stands. A value that many owners have is a widely copied example. A value of one owner that stands
+in most of that owner's repositories is the owner's own boilerplate; one that does not, and looks random, is a
+live-looking credential of that owner. What the
 frequency adds are further spans: where a live-looking value stands bare, without
 a keyword before it and outside the base spans, that place is marked as well.
 
@@ -39,7 +40,8 @@ KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "bare": BARE}
 LEAST_VALUE = 6
 
 MANY_OWNERS = 3          # owners from which a value is a copied example
-MANY_REPOSITORIES = 100  # repositories from which no value is masked as its one owner's own
+COMMON_SHARE = 0.5       # share of its one owner's repositories above which a value is boilerplate
+COMMON_LEAST = 3         # repositories that it takes at least
 LIVE_LENGTH = 12         # characters of a live-looking value
 LIVE_DISTINCT = 8        # different characters of it
 MASK = "[REDACTED]"
@@ -75,19 +77,24 @@ def located(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     candidates = placed.filter("match is not null").select(
         "row", "owner", "repository", "order", "kind", "start", (F.col("start") + size).alias("stop"),
         value.alias("value")).filter((F.col("kind") != "assign") | (F.length("value") >= LEAST_VALUE))
-    return table.select("row", "doc", "text_hash", "doc_id"), stored(candidates, "candidates")
+    return table.select("row", "doc", "text_hash", "doc_id", "owner", "repository"), stored(candidates, "candidates")
 
 
-def ownership(candidates: DataFrame) -> DataFrame:
-    """(hash, n_repositories, n_owners, status) of every base candidate value."""
+def ownership(candidates: DataFrame, rows: DataFrame) -> DataFrame:
+    """(hash, n_repositories, n_owners, status) of every base candidate value; ``rows`` tell how many
+    repositories an owner has."""
     value = candidates.filter("kind <> 'bare'").select(
         F.sha2("value", 256).alias("hash"), "owner", "repository", _looks_live(F.col("value")).alias("random"))
     each = value.groupBy("hash", "owner", "repository").agg(F.max("random").alias("random"))
     by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.max("random").alias("random"))
     total = by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"),
-                                         F.max("random").alias("random"))
-    status = (F.when(F.col("n_owners") >= MANY_OWNERS, "copied")
-              .when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("unclear"))
+                                         F.max("random").alias("random"), F.min("owner").alias("owner"))
+    owners = rows.select("owner", "repository").distinct().groupBy("owner").agg(F.count("*").alias("owned"))
+    total = total.join(owners, total["owner"].eqNullSafe(owners["owner"]), "left").drop("owner")
+    one = F.col("n_owners") == 1
+    common = one & (F.col("n_repositories") >= COMMON_LEAST) & (F.col("n_repositories") > COMMON_SHARE * F.col("owned"))
+    status = (F.when(F.col("n_owners") >= MANY_OWNERS, "copied").when(common, "common")
+              .when(one & F.col("random"), "live").otherwise("unclear"))
     return total.select("hash", "n_repositories", "n_owners", status.alias("status"))
 
 
@@ -101,7 +108,7 @@ def scanned(docs: DataFrame, owner: str = "source", repository: str = "doc_id")
     (start, order, kind, stop, hash, status, n_repositories, n_owners) in order."""
     rows, candidates = located(docs.select("doc_id", "text", F.col(owner).alias("owner"),
                                            F.col(repository).alias("repository")))
-    status = stored(ownership(candidates), "ownership")
+    status = stored(ownership(candidates, rows), "ownership")
     judged = candidates.withColumn("hash", F.sha2("value", 256)).drop("value", "owner", "repository")
     base = judged.filter("kind <> 'bare'").join(status, "hash")
     bare = judged.filter("kind = 'bare'").join(status.filter("status = 'live'"), "hash")
@@ -113,18 +120,17 @@ def scanned(docs: DataFrame, owner: str = "source", repository: str = "doc_id")
     spans = base.select("row", span.alias("span")).unionByName(covered.select("row", span.alias("span")))
     listed = spans.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans"))
     none = F.expr("array()").cast(listed.schema["spans"].dataType)
-    return rows.join(listed, "row", "left").withColumn("spans", F.coalesce("spans", none))
+    return rows.drop("owner", "repository").join(listed, "row", "left").withColumn("spans", F.coalesce("spans", none))
 
 
 def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """``docs`` with every credential that is no widely copied example replaced by MASK: one
-    that stands under many owners, or looks live but in many repositories of one owner."""
+    """``docs`` with every credential replaced by MASK, but for widely copied examples: those that
+    stand under many owners. How often one owner repeats a value does not save it."""
     columns = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hidden = scanned(docs, owner, repository).select(
         F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"),
-        F.filter("spans", lambda s: (s["status"] != "copied") & ~(
-            (s["status"] == "live") & (s["n_repositories"] >= MANY_REPOSITORIES))).alias("__spans")).filter(F.size("__spans") > 0)
+        F.filter("spans", lambda s: s["status"] != "copied").alias("__spans")).filter(F.size("__spans") > 0)
     hidden = stored(hidden.dropDuplicates(["__doc", "__hash"]), "hidden")
     named = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
                               "__hash": F.xxhash64(text)})
@@ -179,12 +185,15 @@ span AS (SELECT *, CAST(sum(len(p) + len(m)) OVER (PARTITION BY r, k ORDER BY n)
 candidate AS (SELECT *, a + len(m) AS b FROM span WHERE len(v) >= least
               AND (k < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')))),
 owned AS (
-  SELECT v, count(DISTINCT coalesce(source, '<none>')) AS owners,
+  SELECT v, count(DISTINCT coalesce(source, '<none>')) AS owners, count(DISTINCT (source, doc_id)) AS repositories,
+         min(coalesce(source, '<none>')) AS owner,
          bool_or(len(v) >= 12 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
                  AND len(list_distinct(string_split(v, ''))) >= 8) AS random
   FROM candidate WHERE k < 3 GROUP BY v),
-judged AS (SELECT c.*, CASE WHEN owners >= 3 THEN 'copied' WHEN owners = 1 AND random THEN 'live' ELSE 'unclear' END AS status
-           FROM candidate c JOIN owned USING (v)),
+held AS (SELECT coalesce(source, '<none>') AS owner, count(DISTINCT (source, doc_id)) AS all_of_it FROM d GROUP BY 1),
+judged AS (SELECT c.*, CASE WHEN owners >= 3 THEN 'copied' WHEN owners = 1 AND repositories >= 3 AND 2 * repositories > all_of_it THEN 'common'
+                            WHEN owners = 1 AND random THEN 'live' ELSE 'unclear' END AS status
+           FROM candidate c JOIN owned USING (v) JOIN held USING (owner)),
 chosen AS (
   SELECT * FROM judged WHERE k < 3
   UNION ALL SELECT * FROM judged x WHERE k = 3 AND status = 'live' AND NOT EXISTS (

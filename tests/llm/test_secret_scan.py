@@ -65,10 +65,16 @@ def test_masking(docs_of):
     assert ss.redacted(docs_of([])).collect() == [] and ss.digest(docs_of([])).collect() == []
 
 
-def test_example_copied_within_one_source_is_not_masked(docs_of):
-    example, own = "Zx81Qw92Er73Ty64", "Pq55Lm31Vb72Nc48"
-    rows = [(3 * i, f"token={example} {i}") for i in range(ss.MANY_REPOSITORIES)]     # one source, many documents
-    rows += [(3 * i + 3000, f"token={own} {i}") for i in range(ss.MANY_REPOSITORIES - 1)] + [(6000, f"so {example} here")]
+def test_masking_does_not_turn_off_at_a_count(docs_of):
+    """A live value of one owner is masked however often the owner repeats it; boilerplate too."""
+    own, common, shared = "Pq55Lm31Vb72Nc48", "Zx81Qw92Er73Ty64", "Example0Key1Value2"
+    rows = [(3 * i, f"token={own} {i}") for i in range(150)] + [(3 * i + 3000, f"plain {i}") for i in range(160)]
+    rows += [(6000, f"so {own} here")] + [(3 * i + 1, f"token={common} {i}") for i in range(9)] + [(9001, "clean")]
+    rows += [(3 * i + 20_002, "more") for i in range(4)] + [(i, f"secret={shared}") for i in (30_000, 30_001, 30_002)]
+    scan = {r.doc_id: [s.status for s in r.spans] for r in ss.scanned(docs_of(rows)).collect()}
+    assert scan[0] == scan[6000] == ["live"] and scan[1] == ["common"] and scan[30_000] == ["copied"]
     got = {r.doc_id: r.text for r in ss.redacted(docs_of(rows)).collect()}
     for i, text in rows:
-        assert got[i] == text.replace(f"token={own}", ss.MASK)
+        for secret in (f"token={own}", own, f"token={common}"):
+            text = text.replace(secret, ss.MASK)
+        assert got[i] == text
