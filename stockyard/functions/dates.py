@@ -16,6 +16,9 @@ def time_key(d: Column | str) -> Column:
     return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int")
 
 
+DATE_PARTS = ("TimeKey", "Date", "Year", "Quarter", "Month", "Week", "Day")
+
+
 def date_parts(d: Column | str) -> list[Column]:
     """TimeKey, Date, Year, Quarter, Month, ISO Week, Day - the time dimension columns."""
     d = _c(d)

@@ -33,15 +33,19 @@ def dedupe_batch(batch: DataFrame, keys: list[str], order_by: list[str] | None =
 def rows_to_insert(target: DataFrame, batch: DataFrame, keys: list[str],
                    order_by: list[str] | None = None) -> DataFrame:
     """K2: batch rows whose key is not in the target (insert ... on conflict do nothing)."""
-    b = dedupe_batch(batch, keys, order_by)
-    return b.join(within_batch(target, batch, keys[0]).select(*keys), keys, "left_anti")
+    return new_rows(within_batch(target, batch, keys[0]), batch, keys, order_by)
+
+
+def new_rows(target: DataFrame, batch: DataFrame, keys: list[str],
+             order_by: list[str] | None = None) -> DataFrame:
+    """K2 against target rows that are cut to the batch's range already."""
+    return dedupe_batch(batch, keys, order_by).join(target.select(*keys), keys, "left_anti")
 
 
 def within_batch(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Target rows whose ``key`` lies in the batch's range of it."""
-    low = batch.select(F.min(key)).scalar()
-    high = batch.select(F.max(key)).scalar()
-    return target.where((F.col(key) >= low) & (F.col(key) <= high))
+    span = batch.agg(F.struct(F.min(key).alias("low"), F.max(key).alias("high"))).scalar()
+    return target.where((F.col(key) >= span["low"]) & (F.col(key) <= span["high"]))
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str],
@@ -59,13 +63,15 @@ def new_by_first_key(target: DataFrame, batch: DataFrame, keys: list[str]) -> Da
     return batch.join(target.select(keys[0]).distinct(), keys[0], "left_anti")
 
 
-def key_conflicts(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """K3 report: batch keys that repeat in the batch or already exist in the target.
+def key_conflicts(target: DataFrame, batch: DataFrame, keys: list[str], cut: bool = False) -> DataFrame:
+    """K3 report: batch keys that repeat in the batch or already exist in the target (``cut``: which is
+    cut to the batch's range already).
 
     Output: keys..., BatchRows (copies in the batch), InTarget (bool).
     """
     per_key = batch.groupBy(*keys).agg(F.count("*").alias("BatchRows"))
-    existing = within_batch(target, batch, keys[0]).select(*keys).distinct().withColumn("InTarget", F.lit(True))
+    target = target if cut else within_batch(target, batch, keys[0])
+    existing = target.select(*keys).distinct().withColumn("InTarget", F.lit(True))
     j = per_key.join(existing, keys, "left").withColumn(
         "InTarget", F.coalesce(F.col("InTarget"), F.lit(False)))
     return j.where((F.col("BatchRows") > 1) | F.col("InTarget"))
@@ -77,9 +83,9 @@ def strict_append(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataF
     return target.unionByName(batch)
 
 
-def require_new_keys(target: DataFrame, batch: DataFrame, keys: list[str]) -> None:
+def require_new_keys(target: DataFrame, batch: DataFrame, keys: list[str], cut: bool = False) -> None:
     """Raise DuplicateKeyError if a batch key repeats or is in the target."""
-    sample = [r.asDict() for r in key_conflicts(target, batch, keys).take(5)]
+    sample = [r.asDict() for r in key_conflicts(target, batch, keys, cut).take(5)]
     if sample:
         raise DuplicateKeyError(f"duplicate primary key in {keys}: {sample}")
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockyard.functions.rounding import rnd
+from stockyard.operators.selection import exact_quantiles
 from stockyard.schemas import DECIMAL_LIMITS, PRIMARY_KEYS
-from stockyard.session import literal_rows
 
 
 class EmptyInputError(RuntimeError):
@@ -28,18 +28,27 @@ class InvalidRowsError(ValueError):
     """A batch holds NULL keys or values beyond the declared limits."""
 
 
-def require_valid(df: DataFrame, table: str) -> None:
-    """Q5 + Q6 as a gate, in one pass: raise if ``df`` has NULL keys of ``table``, or
-    values that do not fit its declared decimals."""
+def validity(table: str) -> dict[str, Column]:
+    """Q5 + Q6 as aggregates: counts of NULL keys of ``table``, and of values that do not fit its
+    declared decimals."""
     checks = {f"{c} is NULL": F.col(c).isNull() for c in PRIMARY_KEYS[table]}
     for c, (p, s) in DECIMAL_LIMITS.get(table, {}).items():
         checks[f"{c} beyond decimal({p},{s})"] = F.col(c).isNotNull() & F.col(c).try_cast(T.DecimalType(p, s)).isNull()
-    found = df.agg(*[F.count_if(c).alias(n) for n, c in checks.items()]).first().asDict()
-    bad = {n: v for n, v in found.items() if v}
+    return {n: F.count_if(c) for n, c in checks.items()}
+
+
+def require_none(table: str, found: dict) -> None:
+    """The gate on counted ``validity``: raise if any is not zero."""
+    bad = {n: found[n] for n in validity(table) if found[n]}
     if bad:
         raise InvalidRowsError(f"{table}: {bad}")
 
 
+def require_valid(df: DataFrame, table: str) -> None:
+    """Q5 + Q6 as a gate, in one pass."""
+    require_none(table, df.agg(*[c.alias(n) for n, c in validity(table).items()]).first().asDict())
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -123,90 +132,35 @@ def load_metrics(df: DataFrame, name: str, symbol_col: str, time_col: str) -> Da
 
 
 # ---------------------------------------------------------------------------
-# A17 profile with exact quantiles, computed without one task seeing a column
+# A17 profile with exact quantiles
 # ---------------------------------------------------------------------------
 PROFILE_QUANTILES = (0.25, 0.5, 0.75)
-QUANTILE_BUCKETS = 64
-
-
-def exact_quantiles(long: DataFrame, probs: tuple[float, ...] = PROFILE_QUANTILES,
-                    buckets: int = QUANTILE_BUCKETS) -> DataFrame:
-    """Exact linear-interpolation quantiles of ``v`` per ``Column``.
-
-    ``long`` has columns (Column, v). Steps, all distributed:
-    1. distinct values with their counts (a value repeated by a third of the
-       rows becomes one row);
-    2. approximate bucket boundaries of the distinct values, and the rows in each bucket;
-       only the few buckets that hold a target rank floor/ceil((n-1)q) go on;
-    3. a running count inside those gives each of their values its exact rank range
-       [start, end), and the target ranks pick their values by a range condition
-       against a tiny broadcast table.
-    Output: Column, q, value.
-    """
-    vals = long.where(F.col("v").isNotNull())
-    counts = vals.groupBy("Column", "v").agg(F.count("*").alias("c"))
-    # Bucket bounds only balance the ranking windows, which run over distinct
-    # values: take them from the distinct values, coarsely (exactness of the
-    # result does not depend on them). n is the non-NULL row count.
-    fracs = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy("Column").agg(
-        F.percentile_approx("v", fracs, 1000).alias("bounds"), F.sum("c").alias("n"))
-    b = (counts.join(F.broadcast(bounds), "Column")
-               .withColumn("bucket", F.size(F.filter("bounds", lambda x: x < F.col("v"))))
-               .drop("bounds"))
-    per_bucket = b.groupBy("Column", "bucket").agg(F.sum("c").alias("bc"))
-    # one row for each (column, bucket)
-    offsets = per_bucket.select(
-        "Column", "bucket", "bc",
-        (F.sum("bc").over(Window.partitionBy("Column").orderBy("bucket")) - F.col("bc")).alias("off"))
-    # every target rank (floor and ceil of (n-1)q) as its own row
-    targets = (bounds.select(F.col("Column").alias("tc"),
-                             F.explode(F.array(*[F.lit(p) for p in probs])).alias("q"), "n")
-                     .withColumn("h", (F.col("n") - 1) * F.col("q"))
-                     .select("tc", "q", "h", F.explode(F.array(
-                         F.struct(F.lit(0).alias("hi"), F.floor("h").alias("k")),
-                         F.struct(F.lit(1).alias("hi"), F.ceil("h").alias("k")))).alias("t"))
-                     .select("tc", "q", "h", "t.hi", "t.k"))
-    # only buckets that hold a target rank are ranked
-    wanted = offsets.join(F.broadcast(targets), (F.col("Column") == F.col("tc")) & (F.col("off") <= F.col("k"))
-                          & (F.col("k") < F.col("off") + F.col("bc"))).select("Column", "bucket", "off").distinct()
-    wv = Window.partitionBy("Column", "bucket").orderBy("v")
-    ranked = (b.join(F.broadcast(wanted), ["Column", "bucket"])
-               .withColumn("end", F.col("off") + F.sum("c").over(wv))
-               .withColumn("start", F.col("end") - F.col("c")))
-    hit = ranked.join(F.broadcast(targets),
-                      (F.col("Column") == F.col("tc")) & (F.col("start") <= F.col("k"))
-                      & (F.col("k") < F.col("end")))
-    j = hit.groupBy("Column", "q", "h").agg(
-        F.max(F.when(F.col("hi") == 0, F.col("v"))).alias("v_lo"),
-        F.max(F.when(F.col("hi") == 1, F.col("v"))).alias("v_hi"))
-    return j.select("Column", "q",
-                    (F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo")))
-                    .alias("value"))
 
 
 def profile(df: DataFrame, cols: list[str] | None = None, digits: int = 4) -> DataFrame:
     """Per numeric column: type, non-NULL count, NULL count, mean, sample std,
-    min, 25/50/75 % (exact, linear interpolation) and max."""
+    min, 25/50/75 % (exact, linear interpolation) and max.
+
+    One pass for the plain statistics, then a few that shuffle histograms only (``selection``)."""
     numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                T.DecimalType)
     fields = {f.name: f.dataType for f in df.schema.fields}
     cols = cols or [n for n, t in fields.items() if isinstance(t, numeric)]
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "Column", "v")
-    stats = long.groupBy("Column").agg(
-        F.count("v").alias("NonNull"), F.count_if(F.col("v").isNull()).alias("Nulls"),
-        rnd(F.avg("v"), digits).alias("Mean"), rnd(F.stddev_samp("v"), digits).alias("Std"),
-        F.min("v").alias("Min"), F.max("v").alias("Max"))
-    qs = exact_quantiles(long)
-    wide = qs.groupBy("Column").agg(*[
-        rnd(F.max(F.when(F.col("q") == p, F.col("value"))), digits).alias(f"P{int(p * 100)}")
-        for p in PROFILE_QUANTILES])
-    types = literal_rows(df.sparkSession, [(c, fields[c].simpleString()) for c in cols],
-                         ["Column", "DType"])
-    return (stats.join(wide, "Column", "left").join(F.broadcast(types), "Column")
-                 .select("Column", "DType", "NonNull", "Nulls", "Mean", "Std", "Min",
-                         *[f"P{int(p * 100)}" for p in PROFILE_QUANTILES], "Max"))
+    name = {f"v{i}": c for i, c in enumerate(cols)}
+    # -0.0 and 0.0 are one value
+    doubles = df.select(*[(F.col(f"`{c}`").cast("double") + F.lit(0.0)).alias(v) for v, c in name.items()])
+    stats = {"Rows": lambda v: F.count("*"), "NonNull": F.count, "Mean": F.avg, "Std": F.stddev_samp, "Min": F.min, "Max": F.max}
+    row = doubles.agg(*[f(v).alias(f"{v}_{k}") for v in name for k, f in stats.items()]).first()
+    quantile = exact_quantiles(doubles, {v: row[f"{v}_NonNull"] for v in name}, PROFILE_QUANTILES)
+    double = lambda x: F.lit(x).cast("double")
+    out = [F.struct(
+        F.lit(c).alias("Column"), F.lit(fields[c].simpleString()).alias("DType"),
+        F.lit(row[f"{v}_NonNull"]).cast("long").alias("NonNull"),
+        F.lit(row[f"{v}_Rows"] - row[f"{v}_NonNull"]).cast("long").alias("Nulls"),
+        *[rnd(double(row[f"{v}_{k}"]), digits).alias(k) for k in ("Mean", "Std")], double(row[f"{v}_Min"]).alias("Min"),
+        *[rnd(double(quantile[v, q]), digits).alias(f"P{int(q * 100)}") for q in PROFILE_QUANTILES],
+        double(row[f"{v}_Max"]).alias("Max")) for v, c in name.items()]
+    return df.sparkSession.range(1).select(F.inline(F.array(*out)))
 
 
 def column_info(df: DataFrame) -> DataFrame:
@@ -215,6 +169,8 @@ def column_info(df: DataFrame) -> DataFrame:
     aggs = [F.count("*").alias("rows")]
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = c + F.lit(0.0)                          # -0.0 and 0.0 are one value
         aggs += [F.count(c).alias(f"n{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
     row = df.agg(*aggs)
     parts = [F.struct(F.lit(i).alias("Position"), F.lit(f.name).alias("Column"),

@@ -7,6 +7,9 @@ mark is read from the fact, the last table written: a flow that fails at any
 point - or is re-run after a lost executor killed the job - can be run again and
 ends in the state of one clean run.
 
+A batch is evaluated once: it is staged in the scratch folder, its counts, key range and limit violations
+are observed on that write (``Observation``), and gates, comparison and append work on the staged rows.
+
 Fact files are partitioned by Year and range-clustered by StockKey within it, so
 a date or symbol filter on the stored fact skips folders and row groups, and a
 batch is compared only with the years and days it holds.
@@ -14,9 +17,11 @@ batch is compared only with the years and days it holds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +29,7 @@ from stockyard.functions.names import INDEX_SYMBOLS, OVERVIEW_DROP, PROFILE_DROP
 from stockyard.operators import dims, facts, load, quality
 from stockyard.operators.conform import drop_columns
 from stockyard.schemas import PRIMARY_KEYS, TABLES
-from stockyard.session import fits_broadcast
+from stockyard.session import drop_scratch, fits_broadcast, scratch_path
 
 # Facts stored by year of their TimeKey.
 BY_YEAR = {"Fact_StockPrice", "Fact_FinancialRatios"}
@@ -118,26 +123,43 @@ class StoredWarehouse:
             rows.write.mode("append").parquet(self.path(table))
         self._cache.clear()
 
-    def around(self, table: str, batch: DataFrame) -> DataFrame:
-        """Stored rows in the batch's range of TimeKey; other years' folders are not read."""
-        low, high = batch.agg(F.min("TimeKey"), F.max("TimeKey")).first()
+    @contextmanager
+    def staged(self, rows: DataFrame, name: str, metrics: dict[str, Column]) -> Iterator[tuple[DataFrame, dict]]:
+        """``rows`` written once to the scratch folder, with ``metrics`` observed on the way; dropped afterwards."""
+        path, seen = scratch_path(self.spark, name), Observation()
+        rows.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.parquet(path)
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(path), seen.get
+        finally:
+            drop_scratch(self.spark, path)
+
+    def between(self, table: str, low: int | None, high: int | None) -> DataFrame:
+        """Stored rows with a TimeKey from low to high; other years' folders are not read."""
         stored = self._stored(table)
         if low is not None and table in BY_YEAR:
             stored = stored.where(F.col("Year").between(low // 10000, high // 10000)
                                   & F.col("TimeKey").between(low, high))
         return stored.select(*TABLES[table].fieldNames())
 
+    def around(self, table: str, batch: DataFrame) -> DataFrame:
+        """Stored rows in the batch's range of TimeKey."""
+        return self.between(table, *batch.agg(F.min("TimeKey"), F.max("TimeKey")).first())
+
     def load(self, table: str, rows: DataFrame, strict: bool = False) -> None:
         """Insert-ignore on the primary key (K2); ``strict`` (K3) raises on any key
         that repeats or exists. Keys and declared limits are checked first."""
         keys = PRIMARY_KEYS[table]
-        quality.require_valid(rows, table)
-        target = self.around(table, rows) if "TimeKey" in keys else self.read(table)
-        if strict:
-            load.require_new_keys(target, rows, keys)
-            self.append(table, rows)
-        else:
-            self.append(table, load.rows_to_insert(target, rows, keys))
+        span = {"low": F.min("TimeKey"), "high": F.max("TimeKey")} if "TimeKey" in keys else {}
+        with self.staged(rows, table, {"rows": F.count("*"), **span, **quality.validity(table)}) as (batch, seen):
+            quality.require_none(table, seen)
+            if not seen["rows"]:
+                return
+            target = self.between(table, seen["low"], seen["high"]) if span else self.read(table)
+            if strict:
+                load.require_new_keys(target, batch, keys, cut=True)
+                self.append(table, batch)
+            else:
+                self.append(table, load.new_rows(target, batch, keys))
 
     def quarantine(self, feed: str, bad: DataFrame) -> None:
         """Keep a feed's malformed rows beside the tables."""
@@ -175,17 +197,18 @@ def daily_flow(wh: StoredWarehouse, quotes: DataFrame, until: str | None = None,
     if apply_high_water:
         loaded = wh.read("Fact_StockPrice").select(F.to_date(F.col("TimeKey").cast("string"), "yyyyMMdd").alias("Date"))
         quotes = load.rows_after_high_water(quotes, loaded, until=until, start=start)
-    if quotes.isEmpty():
-        return FlowResult("skipped")
-    quality.require_rows(wh.dim_company, "Dim_Company")
-    wh.load("Dim_Time", dims.build_dim_time(quotes))
-    small = wh.company_small
-    staged = facts.prepare_fact_price(quotes, wh.dim_time)
-    wh.load("Fact_StockPrice", facts.resolve_price_keys(staged, wh.dim_company, company_small=small), strict)
-    m = quality.load_metrics(staged, "staging", "StockSymbol", "TimeKey").first().asDict()
-    dropped = facts.unresolved_symbols(staged, wh.dim_company, small).agg(
-        F.coalesce(F.sum("DroppedRows"), F.lit(0))).first()[0]
-    return FlowResult("loaded", m | {"Unresolved": dropped})
+    with wh.staged(quotes, "quotes", {"rows": F.count("*")}) as (quotes, seen):
+        if not seen["rows"]:
+            return FlowResult("skipped")
+        quality.require_rows(wh.dim_company, "Dim_Company")
+        wh.load("Dim_Time", dims.build_dim_time(quotes))
+        small = wh.company_small
+        staged = facts.prepare_fact_price(quotes, wh.dim_time)
+        wh.load("Fact_StockPrice", facts.resolve_price_keys(staged, wh.dim_company, company_small=small), strict)
+        m = quality.load_metrics(staged, "staging", "StockSymbol", "TimeKey").first().asDict()
+        dropped = facts.unresolved_symbols(staged, wh.dim_company, small).agg(
+            F.coalesce(F.sum("DroppedRows"), F.lit(0))).first()[0]
+        return FlowResult("loaded", m | {"Unresolved": dropped})
 
 
 def quarterly_flow(wh: StoredWarehouse, ratio_wide: DataFrame, overview: DataFrame,

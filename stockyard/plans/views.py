@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockyard.functions.dates import DATE_PARTS, date_parts
 from stockyard.functions.indicators import pct_change
 from stockyard.functions.rounding import r2
 
@@ -31,6 +32,17 @@ def time_dim(star, cols: list[str]) -> DataFrame:
     return F.broadcast(star.dim_time.select("TimeKey", *cols))
 
 
+def dated(star, rows: DataFrame, cols: list[str]) -> DataFrame:
+    """``rows`` with parts of their day. A star that derives its time dimension from the fact itself
+    (``date_of_key``) takes them from the key, without another scan of the trades."""
+    if not getattr(star, "date_of_key", False):
+        return rows.join(time_dim(star, cols), "TimeKey")
+    year, month, day = F.floor(F.col("TimeKey") / 10000), F.floor(F.col("TimeKey") / 100) % 100, F.col("TimeKey") % 100
+    date = F.make_date(year.cast("int"), month.cast("int"), day.cast("int"))
+    parts = dict(zip(DATE_PARTS, date_parts("Date"), strict=True))
+    return rows.withColumn("Date", date).select(*rows.columns, *[parts[c] for c in cols])
+
+
 def company_dim(star, cols: list[str]) -> DataFrame:
     d = star.dim_company.select("StockKey", *cols)
     return F.broadcast(d) if star.company_small else d
@@ -50,9 +62,8 @@ def price_movement(star, with_key: bool = False) -> DataFrame:
     the LAG window and the averaging windows, as in the view definition.
     """
     w = Window.partitionBy("StockKey").orderBy("Date")
-    daily = (star.fact_price.select("TimeKey", "StockKey", "Close")
-             .join(time_dim(star, ["Date", "Year", "Month"]), "TimeKey")
-             .withColumn("PrevClose", F.lag("Close").over(w)))
+    daily = dated(star, star.fact_price.select("TimeKey", "StockKey", "Close"), ["Date", "Year", "Month"]).withColumn(
+        "PrevClose", F.lag("Close").over(w))
     chg = pct_change("Close", "PrevClose")
     out = (daily.where(F.col("PrevClose").isNotNull())
            .join(company_dim(star, ["StockSymbol", "CompanyName"]), "StockKey")
@@ -73,9 +84,8 @@ SUMMARY_COLUMNS = ["StockSymbol", "CompanyName", "Industry", "Year", "Quarter",
 
 
 def _priced(star) -> DataFrame:
-    return (star.fact_price
-            .join(time_dim(star, ["Date", "Year", "Quarter", "Month"]), "TimeKey")
-            .join(company_dim(star, ["StockSymbol", "CompanyName", "Industry"]), "StockKey"))
+    return dated(star, star.fact_price, ["Date", "Year", "Quarter", "Month"]).join(
+        company_dim(star, ["StockSymbol", "CompanyName", "Industry"]), "StockKey")
 
 
 def price_summary(star, with_key: bool = False) -> DataFrame:
@@ -152,10 +162,12 @@ PERFORMANCE_COLUMNS = ["Date", "Year", "Quarter", "Month", "StockSymbol", "Indus
 
 
 def index_rows(star) -> DataFrame:
-    """Index members' price rows joined to their dimensions (before any window)."""
-    return (star.index_fact_price()
-            .join(time_dim(star, ["Date", "Year", "Quarter", "Month"]), "TimeKey")
-            .join(company_dim(star, ["StockSymbol", "Industry"]), "StockKey"))
+    """Index members' price rows joined to their dimensions (before any window); with the stock's known
+    first close of the year, if the star has one (``year_open``)."""
+    rows = dated(star, star.index_fact_price(), ["Date", "Year", "Quarter", "Month"]).join(
+        company_dim(star, ["StockSymbol", "Industry"]), "StockKey")
+    known = getattr(star, "year_open", None)
+    return rows if known is None else rows.join(F.broadcast(known) if star.company_small else known, ["StockKey", "Year"], "left")
 
 
 def index_performance(star, with_key: bool = False, null_on_zero: bool = False) -> DataFrame:
@@ -171,12 +183,13 @@ def index_performance(star, with_key: bool = False, null_on_zero: bool = False)
     wd = Window.partitionBy("StockKey").orderBy("Year", "Date")
     wy = Window.partitionBy("StockKey", "Year").orderBy("Date")
     prev = F.lag("Close").over(wd)
+    known = [c for c in ("YearOpen",) if c in f.columns]
     step1 = f.select(
-        "StockKey", "Date", "Year", "Quarter", "Month", "StockSymbol", "Industry", "Close", "Volume",
+        *known, "StockKey", "Date", "Year", "Quarter", "Month", "StockSymbol", "Industry", "Close", "Volume",
         r2(pct_change("Close", prev)).alias("DailyReturn"),
         r2(F.avg("Close").over(wd.rowsBetween(-9, 0))).alias("MA10"),
         r2(F.avg("Close").over(wd.rowsBetween(-29, 0))).alias("MA30"))
-    base = F.first("Close").over(wy)
+    base = F.coalesce(*known, F.first("Close").over(wy))
     ratio = F.try_divide(F.col("Close"), base) if null_on_zero else F.col("Close") / base
     out = step1.withColumn("YTDReturn", r2((ratio - 1) * 100))
     return out.select(*(["StockKey"] if with_key else []), *PERFORMANCE_COLUMNS)

@@ -76,6 +76,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table of this run, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fits_broadcast(probe: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
     """True when ``probe`` has at most ``max_rows`` rows.
 

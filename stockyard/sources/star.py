@@ -78,6 +78,8 @@ def _price() -> Column:
 class DerivedStar:
     """Warehouse tables (and their raw feeds) derived from one sf directory."""
 
+    date_of_key = True           # the time dimension is derived from the fact's own days
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir

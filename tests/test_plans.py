@@ -12,7 +12,8 @@ from conftest import SMALL
 
 # Queries that write feed files first (their plans depend on a fresh folder).
 WRITES_FILES = {"conform_union", "quarantine_bad_rows", "file_routing", "quote_ingest_good", "history_window",
-                "company_ingest", "definition_ingest", "daily_flow_rerun"}
+                "company_ingest", "definition_ingest", "daily_flow_rerun", "quarterly_flow_state",
+                "movement_refreshed", "performance_refreshed", "refresh_state", "vector_store_topk"}
 
 
 def plan(df) -> str:
@@ -94,3 +95,8 @@ def test_no_python_udf_in_any_plan(spark, name):
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
                  "ExistingRDD"):
         assert node not in p, f"{name} runs Python: {node}"
+
+
+def test_views_over_trades_scan_them_once(spark):
+    for view in (views.price_movement, views.price_summary, views.index_performance):
+        assert plan(view(DerivedStar(spark, SMALL))).count("lineitem.parquet") == 1
