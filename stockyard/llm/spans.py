@@ -14,14 +14,16 @@ trigger's k-gram. That gives three steps:
 2. **Dictionary.** Of equal phrases in the corpus the earliest occurrence
    stays, all others are repeats. An earliest occurrence whose trigger occurs in
    no other phrase has no window in common with anything and is done.
-3. **Boundaries.** The windows of the remaining phrases - they touch the rim
-   of a repeat - are compared one by one by window hash.
+3. **Matching.** The other phrases - they touch the rim of a repeat - are dealt
+   with their units to blocks by trigger, and the caller's ``match`` compares
+   what is in a block (by suffixes, or by factors).
 
 Hot triggers (a passage met with countless contexts) are recognised in the
-task that meets several of their phrases; they are dealt by (trigger, phrase)
-instead, so a task gets at most a few rows per trigger from each other task.
-Rows travel as packed arrays per (task, part), which are pre-aggregated.
-Equality is by two 64-bit hashes (trigger and phrase or window).
+task that meets several of their phrases; their windows are dealt one by one, by
+(trigger, window), so a task gets at most a few rows per trigger from each other task.
+Every step passes on one row for each repeat or open phrase, however the work is dealt, so
+rows grow with the text alone. Phrases, and windows of hot triggers, are equal by two 64-bit hashes
+(of the trigger and of the whole).
 """
 
 from __future__ import annotations
@@ -37,17 +39,19 @@ from stockyard.llm.arrays import RollingHash, mix, sliding_min
 from stockyard.llm.common import keyed, longs, parts_for, slices, stored, text_bytes_total
 
 FLUSH_ROWS = 250_000        # phrases (or windows) gathered before they are dealt out
-HOT_PHRASES = 8             # phrases of one trigger in one flush that make it hot
+HOT_PHRASES, HOT_SHARE = 8, 1e-3      # phrases of one trigger in one flush that make it hot: both as many and this share
 SEGMENT = 1 << 20           # units of one document handled at a time
 POSITION_BITS = np.uint64(24)
 DEALT = "part int, body binary"
-FOUND = "doc long, text_hash long, ranges binary, open binary"
+FOUND = "doc long, text_hash long, start long, stop long, ref_doc long, ref_start long, trigger long, hot boolean"
+BLOCKS = "part int, doc long, text_hash long, start long, body binary, hot boolean"
 
 # A record is one phrase or window; `hot` says how it is dealt (see above).
 RECORD = np.dtype([("trigger", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("text", "<i8"),
                    ("start", "<i8"), ("count", "<i4"), ("hot", "i1")])
-RANGE = np.dtype([("start", "<i8"), ("stop", "<i8")])
-OPEN = np.dtype([("start", "<i8"), ("count", "<i4"), ("trigger", "<u8"), ("hot", "i1")])
+# Repeated units [start, stop) of a document, and where they stood before. Dealt as a record, its
+# length is a negative count and the reference is in the two hashes' place.
+RUN = np.dtype([("doc", "<i8"), ("text", "<i8"), ("start", "<i8"), ("stop", "<i8"), ("ref_doc", "<i8"), ("ref_start", "<i8")])
 MARK = -1                   # hash column unused: the row only says that its trigger is hot
 
 
@@ -113,8 +117,9 @@ def segments(bounds: np.ndarray, length: int, segment: int):
     return start, stop, piece
 
 
-def earliest(rows: np.ndarray, by_document: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Sort by (trigger, hash, doc, start); mark rows with an earlier equal one."""
+def earliest(rows: np.ndarray, by_document: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sort by (trigger, hash, doc, start); mark rows with an earlier equal one, and give each
+    row's earliest equal one."""
     rows = rows[np.lexsort((rows["start"], rows["doc"], rows["hash"], rows["trigger"]))]
     first = np.ones(len(rows), dtype=bool)
     first[1:] = (rows["trigger"][1:] != rows["trigger"][:-1]) | (rows["hash"][1:] != rows["hash"][:-1])
@@ -122,7 +127,33 @@ def earliest(rows: np.ndarray, by_document: bool) -> tuple[np.ndarray, np.ndarra
     later = rows["doc"] > rows["doc"][lead]
     if not by_document:
         later |= (rows["doc"] == rows["doc"][lead]) & (rows["start"] > rows["start"][lead])
-    return rows, later
+    return rows, later, lead
+
+
+def runs_of(rows: np.ndarray, later: np.ndarray, lead: np.ndarray, length: int) -> np.ndarray:
+    """The later rows as runs."""
+    out = np.empty(int(later.sum()), dtype=RUN)
+    own, first = rows[later], rows[lead[later]]
+    for name in ("doc", "text", "start"):
+        out[name] = own[name]
+    out["stop"] = own["start"] + own["count"] - 1 + length
+    out["ref_doc"], out["ref_start"] = first["doc"], first["start"]
+    return out
+
+
+def joined(runs: np.ndarray) -> np.ndarray:
+    """Merge runs of a document that adjoin or overlap and repeat the same stretch."""
+    if not len(runs):
+        return runs
+    runs = runs[np.lexsort((runs["start"], runs["start"] - runs["ref_start"], runs["ref_doc"], runs["text"], runs["doc"]))]
+    new = np.ones(len(runs), dtype=bool)
+    same = runs["start"] - runs["ref_start"]
+    new[1:] = ((runs["doc"][1:] != runs["doc"][:-1]) | (runs["text"][1:] != runs["text"][:-1])
+               | (runs["ref_doc"][1:] != runs["ref_doc"][:-1]) | (same[1:] != same[:-1])
+               | (runs["start"][1:] > runs["stop"][:-1]))
+    out = runs[new].copy()
+    out["stop"] = np.maximum.reduceat(runs["stop"], np.flatnonzero(new))
+    return out
 
 
 def crowded(rows: np.ndarray) -> np.ndarray:
@@ -137,51 +168,31 @@ def crowded(rows: np.ndarray) -> np.ndarray:
     return np.bincount(group[new], minlength=group[-1] + 1)[group]
 
 
-def by_document_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by (doc, text, start), and whether each begins a document."""
-    rows = rows[np.lexsort((rows["start"], rows["text"], rows["doc"]))]
-    new = np.ones(len(rows), dtype=bool)
-    new[1:] = (rows["doc"][1:] != rows["doc"][:-1]) | (rows["text"][1:] != rows["text"][:-1])
-    return rows, new
-
-
-def packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    """A binary value for each run of ``values`` that begins at ``first``."""
-    offsets = np.append(first, len(values)).astype(np.int64) * values.dtype.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(first), [
-        None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
-
-
-def found_batch(repeats: np.ndarray, left: np.ndarray, length: int) -> pa.RecordBatch:
-    """A row for each document: ranges of repeated units; a row for each: phrases left open."""
-    repeats, new_doc = by_document_order(repeats)
-    stop = repeats["start"] + repeats["count"] - 1 + length     # grows within a document
-    new = new_doc.copy()
-    new[1:] |= repeats["start"][1:] > stop[:-1]
-    at = np.flatnonzero(new)
-    ranges = np.empty(len(at), dtype=RANGE)
-    ranges["start"] = repeats["start"][at]
-    ranges["stop"] = stop[np.append(at[1:], len(stop)) - 1] if len(at) else 0
-    heads = np.flatnonzero(new_doc)
-
-    left, new_left = by_document_order(left)
-    still = np.empty(len(left), dtype=OPEN)
-    for name in OPEN.names:
-        still[name] = left[name]
-    tops = np.flatnonzero(new_left)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([repeats["doc"][heads], left["doc"][tops]])),
-         pa.array(np.concatenate([repeats["text"][heads], left["text"][tops]])),
-         pa.concat_arrays([packed(ranges, np.searchsorted(at, heads)), pa.nulls(len(tops), pa.binary())]),
-         pa.concat_arrays([pa.nulls(len(heads), pa.binary()), packed(still, tops)])],
-        names=["doc", "text_hash", "ranges", "open"])
-
-
-def dealt(rows: np.ndarray, repeats: np.ndarray, parts: int) -> pa.RecordBatch:
-    """One packed row for each part. Hot rows go by (trigger, hash), others by
-    trigger; known repeats go by document and are only carried along (count < 0)."""
-    known = repeats.copy()
-    known["count"] = -known["count"]
+def found_batches(runs: np.ndarray, left: np.ndarray, length: int, step: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """A row of FOUND for each run, and for each phrase left open."""
+    names = [c.split(" ")[0] for c in FOUND.split(", ")]
+    for a in range(0, len(runs), step):
+        own = runs[a:a + step]
+        none = pa.nulls(len(own), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(own[c])) for c in RUN.names), none,
+                                          pa.nulls(len(own), pa.bool_())], names=names)
+    for a in range(0, len(left), step):
+        own = left[a:a + step]
+        none = pa.nulls(len(own), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(np.ascontiguousarray(own[c])) for c in ("doc", "text", "start")),
+             pa.array(own["start"] + own["count"] - 1 + length), none, none,
+             pa.array(np.ascontiguousarray(own["trigger"]).view(np.int64)), pa.array(own["hot"] == 1)], names=names)
+
+
+def dealt(rows: np.ndarray, runs: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
+    """(part, packed rows) for each part. Hot rows go by (trigger, hash), others by
+    trigger; known runs go by document and are only carried along (count < 0)."""
+    known = np.zeros(len(runs), dtype=RECORD)
+    for name in ("doc", "text", "start"):
+        known[name] = runs[name]
+    known["count"] = runs["start"] - runs["stop"]
+    known["trigger"], known["hash"] = runs["ref_doc"].view(np.uint64), runs["ref_start"].view(np.uint64)
     key = np.where(rows["hot"] == 1, mix(rows["trigger"] ^ rows["hash"], 1), mix(rows["trigger"], 2))
     key = np.concatenate([key, mix(known["doc"].astype(np.uint64) ^ known["text"].astype(np.uint64), 3)])
     part = (key % np.uint64(parts)).astype(np.int64)
@@ -189,50 +200,63 @@ def dealt(rows: np.ndarray, repeats: np.ndarray, parts: int) -> pa.RecordBatch:
     order = np.lexsort((every["start"], every["text"], every["doc"], part))
     at = np.searchsorted(part[order], np.arange(parts + 1))
     have = np.flatnonzero(np.diff(at))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(have, pa.int32()),
-         pa.array([pack(every[order[at[p]:at[p + 1]]]) for p in have], pa.binary())], names=["part", "body"])
+    return have.tolist(), [pack(every[order[at[p]:at[p + 1]]]) for p in have]
 
 
-def joined_runs(rows: np.ndarray) -> np.ndarray:
-    """Merge adjoining repeats of a document (equal copies give one run each)."""
-    if not len(rows):
-        return rows
-    rows = rows[np.lexsort((rows["start"], rows["text"], rows["doc"]))]
-    stop = rows["start"] + rows["count"]
-    new = np.ones(len(rows), dtype=bool)
-    new[1:] = ((rows["doc"][1:] != rows["doc"][:-1]) | (rows["text"][1:] != rows["text"][:-1])
-               | (rows["start"][1:] > stop[:-1]))
-    out = rows[new].copy()
-    ends = np.maximum.reduceat(stop, np.flatnonzero(new))
-    out["count"] = ends - out["start"]
-    return out
-
-
-def flushed(rows: np.ndarray, by_document: bool, parts: int, many: int) -> pa.RecordBatch:
+def flushed(rows: np.ndarray, by_document: bool, parts: int, many: int, length: int) -> pa.RecordBatch:
     """Pre-aggregate the phrases of a flush and deal them out."""
-    rows, later = earliest(rows, by_document)
+    rows, later, lead = earliest(rows, by_document)
     keep = rows[~later]
-    hot = crowded(keep) >= many
+    hot = crowded(keep) >= max(many, int(len(rows) * HOT_SHARE))
     keep["hot"] = hot
     marks = keep[hot]
     marks = marks[np.unique(marks["trigger"], return_index=True)[1]].copy()
     marks["hot"] = MARK
-    return dealt(np.concatenate([keep, marks]), joined_runs(rows[later]), parts)
-
-
-def gathered(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    found = [unpack(b, RECORD) for batch in batches for b in batch.column("body").to_pylist()]
-    return np.concatenate(found) if found else np.zeros(0, dtype=RECORD)
-
-
-def repeated_ranges(docs: DataFrame, units: Callable, length: int, k: int, by_document: bool,
-                    units_per_byte: float, many: int = HOT_PHRASES, segment: int = SEGMENT) -> DataFrame:
-    """(doc, text_hash, ranges): for every document of ``keyed`` docs that has
-    any, the packed ranges of units covered by a window that starts earlier.
-
-    ``units(batch) -> (values, bounds)`` gives the sequence of each row.
-    ``by_document``: only a smaller doc counts as earlier, not the same one.
+    part, body = dealt(np.concatenate([keep, marks]), joined(runs_of(rows, later, lead, length)), parts)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(body, pa.binary())], names=["part", "body"])
+
+
+def gathered(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(records, known runs) of packed bodies."""
+    found = [unpack(b, RECORD) for b in bodies]
+    rows = np.concatenate(found) if found else np.zeros(0, dtype=RECORD)
+    carried = rows[rows["count"] < 0]
+    runs = np.empty(len(carried), dtype=RUN)
+    for name in ("doc", "text", "start"):
+        runs[name] = carried[name]
+    runs["stop"] = carried["start"] - carried["count"]
+    runs["ref_doc"], runs["ref_start"] = carried["trigger"].view(np.int64), carried["hash"].view(np.int64)
+    return rows[rows["count"] > 0], runs
+
+
+def window_classes(keys: np.ndarray, width: int, at: np.ndarray, length: int) -> np.ndarray:
+    """Rank, in suffix order, of the ``length`` units from each place in ``at``; equal windows have
+    equal ranks. ``keys`` order the first ``width`` units at each place; ranks of twice the width
+    come from pairs of ranks (prefix doubling), up to ``length``."""
+    rank = np.unique(keys, return_inverse=True)[1].astype(np.uint64)
+    while 2 * width <= length:
+        rank = np.unique(rank[:-width] << np.uint64(32) | rank[width:], return_inverse=True)[1].astype(np.uint64)
+        width *= 2
+    rest = length - width
+    return np.unique(rank[at] << np.uint64(32) | rank[at + rest], return_inverse=True)[1]
+
+
+def window_places(bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, phrase) of every window of phrases ``bounds[i]:bounds[i + 1]``."""
+    count = np.diff(bounds) - length + 1
+    phrase = np.repeat(np.arange(len(count)), count)
+    return bounds[:-1][phrase] + np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count), phrase
+
+
+def repeated_ranges(docs: DataFrame, units: Callable, match: Callable, dtype: np.dtype, length: int, k: int,
+                    by_document: bool, units_per_byte: float, block: int, many: int = HOT_PHRASES,
+                    segment: int = SEGMENT) -> DataFrame:
+    """(doc, text_hash, start, stop, ref_doc, ref_start): for every document of ``keyed`` docs, runs of units
+    covered by windows that start earlier, and where.
+
+    ``units(batch) -> (values, bounds)`` gives the sequence of each row, values of ``dtype``.
+    ``match(values, bounds, doc, text, start, length) -> RUN rows`` compares the phrases of a block
+    (about ``block`` units). ``by_document``: only a smaller doc counts as earlier, not the same one.
     ``many`` phrases of a trigger in one flush make it hot.
     """
     spark = docs.sparkSession
@@ -261,101 +285,120 @@ def repeated_ranges(docs: DataFrame, units: Callable, length: int, k: int, by_do
                 held.append(out)
                 size += len(out)
             if size >= FLUSH_ROWS:
-                yield flushed(np.concatenate(held), by_document, parts, many)
+                yield flushed(np.concatenate(held), by_document, parts, many, length)
                 held, size = [], 0
         if size:
-            yield flushed(np.concatenate(held), by_document, parts, many)
+            yield flushed(np.concatenate(held), by_document, parts, many, length)
 
     def decide(batches):
-        rows = gathered(batches)
-        known = rows[rows["count"] < 0]
-        known["count"] = -known["count"]
-        rows = rows[rows["count"] > 0]
+        rows, known = gathered([b for batch in batches for b in batch.column("body").to_pylist()])
         marked = np.unique(rows["trigger"][rows["hot"] == MARK])
-        rows, later = earliest(rows[rows["hot"] != MARK], by_document)
-        repeats, keep = np.concatenate([rows[later], known]), rows[~later]
+        rows, later, lead = earliest(rows[rows["hot"] != MARK], by_document)
+        runs, keep = np.concatenate([runs_of(rows, later, lead, length), known]), rows[~later]
         hot = (keep["hot"] == 1) | np.isin(keep["trigger"], marked)
         left = keep[hot | (crowded(keep) > 1)]
         left["hot"] = hot[hot | (crowded(keep) > 1)]
         del rows, keep
-        yield found_batch(repeats, left, length)
+        yield from found_batches(runs, left, length)
 
     first = stored(docs.select("doc", "text_hash", "text").mapInArrow(emit, DEALT)
-                   .repartition(parts, "part").mapInArrow(decide, FOUND), "phrases", large=True)
+                   .repartitionById(parts, "part").mapInArrow(decide, FOUND), "phrases", large=True)
 
-    spare = first.filter("open is not null")
-    windows = spare.agg(F.sum(F.octet_length("open"))).first()[0] or 0
-    parts2 = parts_for(int(windows) // OPEN.itemsize * (length - k + 2) // 2, 700_000, spark)
+    spare = first.filter("trigger is not null")
+    parts2 = parts_for(spare.agg(F.sum(F.col("stop") - F.col("start"))).first()[0] or 0, block, spark)
 
-    def emit_windows(batches):
+    def emit_blocks(batches):
+        """Open phrases with their units, by trigger; windows of hot triggers, by window."""
         held, size = [], 0
         for batch in slices(batches):
             values, bounds = units(batch)
-            for i, (doc, text, bodies) in enumerate(zip(
+            out: list[tuple] = []
+            for i, (doc, text, lists) in enumerate(zip(
                     batch.column("doc").to_pylist(), batch.column("text_hash").to_pylist(),
-                    batch.column("bodies").to_pylist(), strict=True)):
-                still = np.concatenate([np.frombuffer(b, dtype=OPEN) for b in bodies])
-                still = np.unique(still)                      # repeated rows give each phrase twice
-                still = still[np.argsort(still["start"], kind="stable")]
-                at = 0
-                while at < len(still):                        # a stretch of a very long text at a time
-                    base = int(still["start"][at])
-                    upto = max(at + 1, int(np.searchsorted(still["start"], base + segment)))
-                    some = still[at:upto]
-                    stop = int((some["start"] + some["count"]).max()) - 1 + length
-                    rolled = RollingHash(values[bounds[i] + base:bounds[i] + stop])
-                    each = np.repeat(np.arange(len(some)), some["count"])
-                    place = np.arange(len(each)) - np.repeat(np.cumsum(some["count"]) - some["count"], some["count"])
-                    begin = some["start"][each] + place
-                    out = np.zeros(len(each), dtype=RECORD)
-                    out["hash"] = mix(rolled.at(begin - base, begin - base + length), 4)
-                    out["trigger"], out["hot"] = some["trigger"][each], some["hot"][each]
-                    out["doc"], out["text"], out["start"], out["count"] = doc, text, begin, 1
-                    held.append(out)
-                    size += len(out)
-                    at = upto
+                    batch.column("open"), strict=True)):
+                start, stop, trigger, hot = (lists.values.field(c).to_numpy(zero_copy_only=False)
+                                             for c in ("start", "stop", "trigger", "hot"))
+                at = np.unique(start, return_index=True)[1]    # repeated rows give each phrase twice
+                start, stop, trigger, hot = start[at], stop[at], trigger[at], hot[at]
+                part = (mix(trigger.view(np.uint64), 2) % np.uint64(parts2)).astype(np.int64)
+                out += [(int(part[j]), doc, text, int(start[j]), values[bounds[i] + start[j]:bounds[i] + stop[j]].tobytes(), False)
+                        for j in np.flatnonzero(~hot)]
+                start, stop, trigger = start[hot], stop[hot], trigger[hot]
+                a = 0
+                while a < len(start):                         # a stretch of a very long text at a time
+                    base = int(start[a])
+                    upto = max(a + 1, int(np.searchsorted(start, base + segment)))
+                    rolled = RollingHash(values[bounds[i] + base:bounds[i] + int(stop[a:upto].max())])
+                    place, phrase = window_places(np.concatenate([[0], np.cumsum(stop[a:upto] - start[a:upto])]), length)
+                    count = stop[a:upto] - start[a:upto]
+                    begin = start[a:upto][phrase] + place - (np.cumsum(count) - count)[phrase]
+                    rows = np.zeros(len(begin), dtype=RECORD)
+                    rows["hash"] = mix(rolled.at(begin - base, begin - base + length), 4)
+                    rows["trigger"] = trigger[a:upto].view(np.uint64)[phrase]
+                    rows["doc"], rows["text"], rows["start"], rows["count"], rows["hot"] = doc, text, begin, 1, 1
+                    held.append(rows)
+                    size += len(rows)
+                    a = upto
+            if out:
+                yield block_batch(out)
             if size >= FLUSH_ROWS:
-                yield settled(np.concatenate(held))
+                yield hot_batch(held)
                 held, size = [], 0
         if size:
-            yield settled(np.concatenate(held))
-
-    def settled(rows):
-        rows, later = earliest(rows, by_document)
-        return dealt(rows[~later], joined_runs(rows[later]), parts2)
-
-    def decide_windows(batches):
-        rows = gathered(batches)
-        known = rows[rows["count"] < 0]
-        known["count"] = -known["count"]
-        rows, later = earliest(rows[rows["count"] > 0], by_document)
-        repeats = np.concatenate([rows[later], known])
+            yield hot_batch(held)
+
+    def block_batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)],
+                                          names=["part", "doc", "text_hash", "start", "body", "hot"])
+
+    def hot_batch(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows, later, lead = earliest(np.concatenate(held), by_document)
+        return block_batch([(p, None, None, None, b, True) for p, b in zip(*dealt(
+            rows[~later], joined(runs_of(rows, later, lead, length)), parts2), strict=True)])
+
+    def decide_blocks(batches):
+        doc, text, start, body, bodies = [], [], [], [], []
+        for batch in batches:
+            hot = batch.column("hot").to_numpy(zero_copy_only=False)
+            bodies += batch.column("body").filter(pa.array(hot)).to_pylist()
+            cold = batch.filter(pa.array(~hot))
+            for into, c in zip((doc, text, start, body), ("doc", "text_hash", "start", "body"), strict=True):
+                into += cold.column(c).to_pylist()
+        rows, known = gathered(bodies)
+        del bodies
+        rows, later, lead = earliest(rows, by_document)
+        runs = [runs_of(rows, later, lead, length), known]
         del rows
-        yield found_batch(joined_runs(repeats), np.zeros(0, dtype=RECORD), length)
+        if body:
+            values = np.frombuffer(b"".join(body), dtype=dtype)
+            bounds = np.concatenate([[0], np.cumsum([len(b) for b in body])]) // dtype.itemsize
+            runs.append(match(values, bounds, *(np.array(c, dtype=np.int64) for c in (doc, text, start)), length))
+        yield from found_batches(np.concatenate(runs), np.zeros(0, dtype=RECORD), length)
 
-    still = spare.groupBy("doc", "text_hash").agg(F.collect_list("open").alias("bodies"))
+    still = spare.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "stop", "trigger", "hot")).alias("open"))
     second = stored(
         docs.select("doc", "text_hash", "text").join(still, ["doc", "text_hash"])
         .dropDuplicates(["doc", "text_hash"])
-        .mapInArrow(emit_windows, DEALT).repartition(parts2, "part")
-        .mapInArrow(decide_windows, FOUND), "windows", large=True)
-    return (first.filter("ranges is not null").unionByName(second.filter("ranges is not null"))
-            .groupBy("doc", "text_hash").agg(F.collect_list("ranges").alias("ranges")))
+        .mapInArrow(emit_blocks, BLOCKS).repartitionById(parts2, "part")
+        .mapInArrow(decide_blocks, FOUND), "matches", large=True)
+    return first.filter("trigger is null").unionByName(second).drop("trigger", "hot")
 
 
-def removed(n: int, bodies: list[bytes] | None) -> np.ndarray:
-    """Mask of the units that the packed ranges cover."""
+def removed(n: int, ranges: pa.StructArray | None) -> np.ndarray:
+    """Mask of the units that the ranges cover."""
     mask = np.zeros(n + 1, dtype=np.int32)
-    if bodies:
-        ranges = np.concatenate([np.frombuffer(b, dtype=RANGE) for b in bodies])
-        np.add.at(mask, np.minimum(ranges["start"], n), 1)
-        np.add.at(mask, np.minimum(ranges["stop"], n), -1)
+    if ranges is not None:
+        for name, step in (("start", 1), ("stop", -1)):
+            np.add.at(mask, np.minimum(ranges.field(name).to_numpy(zero_copy_only=False), n), step)
     return np.cumsum(mask[:-1]) > 0
 
 
 def with_ranges(docs: DataFrame, **how) -> DataFrame:
-    """``keyed`` docs, each with its packed ranges (null: nothing repeats)."""
-    return docs.join(repeated_ranges(docs, **how), ["doc", "text_hash"], "left")
+    """``keyed`` docs, each with its ranges (null: nothing repeats)."""
+    ranges = repeated_ranges(docs, **how).groupBy("doc", "text_hash").agg(
+        F.collect_list(F.struct("start", "stop", "ref_doc", "ref_start")).alias("ranges"))
+    return docs.join(ranges, ["doc", "text_hash"], "left")
 
 
-__all__ = ["keyed", "removed", "repeated_ranges", "with_ranges"]
+__all__ = ["RUN", "keyed", "removed", "repeated_ranges", "window_classes", "window_places", "with_ranges"]

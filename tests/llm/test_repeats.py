@@ -102,3 +102,59 @@ def test_repeated_rows_null_ids_and_empty_table(docs_of, spark):
     assert sorted(r.n_removed for r in suffix_dedup.digest(extra).collect()) == [0, 0, len(t), len(t)]
     empty = docs_of([])
     assert suffix_dedup.digest(empty).collect() == substring_dedup.digest(empty).collect() == []
+
+
+def test_long_words_are_told_apart(docs_of):
+    from tests.llm.conftest import certain_collision
+    one, two = certain_collision()
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words[:30] + [one] + words[31:])), (2, " ".join(words[:30] + [two] + words[31:])),
+            (3, " ".join(words[:30] + [one] + words[31:]))]
+    got = {r.doc_id: tuple(r[1:]) for r in substring_dedup.digest(docs_of(rows)).collect()}
+    assert got == brute_words(rows, 50) and [got[i][1] for i in (1, 2, 3)] == [0, 0, 60]
+
+
+@pytest.mark.parametrize("hot", [8, 2])
+def test_factors_are_copies(docs_of, hot):
+    """Each factor stands in its reference word for word; together they cover what goes."""
+    rows = corpus(hot + 20, lambda r: "".join(r.choice("abc") for _ in range(r.randint(1, 4))))
+    words = {i: t.split() for i, t in rows}
+    passage = [f"p{i}" for i in range(400)]
+    words |= {30_000: passage, 30_001: ["x", "y", *passage, "z"], 30_002: passage[100:300] + words[rows[0][0]]}
+    rows = [(i, " ".join(w)) for i, w in words.items()]
+    found = substring_dedup.factors(docs_of(rows), many=hot).collect()
+    covered = {i: set() for i in words}
+    for f in found:
+        assert f.length >= 50 and f.ref_id < f.doc_id
+        assert words[f.doc_id][f.start:f.start + f.length] == words[f.ref_id][f.ref_start:f.ref_start + f.length]
+        covered[f.doc_id].update(range(f.start, f.start + f.length))
+    assert {i: len(c) for i, c in covered.items()} == {i: r[1] for i, r in brute_words(rows, 50).items()}
+    long = [(f.doc_id, f.start, f.length, f.ref_id, f.ref_start) for f in found if f.doc_id >= 30_000]
+    assert (30_001, 2, 400, 30_000, 0) in long and (30_002, 0, 200, 30_000, 100) in long
+
+
+def test_suffix_ranks_against_sorting():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 3, 900).astype(np.uint8)
+    values[300:500] = values[:200]
+    for length in (1, 3, 7, 8, 9, 31, 100):
+        at = np.arange(len(values) - length + 1)
+        windows = [bytes(values[i:i + length]) for i in at]
+        place = {w: n for n, w in enumerate(sorted(set(windows)))}
+        assert suffix_dedup.suffix_ranks(values, at, length).tolist() == [place[w] for w in windows]
+
+
+def test_steps_pass_on_rows_by_the_text_alone(docs_of, spark):
+    """However the work is dealt, phrases and runs give the same number of rows, about."""
+    from stockyard.llm import spans
+    rows = corpus(3, lambda r: "".join(r.choice("abcde") for _ in range(r.randint(1, 7))), 120)
+    before, counts = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            counts.append(spans.repeated_ranges(spans.keyed(docs_of(rows)), suffix_dedup.byte_units, suffix_dedup.sorted_suffixes,
+                                                __import__("numpy").dtype("u1"), 100, 32, False, 1.0, 1000).count())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert counts[1] < 1.5 * counts[0]
