@@ -1,7 +1,8 @@
 """Cost-balanced packing of token ids into training sequences.
 
 A piece of n tokens costs ``LINEAR * n + QUADRATIC * n * n`` (dense layers and
-attention within the piece). Documents are dealt into buckets of bounded size;
+attention within the piece). Rows are dealt into buckets of about BUCKET_DOCS rows by their
+place in the table, so that repeated rows spread like any others;
 full stretches of ``capacity`` tokens are sequences of their own, and the rests of
 a bucket are assigned in descending order to the sequence of the lowest cost so
 far that still has room for them. The bucket opens just as many sequences as its
@@ -19,7 +20,6 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
-import json
 import zlib
 
 import numpy as np
@@ -28,62 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.llm.common import keyed, parts_for, slices
+from stockyard.llm.encoding import text_encoder
 
 CAPACITY = 1024
 END = 0                       # id that closes each document
 BUCKET_DOCS = 4096
 LINEAR, QUADRATIC = 12_288.0, 4.0     # multiply-adds of a token; of a pair of tokens
-#: Code points up to here are split alike by both tokenizer libraries (tested);
-#: texts with others, or with a special token's text, take the reference one.
-LATIN = 0x24F
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, ids binary")
 
 
-class Encoder:
-    """Ids of a byte-level BPE file; the fast path gives the same ids."""
-
-    def __init__(self, path: str | None):
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
-        path = path or public_tokenizers.path("byte_bpe_50k.json")
-        self.exact = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        # the printable stand-ins of byte-level vocabularies
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items()
-                 if token not in self.special}
-        self.size = max(spec["model"]["vocab"].values()) + 1
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        in_order = all(spec["model"]["vocab"][a + b] == 256 + i for i, (a, b) in enumerate(merges))
-        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                      special_tokens={}) if in_order else None
-
-    def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special) or not (text.isascii() or max(text) <= chr(LATIN)):
-            found = self.exact.encode(text, add_special_tokens=False).ids
-        else:
-            found = self.fast.encode_ordinary(text)
-        out = np.empty(len(found) + 1, dtype=np.uint32)
-        out[:-1] = found
-        out[-1] = END
-        return out
-
-
-_encoders: dict[str | None, Encoder] = {}
-
-
-def encoder(path: str | None) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 
@@ -135,28 +89,26 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
     (null without ``with_ids``)."""
     rows = docs.count()
     buckets = max(1, -(-rows // BUCKET_DOCS))
-    named = keyed(docs).withColumn("bucket", F.pmod(F.xxhash64("doc", "text_hash"), F.lit(buckets)))
+    row = F.monotonically_increasing_id()       # the same again for a scan that is read again
+    named = keyed(docs).withColumn("bucket", F.pmod(F.xxhash64("doc", row), F.lit(buckets)))
 
     def tokenize(batches):
-        tokens = encoder(path)
-        width = "<u2" if tokens.size <= 1 << 16 else "<u4"
-        known: dict[str, np.ndarray] = {}
+        encoder = text_encoder(path)
+        width, close = encoder.dtype, encoder.packed([END])
         for batch in slices(batches):
             total, crcs, bodies = [], [], []
             for text in batch.column("text").to_pylist():
-                ids = known.get(text)
-                if ids is None:
-                    if len(known) > 2000:
-                        known.clear()
-                    ids = known[text] = tokens.ids(text)
-                full = len(ids) // capacity
-                total.append(len(ids))
-                crcs.append([crc(ids[i * capacity:(i + 1) * capacity]) for i in range(full)])
-                bodies.append(ids[0 if with_ids else full * capacity:].astype(width).tobytes())
+                body = encoder.encode(text) + close
+                n = len(body) // width.itemsize
+                full = n // capacity * capacity
+                ids = np.frombuffer(body, dtype=width, count=full).astype("<u4")
+                total.append(n)
+                crcs.append([crc(ids[i:i + capacity]) for i in range(0, full, capacity)])
+                bodies.append(body if with_ids else body[full * width.itemsize:])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("bucket"), batch.column("doc"), batch.column("text_hash"), batch.column("doc_id"),
                  pa.array(total, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(bodies, pa.binary()),
-                 pa.array([int(width[-1])] * len(total), pa.int32())],
+                 pa.array([width.itemsize] * len(total), pa.int32())],
                 names=["bucket", "doc", "text_hash", "doc_id", "total", "crcs", "body", "width"])
 
     def fill(batches):

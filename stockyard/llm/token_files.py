@@ -1,60 +1,72 @@
 """Binary token files: a wavelet matrix for each shard of the corpus.
 
-Texts are encoded in the map tasks, dealt by ranges of the document id and sorted
-within each range. A task walks its range in order and closes a shard once it holds ``SHARD_IDS``
-ids (a text is never cut, so a shard is at most that much and one text). A shard is one
-row and, by ``maxRecordsPerFile``, one zstd-compressed file of its own: the planes of its
-``WaveletMatrix`` with their rank directories, and id and end of each document. Files are
+The corpus is cut into parts of about ``PART_BYTES`` of text in the order of document ids; only ids
+and lengths are sorted for that, and the parts' first keys are all that the driver gets. Texts are
+encoded in the map tasks, dealt by part and sorted within it. A task walks a part in order and closes a shard once it
+holds ``SHARD_IDS`` ids (a text is never cut, so a shard is at most that much and one text). A shard is one
+row: the planes of its ``WaveletMatrix`` with their rank directories, and id and end of each document.
+``FILE_SHARDS`` shards at most make a file, zstd-compressed; a shard lies in one file as a whole. Files are
 written by Spark's own writer, so they land in any store that Spark can write to, and a lost
 task's files are written again.
 
 Everything else works on the files alone. ``read`` decodes them in order; ``token_at``
 looks up single places, ``token_counts`` counts ids by two ranks a plane, and
 ``token_places`` finds an id's occurrences by selects; none of the last three unpacks
-the ids. Global starts come from the ranges' totals: one number for each range.
+the ids. Global starts come from the parts' totals: one number for each part.
 
 Defined results: a null or empty text is its end id alone; a null id counts as the largest;
-rows that share an id are ordered by a hash of their text and then by stored row, and each is written; other
+rows that share an id are ordered by a hash of their text and then by row, and each is written; other
 columns are ignored; an empty table gives no file, and reading it an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockyard.llm.common import keyed, parts_for, slices, stored
+from stockyard.llm.common import keyed, longs, parts_for, slices, stored
 from stockyard.llm.encoding import text_encoder
 from stockyard.llm.wavelet import WaveletMatrix
 from stockyard.session import scratch_path
 
 END = 2                        # id that closes each document
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 20
+FILE_SHARDS = 16
+PART_BYTES, MAX_PARTS = 32 << 20, 50_000
+ORDER = ["doc", "text_hash", "row"]
 SHARD = ("part int, seq int, first long, n long, planes array<binary>, ones array<binary>, "
          "doc_ids array<long>, ends array<long>")
 DOCUMENT = "doc_id long, start long, n_tokens long, ids binary"
 
 
-def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
-    """(doc, text_hash, row, doc_id, n, body): packed ids of each row, stored."""
-    def run(batches):
-        encoder = text_encoder(path)
-        close = encoder.packed([end])
-        for batch in slices(batches):
-            bodies = [encoder.encode(t) + close for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc", "text_hash", "doc_id")),
-                 pa.array([len(b) // encoder.dtype.itemsize for b in bodies], pa.int64()), pa.array(bodies, pa.binary())],
-                names=["doc", "text_hash", "doc_id", "n", "body"])
+def part_starts(docs: DataFrame) -> list[tuple[int, int, int]]:
+    """First key (doc, text_hash, row) of each part, in order, for ``keyed`` docs with rows: at most
+    MAX_PARTS, and one for each task that sorts the keys."""
+    spark = docs.sparkSession
+    light = stored(docs.select(*ORDER, F.octet_length("text").alias("size")), "text_sizes")
+    n, total = light.agg(F.count("*"), F.sum("size")).first()
+    each = max(PART_BYTES, (total or 0) // MAX_PARTS)
 
-    rows = keyed(docs).mapInArrow(run, "doc long, text_hash long, doc_id long, n long, body binary")
-    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "token_ids")
+    def cut(batches):
+        filled = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = longs(batch.column("size"))
+            before = np.cumsum(size) - size + (filled or 0)
+            new = np.diff(before // each, prepend=-1 if filled is None else filled // each) != 0
+            filled = int(before[-1] + size[-1])
+            yield batch.select(ORDER).filter(pa.array(new))
+
+    rows = light.repartitionByRange(parts_for(n, 5_000_000, spark), *ORDER).sortWithinPartitions(*ORDER).mapInArrow(
+        cut, "doc long, text_hash long, row long").collect()
+    return sorted(tuple(r) for r in rows)
 
 
 def shard_row(part: int, seq: int, first: int, bodies: list[bytes], doc_ids: list, dtype: np.dtype,
@@ -70,32 +82,45 @@ def shard_row(part: int, seq: int, first: int, bodies: list[bytes], doc_ids: lis
 
 
 def write(docs: DataFrame, target: str, path: str | None = None, end: int = END, shard_ids: int = SHARD_IDS) -> str:
-    """Token files of ``docs`` under ``target``, one for each shard."""
-    tokens = encoded(docs, path, end)
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    parts = parts_for(total, shard_ids, docs.sparkSession)
+    """Token files of ``docs`` under ``target``."""
+    named = keyed(docs).withColumn("row", F.monotonically_increasing_id())
+    starts = part_starts(named)
+
+    def encode(batches):
+        encoder = text_encoder(path)
+        close = encoder.packed([end])
+        for batch in slices(batches):
+            keys = zip(*(batch.column(c).to_pylist() for c in ORDER), strict=True)
+            part = [max(0, bisect_right(starts, key) - 1) for key in keys]
+            bodies = [encoder.encode(t) + close for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int32()), *(batch.column(c) for c in (*ORDER, "doc_id")), pa.array(bodies, pa.binary())],
+                names=["part", *ORDER, "doc_id", "body"])
 
     def build(batches):
         encoder = text_encoder(path)
-        width = max(1, (max(encoder.size - 1, end)).bit_length())
-        part, seq, first, size = TaskContext.get().partitionId(), 0, 0, 0
+        width = max(1, max(encoder.size - 1, end).bit_length())
+        part, seq, first, size = -1, 0, 0, 0
         bodies: list[bytes] = []
         doc_ids: list[int | None] = []
         for batch in batches:
-            for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+            for own, doc_id, body in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "body")), strict=True):
+                if bodies and (own != part or size >= shard_ids):
+                    yield shard_row(part, seq, first, bodies, doc_ids, encoder.dtype, width)
+                    seq, first, size, bodies, doc_ids = seq + 1, first + size, 0, [], []
+                if own != part:
+                    part, seq, first = own, 0, 0
                 bodies.append(body)
                 doc_ids.append(doc_id)
                 size += len(body) // encoder.dtype.itemsize
-                if size >= shard_ids:
-                    yield shard_row(part, seq, first, bodies, doc_ids, encoder.dtype, width)
-                    seq, first, size, bodies, doc_ids = seq + 1, first + size, 0, [], []
         if bodies:
             yield shard_row(part, seq, first, bodies, doc_ids, encoder.dtype, width)
 
-    order = ["doc", "text_hash", "row"]
-    (tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "body")
-     .mapInArrow(build, SHARD)
-     .write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(target))
+    dealt = named.select(*ORDER, "doc_id", "text").mapInArrow(
+        encode, "part int, doc long, text_hash long, row long, doc_id long, body binary")
+    (dealt.repartitionById(max(1, len(starts)), "part").sortWithinPartitions("part", *ORDER)
+     .select("part", "doc_id", "body").mapInArrow(build, SHARD)
+     .write.option("maxRecordsPerFile", FILE_SHARDS).option("compression", "zstd").parquet(target))
     return target
 
 
@@ -104,8 +129,7 @@ def shards(spark: SparkSession, target: str) -> DataFrame:
 
 
 def bases(spark: SparkSession, target: str) -> dict[int, int]:
-    """Ids before each range of documents: one number for each range, of which there are as
-    many as the writing job had partitions."""
+    """Ids before each part of the corpus: one number for each, at most MAX_PARTS and a few."""
     totals = shards(spark, target).groupBy("part").agg(F.sum("n").alias("n")).collect()
     out, at = {}, 0
     for part, n in sorted(tuple(r) for r in totals):
