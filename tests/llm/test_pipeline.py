@@ -37,4 +37,4 @@ def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "packing"]
     numbers = {n.split("_")[0] for n in queries.QUERIES}
-    assert numbers == {f"op{i}" for i in range(1, 11)} and set(queries.ORACLE) <= set(queries.QUERIES)
+    assert numbers == {f"op{i}" for i in range(1, 14)} and set(queries.ORACLE) <= set(queries.QUERIES)
