@@ -14,8 +14,8 @@ that is written twice replaces itself.
 *A search* reads codes only. Queries find their cells against the centres; cells are laid into lots of
 about ``LOT_ROWS`` rows (a large cell is spread over several), queries into blocks by their home cell, and
 only pairs of a lot and a block that need each other meet in a task. A task looks the scores up
-from codes and keeps the rows that come within ``margin`` of its k-th best; over all tasks the
-same cut is made again, and what is left is scored exactly against the stored vectors. So every
+from codes. It does so twice: first it passes on each query's k best, which together give the query's k-th best score
+from codes; then only rows that come within ``margin`` of that, and those are scored exactly against the stored vectors. So every
 returned score is a true cosine, and a few rows in a hundred are scored exactly.
 
 The driver holds the model and one number for each cell (at most ``MAX_CELLS``).
@@ -321,6 +321,7 @@ class VectorIndex:
         met = coded.join(probes.select("lot", "block").distinct().toDF("lot", "block"), "lot")
 
         def look(left: pa.Table, right: pa.Table) -> pa.Table:
+            """Rows of at least the query's ``least`` score, or its k best where that is not known yet."""
             found: list[list[np.ndarray]] = [[], [], [], []]
             if left.num_rows and right.num_rows:
                 cell = left["cell"].to_numpy()
@@ -329,21 +330,20 @@ class VectorIndex:
                 code = np.frombuffer(b"".join(left["code"].to_pylist()), dtype=np.uint8).reshape(len(order), -1)[order]
                 q = np.frombuffer(b"".join(right["v"].to_pylist()), dtype=np.float32).reshape(right.num_rows, -1)
                 query, tables = right["query_id"].to_numpy(), model.tables(q)
-                lists = right["cells"].to_pylist()
+                least = right["least"].to_numpy()                 # NaN: not known yet
                 wants: dict[int, list[int]] = {}
-                for i, own in enumerate(lists):
+                for i, own in enumerate(right["cells"].to_pylist()):
                     for c in own:
                         wants.setdefault(c, []).append(i)
-                parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in lists]
+                parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in query]
                 for c, who in wants.items():
+                    who_at = np.array(who)
                     a, b = np.searchsorted(cell, [c, c + 1])
                     for s in range(a, b, 1024):                    # so many rows at a time
                         rows = np.arange(s, min(s + 1024, b))
-                        who_at = np.array(who)
                         score = model.scores(q[who_at], tables[who_at], c, code[rows])
-                        # within a piece a row below its k-th best less the margin is out already
-                        low = (np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else score.min(axis=1)) - model.margin
-                        x, y = np.nonzero(score >= low[:, None])
+                        kth = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else score.min(axis=1)
+                        x, y = np.nonzero(score >= np.where(np.isnan(least[who_at]), kth, least[who_at])[:, None])
                         ends = np.searchsorted(x, np.arange(len(who) + 1))
                         for j, i in enumerate(who):
                             own = slice(ends[j], ends[j + 1])
@@ -352,23 +352,28 @@ class VectorIndex:
                     if not some:
                         continue
                     rows = np.concatenate([r for r, _ in some])
-                    score = np.concatenate([s for _, s in some])
-                    kth = np.partition(score, -k)[-k] if len(score) > k else -np.inf
-                    keep = score >= kth - model.margin
-                    for into, what in zip(found, (np.full(int(keep.sum()), query[i]), ids[rows[keep]], cell[rows[keep]],
-                                                  score[keep]), strict=True):
+                    score = np.concatenate([v for _, v in some])
+                    if np.isnan(least[i]) and len(score) > k:
+                        best = np.argpartition(-score, k - 1)[:k]
+                        rows, score = rows[best], score[best]
+                    for into, what in zip(found, (np.full(len(rows), query[i]), ids[rows], cell[rows], score), strict=True):
                         into.append(what)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float32())
             return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(found, kinds, strict=True)],
                             names=["query_id", "vec_id", "cell", "score"])
 
-        near = _kept(met.groupBy("lot", "block").cogroup(probes.groupBy("lot", "block")).applyInArrow(
-            look, "query_id long, vec_id long, cell int, score float"), "near")
+        def run(asking: DataFrame) -> DataFrame:
+            return met.groupBy("lot", "block").cogroup(asking.groupBy("lot", "block")).applyInArrow(
+                look, "query_id long, vec_id long, cell int, score float")
+
+        best = _kept(run(probes.withColumn("least", F.lit(float("nan")).cast("float"))), "best")
         by = Window.partitionBy("query_id").orderBy(F.desc("score"))
-        kth = near.withColumn("r", F.row_number().over(by)).where(F.col("r") == k).select(
-            "query_id", (F.col("score") - model.margin).alias("least"))
-        return (near.join(kth, "query_id", "left").where(F.col("least").isNull() | (F.col("score") >= F.col("least")))
-                .select("query_id", "vec_id", "cell"))
+        kth = best.withColumn("r", F.row_number().over(by)).where(F.col("r") == k).select(
+            "query_id", (F.col("score") - F.lit(model.margin + 1e-5)).cast("float").alias("known"))
+        # a query with fewer than k rows in its cells takes them all
+        limited = probes.join(kth, "query_id", "left").withColumn(
+            "least", F.coalesce("known", F.lit(float("-inf")).cast("float"))).drop("known")
+        return run(_kept(limited, "limited")).select("query_id", "vec_id", "cell")
 
     def topk(self, queries: DataFrame, k: int = 10, query_id_col: str = "query_id", vec_col: str = "embedding",
              digits: int | None = 6) -> DataFrame:
