@@ -1,7 +1,7 @@
 """Ids of whole texts with a byte-level BPE file of the tokenizers library.
 
 The library takes about a second for a megabyte of text. Another encoder of the same ranks gives the same ids
-in less than a third of that (measured: packing takes 296 CPU seconds a GB with it and 443 with the library's model on
+in less than a third of that (measured: packing takes 349 CPU seconds a GB with it and 443 with the library's model on
 cached words), so it serves texts whose code points all lie below ``LATIN``; for those the two libraries' split
 patterns agree sign by sign, and tests hold the ids equal on every document of the test tables and on long runs of
 blanks, digits, apostrophes and combining forms. All other texts, and those with a special token's string, go through
