@@ -1,10 +1,12 @@
 """Balance and links of the sharding, exact search against brute force."""
 
+import itertools
 import math
 import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from stockyard.llm import kd_search, shards
 
@@ -56,6 +58,55 @@ def test_groups_are_cut_only_where_no_shard_has_room(spark, sizes, unlinked, sca
     assert sum(len(used[g]) > 1 for g, size in enumerate(sizes) if size <= quota) <= scattered
 
 
+def pairs_cut(hubs, shard):
+    """Pairs of rows that share a hub and stand in different shards, counted for each hub."""
+    return sum(shard[a] != shard[b] for rows in hubs.values() for a, b in itertools.combinations(sorted(rows), 2))
+
+
+def optimum(hubs, n, k):
+    """Least number of cut pairs over all level placements of n rows."""
+    counts = [n // k + (s < n % k) for s in range(k)]
+    return min(pairs_cut(hubs, at) for at in itertools.product(range(k), repeat=n)
+               if sorted(at.count(s) for s in range(k)) == sorted(counts))
+
+
+GRAPHS = {
+    "two groups and a bridge": ({1: [0, 2, 4, 6, 8], 2: [1, 3, 5, 7, 9], 3: [0, 1]}, 10, 2),
+    "two hubs a row": ({1: [0, 1, 2, 3], 2: [0, 1, 2, 3], 3: [4, 5, 6, 7], 4: [4, 5, 6, 7], 5: [3, 4]}, 8, 2),
+    "three groups in a ring": ({1: [0, 3, 6], 2: [1, 4, 7], 3: [2, 5, 8], 4: [0, 1], 5: [4, 2], 6: [5, 6]}, 9, 3),
+    "blocks that fit": ({1: [0, 1], 2: [1, 2], 3: [3, 4], 4: [4, 5]}, 6, 2),
+    "links through one row": ({h: [0, h] for h in range(1, 8)}, 8, 2),
+}
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_rows_of_several_hubs_reach_the_least_cut(spark, name):
+    hubs, n, k = GRAPHS[name]
+    links = [(row, hub) for hub, rows in hubs.items() for row in rows]
+    frame = spark.createDataFrame(links + links[:3], "row long, hub long")       # a link given twice counts once
+    got = shards.placed(frame, k)
+    shard = {r.row: r.shard for r in got.collect()}
+    assert sorted(shard) == list(range(n)) == sorted(r.row for r in got.collect())
+    counts = [list(shard.values()).count(s) for s in range(k)]
+    assert max(counts) - min(counts) <= 1
+    cut = shards.cut_links(got, frame).first()
+    assert cut.pairs == pairs_cut(hubs, shard) and cut.n_links == len(links)
+    assert cut.pairs == optimum(hubs, n, k)
+
+
+def test_propagation_lowers_the_cut_of_a_large_block(spark):
+    """One block of 1,200 rows that no shard holds: groups of 12 and a bridge from each to the next."""
+    links = [(row, row // 12) for row in range(1200)] + [(12 * g, 1000 + g) for g in range(100)] + [
+        (12 * g + 1, 1000 + (g + 1) % 100) for g in range(100)]
+    frame = spark.createDataFrame(links, "row long, hub long")
+    got = shards.placed(frame, 6)
+    counts = sorted(r["count"] for r in got.groupBy("shard").count().collect())
+    assert counts == [200] * 6
+    at_random = got.select("row", "hub", (F.xxhash64("row") % 6).alias("shard"))
+    before, after = shards.cut_links(at_random, frame).first(), shards.cut_links(got, frame).first()
+    assert before.pairs > 5000 and after.pairs < 0.25 * before.pairs
+
+
 def brute(rows, k):
     usable = {}
     for i, v in rows:
