@@ -1,4 +1,4 @@
-"""Text helpers: keyword tagging (V4) and word-window chunking (V3)."""
+"""Text helpers: keyword tagging (V4), word-window and sentence chunking (V3)."""
 
 from __future__ import annotations
 
@@ -24,6 +24,9 @@ QUESTION_KEYWORDS = {
 # splits on exactly the same characters.
 WORD_SEPARATOR = "[ \t\n\r\f]+"
 
+# A word that ends a sentence: a stop, then any closing quotes and brackets.
+SENTENCE_END = """[.!?]["')\\]]*$"""
+
 
 def any_keyword(text: Column, keywords: list[str]) -> Column:
     """True when lower(text) contains any keyword (NULL text -> NULL)."""
@@ -53,3 +56,40 @@ def chunk_starts(n_words: Column, size: int, overlap: int) -> Column:
     stride = size - overlap
     last = F.greatest(n_words - F.lit(overlap), F.lit(1)) - F.lit(1)
     return F.sequence(F.lit(0), last, F.lit(stride))
+
+
+def sentence_pieces(w: Column, size: int) -> Column:
+    """Array of (from, upto) word offsets of the sentences of a word array; a sentence of
+    more than ``size`` words comes as several pieces."""
+    n = F.size(w)
+    stops = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.element_at(w, i).rlike(SENTENCE_END))
+    spans = F.transform(stops, lambda e, i: F.struct(
+        F.when(i > 0, F.element_at(stops, F.greatest(i, F.lit(1)))).otherwise(0).alias("from"), e.alias("upto")))
+    cut = F.transform(spans, lambda s: F.transform(
+        F.sequence(s["from"], s["upto"] - 1, F.lit(size)),
+        lambda b: F.struct(b.alias("from"), F.least(b + size, s["upto"]).alias("upto"))))
+    return F.when(n > 0, F.flatten(cut))
+
+
+def sentence_spans(pieces: Column, size: int, overlap: int) -> Column:
+    """Array of (from, upto) word offsets of chunks: a fold over ``sentence_pieces``. A chunk takes
+    pieces while they fit into ``size`` words. The next one starts with as many of its last pieces
+    as have ``overlap`` words together and leave room for the piece that did not fit."""
+    span = "struct<from:int,upto:int>"
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("recent"),
+                     F.array().cast(f"array<{span}>").alias("done"))
+
+    def chunk(a: Column, b: Column) -> Column:
+        return F.array(F.struct(a.alias("from"), b.alias("upto")))
+
+    def step(acc: Column, p: Column) -> Column:
+        fits = p["upto"] - acc["at"] <= size
+        again = F.filter(acc["recent"], lambda b: (b > acc["at"]) & (p["from"] - b <= overlap) & (p["upto"] - b <= size))
+        start = F.concat(again, F.array(p["from"]))
+        return F.struct(
+            F.when(fits, acc["at"]).otherwise(F.element_at(start, 1)).alias("at"),
+            F.when(fits, F.concat(acc["recent"], F.array(p["from"]))).otherwise(start).alias("recent"),
+            F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], chunk(acc["at"], p["from"]))).alias("done"))
+
+    last = F.element_at(pieces, -1)["upto"]
+    return F.aggregate(pieces, empty, step, lambda acc: F.concat(acc["done"], chunk(acc["at"], last)))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from stockyard.functions.rounding import rnd
 from stockyard.session import fits_broadcast, scratch_path
-from stockyard.functions.text import chunk_starts, keyword_flags, words
+from stockyard.functions.text import chunk_starts, keyword_flags, sentence_pieces, sentence_spans, words
 
 # A task of the exact search scores about so many queries against so many rows.
 QUERY_ROWS, CORPUS_ROWS = 256, 8_192
@@ -186,6 +186,24 @@ def chunk_documents(docs: DataFrame, size: int = 256, overlap: int = 32,
                     F.size(piece).alias("n_words"), F.array_join(piece, " ").alias("text"))
 
 
+def sentence_chunks(docs: DataFrame, size: int = 256, overlap: int = 32,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """V3: chunks of whole sentences, at most ``size`` words each, that overlap in whole sentences.
+
+    Every word is covered; a sentence is cut only if it has more than ``size`` words. A null text,
+    or one without words, has no chunks; repeated rows are chunked each by itself.
+    Output: doc_id, chunk_id (0-based), n_words, text.
+    """
+    w = docs.select(F.col(id_col), words(text_col).alias("_w"))
+    # each step is a column of its own, so that no expression holds the one before it many times
+    pieces = w.withColumn("_p", sentence_pieces(F.col("_w"), size))
+    spans = pieces.select(id_col, "_w", sentence_spans(F.col("_p"), size, overlap).alias("_s"))
+    c = spans.select(id_col, "_w", F.posexplode("_s").alias("chunk_id", "_at"))
+    n = F.col("_at.upto") - F.col("_at.from")
+    return c.select(id_col, F.col("chunk_id").cast("int").alias("chunk_id"), n.alias("n_words"),
+                    F.array_join(F.slice("_w", F.col("_at.from") + 1, n), " ").alias("text"))
+
+
 def tag_questions(df: DataFrame, text_col: str = "text",
                   labels: dict[str, list[str]] | None = None,
                   keep: list[str] | None = None) -> DataFrame:

@@ -596,6 +596,12 @@ def chunk_documents(spark, sf_dir):
     return chunk(star(spark, sf_dir).table("documents"), size=256, overlap=32)
 
 
+@register("sentence_chunks")
+def sentence_chunks(spark, sf_dir):
+    from stockyard.operators.retrieval import sentence_chunks as chunk
+    return chunk(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @register("question_labels")
 def question_labels(spark, sf_dir):
     from stockyard.operators.retrieval import tag_questions
