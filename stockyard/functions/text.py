@@ -58,17 +58,21 @@ def chunk_starts(n_words: Column, size: int, overlap: int) -> Column:
     return F.sequence(F.lit(0), last, F.lit(stride))
 
 
-def sentence_pieces(w: Column, size: int) -> Column:
-    """Array of (from, upto) word offsets of the sentences of a word array; a sentence of
-    more than ``size`` words comes as several pieces."""
+def sentence_ends(w: Column) -> Column:
+    """Word counts up to the end of each sentence of a word array; the last word ends one."""
     n = F.size(w)
-    stops = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.element_at(w, i).rlike(SENTENCE_END))
-    spans = F.transform(stops, lambda e, i: F.struct(
-        F.when(i > 0, F.element_at(stops, F.greatest(i, F.lit(1)))).otherwise(0).alias("from"), e.alias("upto")))
-    cut = F.transform(spans, lambda s: F.transform(
-        F.sequence(s["from"], s["upto"] - 1, F.lit(size)),
-        lambda b: F.struct(b.alias("from"), F.least(b + size, s["upto"]).alias("upto"))))
-    return F.when(n > 0, F.flatten(cut))
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.element_at(w, i).rlike(SENTENCE_END))
+    return F.when(n > 0, ends)
+
+
+def sentence_pieces(ends: Column, size: int) -> Column:
+    """Array of (from, upto) word offsets of the sentences with these ends; a sentence of more
+    than ``size`` words comes as several pieces. ``ends`` is to be a stored column, not an
+    expression: it is used several times."""
+    before = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
+    return F.flatten(F.zip_with(before, ends, lambda a, e: F.transform(
+        F.sequence(a, e - 1, F.lit(size)),
+        lambda b: F.struct(b.alias("from"), F.least(b + size, e).alias("upto")))))
 
 
 def sentence_spans(pieces: Column, size: int, overlap: int) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from stockyard.functions.rounding import rnd
 from stockyard.session import fits_broadcast, scratch_path
-from stockyard.functions.text import chunk_starts, keyword_flags, sentence_pieces, sentence_spans, words
+from stockyard.functions.text import chunk_starts, keyword_flags, sentence_ends, sentence_pieces, sentence_spans, words
 
 # A task of the exact search scores about so many queries against so many rows.
 QUERY_ROWS, CORPUS_ROWS = 256, 8_192
@@ -195,10 +195,12 @@ def sentence_chunks(docs: DataFrame, size: int = 256, overlap: int = 32,
     Output: doc_id, chunk_id (0-based), n_words, text.
     """
     w = docs.select(F.col(id_col), words(text_col).alias("_w"))
-    # each step is a column of its own, so that no expression holds the one before it many times
-    pieces = w.withColumn("_p", sentence_pieces(F.col("_w"), size))
+    # a step's result is a column that the next one uses more than once, so plans do not inline it
+    ends = w.withColumn("_e", sentence_ends(F.col("_w")))
+    pieces = ends.select(id_col, "_w", sentence_pieces(F.col("_e"), size).alias("_p"))
     spans = pieces.select(id_col, "_w", sentence_spans(F.col("_p"), size, overlap).alias("_s"))
-    c = spans.select(id_col, "_w", F.posexplode("_s").alias("chunk_id", "_at"))
+    # outer: for an inner one Spark adds a filter on the array's size, pushes it below and folds every text twice
+    c = spans.select(id_col, "_w", F.posexplode_outer("_s").alias("chunk_id", "_at")).filter("chunk_id is not null")
     n = F.col("_at.upto") - F.col("_at.from")
     return c.select(id_col, F.col("chunk_id").cast("int").alias("chunk_id"), n.alias("n_words"),
                     F.array_join(F.slice("_w", F.col("_at.from") + 1, n), " ").alias("text"))
