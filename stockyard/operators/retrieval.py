@@ -1,7 +1,7 @@
 """Retrieval over stored embeddings and text (V1-V4).
 
 * V1 exact cosine top-k: within a query's own symbol an equi-join; over a whole
-  corpus, a product of query blocks and corpus blocks (no Python, no driver literals) that
+  corpus, a product of query blocks and corpus blocks (``block_search``) that
   passes on only pairs which beat the k-th result known so far, and
   ``row_number() <= k`` per query gets a partial WindowGroupLimit before the shuffle,
   so each map task ships at most k rows per query.
@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.functions.rounding import rnd
+from stockyard.operators.block_search import best_of_blocks
 from stockyard.session import fits_broadcast, scratch_path
 from stockyard.functions.text import chunk_starts, keyword_flags, sentence_ends, sentence_pieces, sentence_spans, words
 
-# A task of the exact search scores about so many queries against so many rows.
-QUERY_ROWS, CORPUS_ROWS = 256, 8_192
+# Blocks of the search: so many queries meet so many rows at once, fewer if vectors are long.
+QUERY_ROWS, CORPUS_ROWS, BLOCK_VALUES = 4_096, 8_192, 1 << 20
 # Rows of its first hash level, and how much larger each further one is than those before.
-FIRST_ROWS, GROWTH = 256, 16
+FIRST_ROWS, GROWTH = 8_192, 16
 # Components up to which a dot product is written out as one sum.
 UNROLLED = 256
 
@@ -72,47 +73,63 @@ def _dot_of(a: Column, b: Column, dims: int) -> Column:
     return F.when(F.size(a) == F.size(b), reduce(Column.__add__, terms, F.lit(0.0)))
 
 
-def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
-                vec_col: str = "embedding", query_id_col: str = "query_id",
-                query_vec_col: str = "embedding", digits: int | None = 6, by: str | None = None) -> DataFrame:
-    """V1 over a whole corpus: for every query, the k rows with the highest cosine similarity,
-    with ``by`` only among the rows of the query's own value there.
+def best_rows(queries: DataFrame, corpus: DataFrame, k: int, by: bool = False) -> DataFrame:
+    """(_q, _id, _score, Rank): for each query (_q, _v, _v_norm) the k rows (_id, _c, _c_norm) of the highest cosine, ties
+    by _id; both stored. ``by``: among the rows of the query's own _by; with hashes (_h), of those that share one.
 
-    Query ids are distinct, ties are broken by ``id_col`` ascending. Both sides may be of
-    any size: every query meets every row in a block-by-block product. The corpus is taken in
+    Both sides may be of any size: every query meets every row in a block-by-block product. The corpus is taken in
     hash levels, each GROWTH times as large as those before; a level's pairs leave the product
     only if they beat the k-th result known from the levels before, so a query gets about
-    GROWTH * k rows from each, however large the corpus is. Each side's norms are computed once.
+    GROWTH * k rows from each, however large the corpus is.
     """
-    same = [F.col(by).alias("_qby")] if by else []
-    q = _kept(_with_norm(queries.select(F.col(query_id_col).alias("_q"), *same, F.col(query_vec_col).alias("_e")),
-                         "_e", "_v").drop("_e"), "queries")
-    own = _kept(_with_norm(corpus.select(F.col(id_col), *([F.col(by)] if by else []), F.col(vec_col)),
-                           vec_col, "_c").drop(vec_col), "vectors")
-    m, dims = q.agg(F.count("*"), F.coalesce(F.max(F.size("_v")), F.lit(0))).first()
-    n = own.count()
+    # a vector without a norm has no score
+    q = queries.where(F.col("_v_norm").isNotNull()).withColumn("_place", F.xxhash64("_q"))
+    own = corpus.where(F.col("_c_norm").isNotNull())
+    m, q_dims = q.agg(F.count("*"), F.coalesce(F.max(F.size("_v")), F.lit(0))).first()
+    n, c_dims = own.agg(F.count("*"), F.coalesce(F.max(F.size("_c")), F.lit(0))).first()
+    rows = lambda most, dims: max(1, min(most, BLOCK_VALUES // max(dims, 1)))
     ends = [FIRST_ROWS]
     while ends[-1] < n:
         ends.append(ends[-1] * GROWTH)
-    score = F.try_divide(_dot_of(F.col("_v"), F.col("_c"), dims), F.col("_v_norm") * F.col("_c_norm"))
-    place = F.pmod(F.xxhash64(id_col), F.lit(max(n, 1)))
-    best = Window.partitionBy("_q").orderBy(F.col("_score").desc(), F.col(id_col).asc())
+    own = own.withColumn("_place", F.pmod(F.xxhash64("_id"), F.lit(max(n, 1))))
+    id_type = own.schema["_id"].dataType
+    best = Window.partitionBy("_q").orderBy(F.col("_score").desc(), F.col("_id").asc())
     found = None
     for start, end in zip([0, *ends], ends):
-        level = own.where((place >= start) & (place < end)).repartition(max(1, -(-(min(end, n) - start) // CORPUS_ROWS)))
-        asked, fits = q, F.col("_qby").eqNullSafe(F.col(by)) if by else F.lit(True)
-        if found is not None:
-            kth = found.where(F.col("Rank") == k).select("_q", F.col("_score").alias("_kth"), F.col(id_col).alias("_kth_id"))
+        level = own.where((F.col("_place") >= start) & (F.col("_place") < end))
+        if found is None:
+            asked = q.withColumns({"_kth": F.lit(None).cast("double"), "_kth_id": F.lit(None).cast(id_type)})
+        else:
+            kth = found.where(F.col("Rank") == k).select("_q", F.col("_score").alias("_kth"), F.col("_id").alias("_kth_id"))
             asked = q.join(kth, "_q", "left")
-            fits &= F.col("_kth").isNull() | (
-                (score >= F.col("_kth")) & ((score > F.col("_kth")) | (F.col(id_col) < F.col("_kth_id"))))
-        pairs = asked.repartition(max(1, -(-m // QUERY_ROWS))).hint("shuffle_replicate_nl").join(level, fits)
-        scored = pairs.select("_q", id_col, score.alias("_score")).where(F.col("_score").isNotNull())
+        scored = best_of_blocks(asked.select("_q", *[c for c in asked.columns if c != "_q"]),
+                                level.select("_id", *[c for c in level.columns if c != "_id"]), k,
+                                rows(QUERY_ROWS, q_dims), rows(CORPUS_ROWS, c_dims), m, min(end, n) - min(start, n), by)
+        if found is not None:
+            scored = scored.where(F.col("_kth").isNull() | (F.col("_score") > F.col("_kth")) | (F.col("_id") < F.col("_kth_id")))
+        scored = scored.select("_q", "_id", "_score")
         if found is not None:
             scored = scored.unionByName(found.drop("Rank"))
         found = _kept(scored.withColumn("Rank", F.row_number().over(best)).where(F.col("Rank") <= k), "found")
+    return found
+
+
+def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
+                vec_col: str = "embedding", query_id_col: str = "query_id",
+                query_vec_col: str = "embedding", digits: int | None = 6, by: str | None = None) -> DataFrame:
+    """V1 over a whole corpus: for every query, the k rows with the highest cosine similarity,
+    with ``by`` only among the rows of the query's own value there.
+
+    Query ids are distinct, ties are broken by ``id_col`` ascending. Each side's norms are computed once.
+    """
+    same = [F.col(by).alias("_by")] if by else []
+    q = _kept(_with_norm(queries.select(F.col(query_id_col).alias("_q"), *same, F.col(query_vec_col).alias("_e")),
+                         "_e", "_v").drop("_e"), "queries")
+    own = _kept(_with_norm(corpus.select(F.col(id_col).alias("_id"), *same, F.col(vec_col).alias("_e")), "_e", "_c").drop("_e"),
+                "vectors")
+    found = best_rows(q, own, k, by is not None)
     out = F.col("_score") if digits is None else rnd(F.col("_score"), digits)
-    return found.select(F.col("_q").alias("QueryId"), "Rank", id_col, out.alias("Score"))
+    return found.select(F.col("_q").alias("QueryId"), "Rank", F.col("_id").alias(id_col), out.alias("Score"))
 
 
 def cosine_topk_within(corpus: DataFrame, queries: DataFrame, by: str, k: int = 10, id_col: str = "vec_id",
