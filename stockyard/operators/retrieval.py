@@ -6,8 +6,8 @@
   ``row_number() <= k`` per query gets a partial WindowGroupLimit before the shuffle,
   so each map task ships at most k rows per query.
 * V2 approximate top-k: random-projection LSH (pyspark.ml) on unit vectors;
-  candidates are corpus rows sharing a hash bucket with a query (an equi-join
-  against the small broadcast query-bucket table), then scored exactly.
+  candidates are corpus rows sharing a hash bucket with a query, found and scored exactly
+  inside the same product of blocks, so that no candidate pair is stored or shuffled.
 * V3 word-window chunking of whole documents; V4 keyword tagging.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from stockyard.functions.rounding import rnd
 from stockyard.operators.block_search import best_of_blocks
-from stockyard.session import fits_broadcast, scratch_path
+from stockyard.session import scratch_path
 from stockyard.functions.text import chunk_starts, keyword_flags, sentence_ends, sentence_pieces, sentence_spans, words
 
 # Blocks of the search: so many queries meet so many rows at once, fewer if vectors are long.
@@ -158,33 +158,27 @@ def lsh_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
              digits: int | None = 6) -> DataFrame:
     """V2: approximate top-k by cosine through random-projection LSH buckets.
 
-    Recall depends on ``bucket_length`` and ``tables``; candidates are scored
-    exactly, so every returned score is the true cosine.
+    Recall depends on ``bucket_length`` and ``tables``; candidates (pairs that share a bucket in some
+    table) are scored exactly, so every returned score is the true cosine. They are formed block by
+    block inside the tasks: the pairs grow with the square of the input and are never written.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import vector_to_array
     c = unit_vectors(corpus.where(F.col(vec_col).isNotNull()), vec_col)
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="h", bucketLength=bucket_length,
                                         numHashTables=tables, seed=seed).fit(c)
 
-    def buckets(df: DataFrame, idc: str) -> DataFrame:
-        h = model.transform(df).select(idc, F.posexplode("h").alias("_t", "_hv"))
-        from pyspark.ml.functions import vector_to_array
-        return h.select(idc, "_t", F.element_at(vector_to_array("_hv"), 1).alias("_b"))
-
-    qv = unit_vectors(queries.select(F.col(query_id_col), F.col(vec_col)), vec_col)
-    qb = buckets(qv, query_id_col)
-    cb = buckets(c, id_col)
-    # Query buckets: (#queries x tables) rows - bounded by the query set.
-    small = fits_broadcast(queries)
-    cand = (cb.join(F.broadcast(qb) if small else qb, ["_t", "_b"]).select(query_id_col, id_col).distinct())
-    qvec = queries.select(F.col(query_id_col), _as_double(vec_col).alias("_qv"))
-    scored = (cand.join(F.broadcast(qvec) if small else qvec, query_id_col)
-                  .join(corpus.select(id_col, _as_double(vec_col).alias("_cv")), id_col)
-                  .withColumn("_score", cosine(F.col("_qv"), F.col("_cv"))))
-    w = Window.partitionBy(query_id_col).orderBy(F.col("_score").desc_nulls_last(), F.col(id_col))
-    top = scored.withColumn("Rank", F.row_number().over(w)).where(F.col("Rank") <= k)
+    def hashed(df: DataFrame, id_col: str, name: str, vec: str) -> DataFrame:
+        """Rows with their vector, its norm and its bucket in each table."""
+        h = [F.element_at(vector_to_array(F.element_at("h", t + 1)), 1) for t in range(tables)]
+        return _kept(_with_norm(model.transform(df).select(F.col(id_col).alias(name), F.array(*h).alias("_h"),
+                                                           F.col(vec_col).alias("_e")), "_e", vec).drop("_e"), "hashed")
+
+    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(query_id_col), F.col(vec_col))
+    found = best_rows(hashed(unit_vectors(asked, vec_col), query_id_col, "_q", "_v"), hashed(c, id_col, "_id", "_c"), k)
     score = F.col("_score") if digits is None else rnd(F.col("_score"), digits)
-    return top.select(F.col(query_id_col).alias("QueryId"), "Rank", id_col, score.alias("Score"))
+    return found.select(F.col("_q").alias("QueryId"), "Rank",
+                        F.col("_id").alias(id_col), score.alias("Score"))
 
 
 def chunk_documents(docs: DataFrame, size: int = 256, overlap: int = 32,

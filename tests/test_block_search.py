@@ -31,3 +31,10 @@ def test_odd_vectors_give_the_rows_of_the_expression(spark, monkeypatch, by):
             .withColumn("n", F.row_number().over(w)).where("n <= 3").select("query_id", "n", "vec_id", "s"))
     text = lambda df: sorted(map(str, map(tuple, df.collect())))
     assert text(retrieval.cosine_topk(e, q, k=3, by=by, digits=None)) == text(want)
+
+
+def test_lsh_writes_no_candidate_pairs(spark):
+    e = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<double>")
+    found = retrieval.lsh_topk(e, e.withColumn("query_id", F.col("vec_id")), k=2)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert found.count() == 120
