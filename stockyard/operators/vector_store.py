@@ -13,11 +13,11 @@ symbols only (dynamic partition pruning by a broadcast of the symbols, which are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockyard.functions.rounding import rnd
-from stockyard.operators.retrieval import _dot_of, _kept, _with_norm
+from stockyard.operators.retrieval import _kept, _with_norm, best_rows
 from stockyard.session import fits_broadcast
 
 PARTS = 8
@@ -70,12 +70,13 @@ class VectorStore:
     def topk(self, queries: DataFrame, k: int = 10, digits: int | None = 6) -> DataFrame:
         """(QueryId, Rank, symbol, doc_id, chunk_id, text, Score): for each query (query_id, symbol, embedding) the
         k chunks of its own symbol with the highest cosine; ties by document and chunk."""
-        q = _with_norm(queries.select(F.col("query_id").alias("_q"), "symbol", F.col("embedding").alias("_e")), "_e", "_v").drop("_e")
-        dims = q.agg(F.coalesce(F.max(F.size("_v")), F.lit(0))).first()[0]
-        own = _with_norm(self.rows(queries.select("symbol")), "embedding", "_c").drop("embedding")
-        score = F.try_divide(_dot_of(F.col("_v"), F.col("_c"), dims), F.col("_v_norm") * F.col("_c_norm"))
-        best = Window.partitionBy("_q").orderBy(F.col("_score").desc(), "doc_id", "chunk_id")
-        ranked = (own.join(q, "symbol").select("_q", "symbol", "doc_id", "chunk_id", "text", score.alias("_score"))
-                  .where(F.col("_score").isNotNull()).withColumn("Rank", F.row_number().over(best)).where(F.col("Rank") <= k))
+        q = _kept(_with_norm(queries.select(F.col("query_id").alias("_q"), F.col("symbol").alias("_by"), F.col("embedding").alias("_e")),
+                             "_e", "_v").drop("_e").where("_by IS NOT NULL"), "queries")
+        rows = self.rows(queries.select("symbol"))
+        own = _kept(_with_norm(rows.select(F.struct("symbol", "doc_id", "chunk_id").alias("_id"), F.col("symbol").alias("_by"),
+                                           F.col("embedding").alias("_e")), "_e", "_c").drop("_e"), "vectors")
+        ranked = best_rows(q, own, k, by=True).select("_q", "Rank", "_id.*", "_score")
         out = F.col("_score") if digits is None else rnd(F.col("_score"), digits)
-        return ranked.select(F.col("_q").alias("QueryId"), "Rank", "symbol", "doc_id", "chunk_id", "text", out.alias("Score"))
+        # a chunk is stored once
+        return ranked.join(rows.select("symbol", "doc_id", "chunk_id", "text"), ["symbol", "doc_id", "chunk_id"]).select(
+            F.col("_q").alias("QueryId"), "Rank", "symbol", "doc_id", "chunk_id", "text", out.alias("Score"))

@@ -5,6 +5,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stockyard.operators import retrieval
+from stockyard.operators.block_search import packed
+from stockyard.operators.vector_store import VectorStore
 
 ROWS = "vec_id long, embedding array<double>, label string"
 
@@ -38,3 +40,17 @@ def test_lsh_writes_no_candidate_pairs(spark):
     found = retrieval.lsh_topk(e, e.withColumn("query_id", F.col("vec_id")), k=2)
     assert "Join" not in found._jdf.queryExecution().toString()
     assert found.count() == 120
+
+
+def test_one_symbol_is_searched_in_many_blocks(spark, monkeypatch, tmpdir_path):
+    rows = spark.range(500).select(F.lit("HOT").alias("_by"), F.col("id").alias("_place"))
+    sizes = [len(r["rows"]) for r in packed(rows, 10, ["_by", "_place"], "_by").collect()]
+    assert sum(sizes) == 500 and max(sizes) < 200
+    monkeypatch.setattr(retrieval, "CORPUS_ROWS", 40)
+    store = VectorStore(spark, f"{tmpdir_path}/store")
+    store.replace(spark.range(300).select(F.lit("HOT").alias("symbol"), F.col("id").alias("doc_id"), F.lit(0).alias("chunk_id"),
+                                          F.concat(F.lit("t"), "id").alias("text"),
+                                          F.array(F.cos(F.col("id") / 100), F.sin(F.col("id") / 100)).alias("embedding")))
+    asked = store.rows().where("doc_id % 50 = 0").withColumn("query_id", F.col("doc_id"))
+    got = store.topk(asked, k=1)
+    assert sorted((r.QueryId, r.doc_id, r.text) for r in got.collect()) == [(i, i, f"t{i}") for i in range(0, 300, 50)]
