@@ -43,6 +43,13 @@ def change_decimal(df: DataFrame, name: str, precision: int, scale: int) -> Data
     return df.withColumn(name, F.col(name).cast(T.DecimalType(precision, scale)))
 
 
+def narrowed(df: DataFrame, name: str, precision: int, scale: int) -> DataFrame:
+    """E5 as a migration that must not lose a value: ``change_decimal`` if every value fits the narrower type;
+    if one does not, the downgrade is refused and the column stays as it was."""
+    lost = F.col(name).isNotNull() & F.col(name).try_cast(T.DecimalType(precision, scale)).isNull()
+    return change_decimal(df, name, precision, scale) if df.where(lost).isEmpty() else df
+
+
 def alter_add_column(spark: SparkSession, table: str, name: str, sql_type: str) -> None:
     """E2 on a catalog table (metadata only)."""
     spark.sql(f"ALTER TABLE `{table}` ADD COLUMNS (`{name}` {sql_type})")

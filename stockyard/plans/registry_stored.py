@@ -157,7 +157,7 @@ def quarterly_flow_state(spark, sf_dir):
 
 @register("schema_downgraded")
 def schema_downgraded(spark, sf_dir):
-    """E5: the rating widened to decimal(5,2) and taken back to decimal(3,2)."""
-    from stockyard.operators.evolve import change_decimal
+    """E5: the rating widened to decimal(5,2) and taken back to decimal(3,2), unless a rating needs the wider type."""
+    from stockyard.operators.evolve import change_decimal, narrowed
     wide = change_decimal(star(spark, sf_dir).dim_company, "StockRating", 5, 2)
-    return change_decimal(wide, "StockRating", 3, 2).select("StockKey", "StockSymbol", F.col("StockRating").cast("double"))
+    return narrowed(wide, "StockRating", 3, 2).select("StockKey", "StockSymbol", F.col("StockRating").cast("double"))
