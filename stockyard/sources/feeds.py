@@ -1,7 +1,7 @@
 """Feed folders derived from the star, for the ingest operators.
 
-The production feeds are CSV exports: one quote file and one two-level-header
-ratio file per symbol, company overview/profile files. These writers produce
+The production feeds are CSV exports: one quote file per symbol, two-level-header
+ratio files, company overview/profile files. These writers produce
 the same shapes from the derived star with Spark jobs, under the shared
 checkpoint folder, so the readers are exercised on data that grows with the
 tables. Layout variations are decided by data (the supplier's nation and
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockyard.operators.retrieval import _kept
 from stockyard.sources.files import csv_field, write_csv
 from stockyard.sources.star import DerivedStar
 
@@ -23,6 +24,8 @@ RATIO_GROUP_DEFAULT = "Chỉ tiêu"
 NO_PB_NATION_LIMIT = 5
 # Files of suppliers in nations [5, 10) list the ratio columns in reverse order.
 REVERSED_NATIONS = (5, 10)
+# Symbols of a ratio file: some MB of lines.
+SYMBOLS_A_FILE = 2_000
 
 
 def _write_lines(lines: DataFrame, path: str, file_col: str, order_col: str) -> None:
@@ -45,12 +48,15 @@ def _join_present(items: list[tuple[Column, Column]]) -> Column:
 
 
 def write_ratio_feed(star: DerivedStar, path: str) -> None:
-    """Two-level-header ratio files, one per symbol; some lack 'P/B', some list
-    the ratio columns in reverse order."""
-    wide = star.ratio_wide()
+    """Two-level-header ratio files of up to about SYMBOLS_A_FILE symbols; some lack 'P/B', some list
+    the ratio columns in reverse order. Creating, listing and opening a file costs far more than a symbol's few
+    lines, so the number of files follows the symbols only by that factor."""
     nat = star.table("supplier").select(F.col("s_name").alias("CP"), F.col("s_nationkey").alias("_nat"))
     nat = F.broadcast(nat) if star.supplier_small else nat
-    w = wide.join(nat, "CP")
+    files = -(-star.table("supplier").count() // SYMBOLS_A_FILE)
+    layout = F.when(F.col("_nat") >= REVERSED_NATIONS[1], "plain").when(F.col("_nat") >= REVERSED_NATIONS[0], "reversed").otherwise("short")
+    number = F.pmod(F.xxhash64("CP"), F.lit(max(files, 1)))
+    w = _kept(star.ratio_wide().join(nat, "CP").withColumn("feed_file", F.concat_ws("-", layout, number)), "ratios")
     has_pb = F.col("_nat") >= NO_PB_NATION_LIMIT
     rev = (F.col("_nat") >= REVERSED_NATIONS[0]) & (F.col("_nat") < REVERSED_NATIONS[1])
     ids, ratios = RATIO_FEED_COLUMNS[:3], RATIO_FEED_COLUMNS[3:]
@@ -64,14 +70,12 @@ def write_ratio_feed(star: DerivedStar, path: str) -> None:
     group = line(lambda c: F.lit(RATIO_GROUP_LABEL.get(c, RATIO_GROUP_DEFAULT)))
     names = line(lambda c: F.lit(c))
     data = line(lambda c: csv_field(F.col(f"`{c}`")))
-    per_file = w.select("CP", "_nat", "Năm", "Kỳ", *[F.col(f"`{c}`") for c in ratios])
-    heads = per_file.select("CP", "_nat").distinct()
-    lines = (heads.select(F.col("CP").alias("feed_file"), F.lit(0).alias("_ord"), group.alias("line"))
-             .unionByName(heads.select(F.col("CP").alias("feed_file"), F.lit(1).alias("_ord"),
-                                       names.alias("line")))
-             .unionByName(per_file.select(F.col("CP").alias("feed_file"),
-                                          (F.col("Năm") * 10 + F.col("Kỳ") + 10).alias("_ord"),
-                                          data.alias("line"))))
+    # rows without a quarter come last: before the headers they would be taken for them
+    order = F.coalesce(F.col("Năm") * 10 + F.col("Kỳ") + 10, F.lit(2**31 - 1))
+    heads = w.select("feed_file", group.alias("group"), names.alias("names")).distinct()
+    lines = (heads.select("feed_file", F.lit(0).alias("_ord"), F.col("group").alias("line"))
+             .unionByName(heads.select("feed_file", F.lit(1).alias("_ord"), F.col("names").alias("line")))
+             .unionByName(w.select("feed_file", order.alias("_ord"), data.alias("line"))))
     _write_lines(lines, path, "feed_file", "_ord")
 
 

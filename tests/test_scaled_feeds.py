@@ -36,3 +36,12 @@ def test_a_rating_that_outgrows_the_type_stays(spark, tables):
     assert len(got) == 40 and got[17] == 10.0
     small = spark.sql("SELECT CAST(1.25 AS DECIMAL(5,2)) AS r")
     assert narrowed(small, "r", 3, 2).schema["r"].dataType.simpleString() == "decimal(3,2)"
+
+
+def test_ratio_files_hold_many_symbols(spark, tables, tmpdir_path):
+    s = star.DerivedStar(spark, tables)
+    feeds.write_ratio_feed(s, f"{tmpdir_path}/ratios")
+    files = [f for _, _, names in os.walk(f"{tmpdir_path}/ratios") for f in names if f.endswith(".csv")]
+    assert 0 < len(files) <= 3
+    rows = entry.queries()["conform_union"](spark, tables)
+    assert rows.count() == s.ratio_wide().count() and rows.where("`P/B` is null").count() > 0
