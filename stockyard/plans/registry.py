@@ -390,11 +390,12 @@ def daily_flow_rerun(spark, sf_dir):
     and a second run of the same quotes: that of one clean run."""
     from pyspark.sql import functions as F
     from stockyard.operators.quality import EmptyInputError
+    from stockyard.operators.retrieval import _kept
     from stockyard.plans.flows import StoredWarehouse, daily_flow
     from stockyard.session import scratch_path
     s = star(spark, sf_dir)
     wh = StoredWarehouse(spark, scratch_path(spark, "warehouse"))
-    quotes = s.staging_quotes()
+    quotes = _kept(s.staging_quotes(), "quote_feed")      # read by three runs, derived from the trades once
     try:
         daily_flow(wh, quotes, start=FIRST_DAY)
     except EmptyInputError:

@@ -45,3 +45,18 @@ def test_ratio_files_hold_many_symbols(spark, tables, tmpdir_path):
     assert 0 < len(files) <= 3
     rows = entry.queries()["conform_union"](spark, tables)
     assert rows.count() == s.ratio_wide().count() and rows.where("`P/B` is null").count() > 0
+
+
+@pytest.mark.parametrize("name", ["daily_flow_rerun", "quarterly_flow_state"])
+def test_feeds_are_derived_once(spark, tables, monkeypatch, name):
+    feed = {"daily_flow_rerun": "staging_quotes", "quarterly_flow_state": "ratio_wide"}[name]
+    seen, whole = [], getattr(star.DerivedStar, feed)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(self):
+        seen.append(1)
+        return whole(self).mapInArrow(lambda batches: (reads.add(b.num_rows) or b for b in batches), whole(self).schema)
+    monkeypatch.setattr(star.DerivedStar, feed, counted)
+    rows = whole(star.DerivedStar(spark, tables)).count()
+    assert entry.queries()[name](spark, tables).count() > 0
+    assert reads.value == rows
