@@ -143,10 +143,12 @@ def tool_index_performance(spark, sf_dir):
 @register("quarterly_flow_state")
 def quarterly_flow_state(spark, sf_dir):
     """L9 with its gate: dimensions first, then prices, then ratios; run twice."""
+    from stockyard.operators.retrieval import _kept
     from stockyard.plans.flows import StoredWarehouse, daily_flow, quarterly_flow
     s = star(spark, sf_dir)
     wh = StoredWarehouse(spark, scratch_path(spark, "warehouse"))
-    feeds = (s.ratio_wide(), *s.company_feeds(), s.definition_feed())
+    # a feed is an input of several runs: it is derived from the trades once
+    feeds = (_kept(s.ratio_wide(), "ratios"), *s.company_feeds(), s.definition_feed())
     quarterly_flow(wh, *feeds)
     daily_flow(wh, s.staging_quotes(), start=FIRST_DAY)
     quarterly_flow(wh, *feeds)
