@@ -83,11 +83,22 @@ SUMMARY_COLUMNS = ["StockSymbol", "CompanyName", "Industry", "Year", "Quarter",
                    "MonthStartPrice", "MonthEndPrice", "MonthlyChangePercent"]
 
 
+# Rows of a task of the summary.
+MONTH_ROWS = 250_000
+
+
 def _priced(star) -> DataFrame:
     return dated(star, star.fact_price, ["Date", "Year", "Quarter", "Month"]).join(
         company_dim(star, ["StockSymbol", "CompanyName", "Industry"]), "StockKey")
 
 
+def by_month(star, priced: DataFrame) -> DataFrame:
+    """``priced`` dealt by stock and month to as many tasks as its rows need, if the star knows a bound of them: the
+    windows, the grouping and the de-duplication run in one task, whose memory follows its rows."""
+    most = getattr(star, "most_price_rows", None)
+    return priced if most is None else priced.repartition(max(1, -(-most // MONTH_ROWS)), "StockKey", "Year", "Month")
+
+
 def price_summary(star, with_key: bool = False) -> DataFrame:
     """Faithful summary: the 'monthly' aggregates are per trading day (D1),
     then rows equal on every output column collapse (D2).
@@ -98,7 +109,7 @@ def price_summary(star, with_key: bool = False) -> DataFrame:
     """
     wm = Window.partitionBy("StockKey", "Year", "Month").orderBy("Date")
     whole = wm.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    priced = _priced(star).withColumn("MonthStartPrice", F.first("Close").over(whole)).withColumn(
+    priced = by_month(star, _priced(star)).withColumn("MonthStartPrice", F.first("Close").over(whole)).withColumn(
         "MonthEndPrice", F.last("Close").over(whole))
     days = priced.groupBy("StockKey", "StockSymbol", "CompanyName", "Industry", "Year", "Quarter", "Month",
                           "Date", "Close", "MonthStartPrice", "MonthEndPrice").agg(

@@ -148,6 +148,11 @@ class DerivedStar:
     def fact_price(self) -> DataFrame:
         return self._fact(self.daily_bars())
 
+    @cached_property
+    def most_price_rows(self) -> int:
+        """A bound of the fact's rows: the trades (answered from parquet footers)."""
+        return self.table("lineitem").count()
+
     def index_fact_price(self) -> DataFrame:
         """Fact rows of the index members only."""
         return self._fact(self.daily_bars(index_only=True))

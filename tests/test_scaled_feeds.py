@@ -60,3 +60,12 @@ def test_feeds_are_derived_once(spark, tables, monkeypatch, name):
     rows = whole(star.DerivedStar(spark, tables)).count()
     assert entry.queries()[name](spark, tables).count() > 0
     assert reads.value == rows
+
+
+def test_summary_tasks_follow_the_rows(spark, tables, monkeypatch):
+    from stockyard.plans import views
+    monkeypatch.setattr(views, "MONTH_ROWS", 1_000)
+    s = star.DerivedStar(spark, tables)
+    trades = s.table("lineitem").count()
+    plan = views.price_summary(s)._jdf.queryExecution().executedPlan().toString()
+    assert f"{-(-trades // 1_000)}), REPARTITION_BY_NUM" in plan.replace(f", {-(-trades // 1_000)})", f"{-(-trades // 1_000)})")
