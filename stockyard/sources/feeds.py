@@ -24,6 +24,7 @@ RATIO_GROUP_DEFAULT = "Chỉ tiêu"
 NO_PB_NATION_LIMIT = 5
 # Files of suppliers in nations [5, 10) list the ratio columns in reverse order.
 REVERSED_NATIONS = (5, 10)
+COMMITTER = "mapreduce.fileoutputcommitter.algorithm.version"
 # Symbols of a ratio file: some MB of lines.
 SYMBOLS_A_FILE = 2_000
 
@@ -121,8 +122,9 @@ def write_vendor_quotes(star: DerivedStar, path: str) -> None:
     out = q.select(F.col("time").alias("date"), F.col("open").alias("openPrice"), F.col("high").alias("highPrice"),
                    F.col("low").alias("lowPrice"), F.col("close").alias("closePrice"), "volume",
                    F.col("MaCK").alias("symbol"))
-    # clustered by symbol first, so a symbol's folder gets its rows from one task
-    write_csv(out.repartition("symbol"), path, partition_by=["symbol"])
+    # clustered by symbol first, so a symbol's folder gets its rows from one task; tasks put their
+    # files in place themselves, as the driver would move those of all symbols one by one
+    write_csv(out.repartition("symbol"), path, partition_by=["symbol"], options={COMMITTER: "2"})
 
 
 def write_definition_feed(star: DerivedStar, path: str) -> None:

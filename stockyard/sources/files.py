@@ -30,9 +30,9 @@ FEED_KINDS = ["ratio", "overview", "profile"]
 
 # ---- sinks -------------------------------------------------------------------
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None,
-              mode: str = "errorifexists") -> None:
+              mode: str = "errorifexists", options: dict[str, str] | None = None) -> None:
     """K1: CSV with a header row, UTF-8 (Spark writes no byte-order mark)."""
-    w = df.write.mode(mode).option("header", True).option("encoding", "UTF-8")
+    w = df.write.mode(mode).option("header", True).option("encoding", "UTF-8").options(**options or {})
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)

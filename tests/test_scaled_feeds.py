@@ -69,3 +69,10 @@ def test_summary_tasks_follow_the_rows(spark, tables, monkeypatch):
     trades = s.table("lineitem").count()
     plan = views.price_summary(s)._jdf.queryExecution().executedPlan().toString()
     assert f"{-(-trades // 1_000)}), REPARTITION_BY_NUM" in plan.replace(f", {-(-trades // 1_000)})", f"{-(-trades // 1_000)})")
+
+
+def test_vendor_files_are_put_in_place_by_tasks(spark, tables, monkeypatch, tmpdir_path):
+    seen = []
+    monkeypatch.setattr(feeds, "write_csv", lambda df, path, **named: seen.append(named["options"]))
+    feeds.write_vendor_quotes(star.DerivedStar(spark, tables), f"{tmpdir_path}/vendor")
+    assert seen == [{"mapreduce.fileoutputcommitter.algorithm.version": "2"}]
