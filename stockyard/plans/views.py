@@ -96,7 +96,7 @@ def by_month(star, priced: DataFrame) -> DataFrame:
     """``priced`` dealt by stock and month to as many tasks as its rows need, if the star knows a bound of them: the
     windows, the grouping and the de-duplication run in one task, whose memory follows its rows."""
     most = getattr(star, "most_price_rows", None)
-    return priced if most is None else priced.repartition(max(1, -(-most // MONTH_ROWS)), "StockKey", "Year", "Month")
+    return priced if most is None else priced.repartition(max(2, -(-most // MONTH_ROWS)), "StockKey", "Year", "Month")
 
 
 def price_summary(star, with_key: bool = False) -> DataFrame:
