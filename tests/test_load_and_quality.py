@@ -13,6 +13,8 @@ from stockyard.operators.evolve import change_decimal, create_tables
 from stockyard.schemas import QUOTE_SCHEMA
 from stockyard.sources import files
 
+from conftest import SMALL
+
 
 def test_insert_ignore_twice_is_once(spark):
     t = spark.createDataFrame([(1, 1, 1.0), (2, 1, 2.0)], "a int, b int, v double")
@@ -207,6 +209,28 @@ def test_gate_raises_on_null_keys_and_overflow(spark):
             quality.require_valid(bad, "Fact_StockPrice")
 
 
+@pytest.mark.parametrize("dtype", ["double", "string", "decimal(38,6)"])
+def test_limits_are_those_of_the_cast(spark, dtype):
+    limits = [(10, 4), (5, 2), (20, 4), (36, 4), (38, 4)]
+    vals = [0.0, 0.00005, 123.455, 999.995, 999999.99995, 999999.99994, 1e6, 1e16, 1e32, 9.99e33, 1e34, 1e300, float("inf"), float("nan")]
+    text = [(repr(sign * v),) for v in vals for sign in (1, -1)] + [(v,) for v in (
+        None, "n/a", "", " 12.5 ", "1.0d", "1e400", "1e-400", "999999.99994999999999", "9" * 32 + ".999949", "9" * 32 + ".99995")]
+    df = spark.createDataFrame(text, "t string").selectExpr("t", f"try_cast(t as {dtype}) as x").repartition(1)
+    cast = "x is not null and try_cast(x as decimal({},{})) is null"
+    row = df.select("t", F.array(*[quality._beyond("x", p, s) for p, s in limits]).alias("got"),
+                    F.expr("array(" + ", ".join(cast.format(p, s) for p, s in limits) + ")").alias("want"))
+    assert row.where("not (got <=> want)").collect() == [] and row.where("want[0]").count() > 4
+
+
+def test_no_cast_fails_for_each_price_beyond_its_limit(spark):
+    from stockyard.plans.registry import QUERIES
+    for df in (QUERIES["decimal_overflow"](spark, SMALL), spark.createDataFrame(
+            [(20240102, 1, 1e8, 1e8, 1e8, 1e8)], "TimeKey int, StockKey int, Open double, High double, Low double, Close double").agg(
+            *quality.validity("Fact_StockPrice").values())):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "decimal(38,4)" in plan and "as decimal(10,4)" not in plan
+
+
 def test_column_info_covers_every_type(spark):
     df = spark.createDataFrame([(1, "b", None), (2, None, True)], "i int, s string, f boolean")
     got = [(r.Column, r.DType, r.NonNull, r.Nulls, r.Least, r.Greatest) for r in quality.column_info(df).orderBy("Position").collect()]
